@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op5_jaccard_join
 from .packing import op4_best_fit_packing
 from .quality_rules import op9_host_rules
 from .token_files import op3_token_orc
@@ -9,6 +10,7 @@ from .token_files import op3_token_orc
 QUERIES = {
     "op3_token_orc": op3_token_orc,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op9_host_rules": op9_host_rules,
 }
 
