@@ -5,6 +5,7 @@ from __future__ import annotations
 from .jaccard_join import op5_jaccard_join
 from .packing import op4_best_fit_packing
 from .quality_rules import op9_host_rules
+from .secrets import op10_secret_scan
 from .token_files import op3_token_orc
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_jaccard_join": op5_jaccard_join,
     "op9_host_rules": op9_host_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
