@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op6_embedding_dedup
+from .html_text import op8_html_text
 from .jaccard_join import op5_jaccard_join
 from .packing import op4_best_fit_packing
 from .quality_rules import op9_host_rules
@@ -12,6 +14,8 @@ QUERIES = {
     "op3_token_orc": op3_token_orc,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op8_html_text": op8_html_text,
     "op9_host_rules": op9_host_rules,
     "op10_secret_scan": op10_secret_scan,
 }
