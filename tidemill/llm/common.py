@@ -36,6 +36,21 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Keep batches sent to Python workers to about ``most`` bytes, so that long rows do not add up."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def whole_text(docs: DataFrame, text: str = "text"):
     """The text column; null counts as empty."""
+    bound_batches(docs.sparkSession)
     return F.coalesce(docs[text].cast("string"), F.lit(""))
+
+
+#: Tables of at most so many narrow rows are sent to all executors; larger ones are joined by a shuffle.
+SEND_ROWS = 2_000_000
+
+
+def send_if_small(df: DataFrame, most: int = SEND_ROWS) -> DataFrame:
+    """Broadcast a written table if it has few rows; else leave it to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

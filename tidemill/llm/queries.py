@@ -5,12 +5,15 @@ from __future__ import annotations
 from .embedding_dedup import op6_embedding_dedup
 from .html_text import op8_html_text
 from .jaccard_join import op5_jaccard_join
+from .mixing import ORACLE as OP2_SQL
+from .mixing import op2_mix_to_weights
 from .packing import op4_best_fit_packing
 from .quality_rules import op9_host_rules
 from .secrets import op10_secret_scan
 from .token_files import op3_token_orc
 
 QUERIES = {
+    "op2_mix_to_weights": op2_mix_to_weights,
     "op3_token_orc": op3_token_orc,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_jaccard_join": op5_jaccard_join,
@@ -20,4 +23,4 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mix_to_weights": OP2_SQL}
