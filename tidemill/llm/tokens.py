@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,10 @@ _WORDS = {
     "byte": re.compile(f"{_SUFFIX} ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+"),
 }
 #: Words kept in a worker; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+#: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class _Codes(dict):
@@ -58,11 +62,12 @@ class Encoder:
         self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        """Let the library encode words that were not seen before."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Let the library's model merge words that were not seen before."""
+        merge = self.tokenizer.model.tokenize
+        found = [[x.id for x in merge(w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(_ALPHABET))] for w in words]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))])
         self.known += len(words)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +85,9 @@ class Encoder:
                 words = ()
             per_text.append(np.fromiter(map(look, words), np.int64, len(words)))
         if len(self.codes) > self.known:
-            new = list(self.codes)[self.known :] if self.known else list(self.codes)
             if self.known == 0:  # code 0 is the end mark
                 self.lengths, self.ids, self.known = np.ones(1, np.int64), np.array([end], np.int32), 1
-                new = new[1:]
-            for i in range(0, len(new), 50_000):
-                self._learn(new[i : i + 50_000])
+            self._learn(list(islice(self.codes, self.known, None)))
         starts = np.cumsum(self.lengths) - self.lengths
         out, counts = [], np.empty(len(texts), np.int64)
         mark = np.array([stop], np.int64)
