@@ -8,11 +8,13 @@ from .jaccard_join import op5_jaccard_join
 from .mixing import ORACLE as OP2_SQL
 from .mixing import op2_mix_to_weights
 from .packing import op4_best_fit_packing
+from .quality_model import op1_site_quality
 from .quality_rules import op9_host_rules
 from .secrets import op10_secret_scan
 from .token_files import op3_token_orc
 
 QUERIES = {
+    "op1_site_quality": op1_site_quality,
     "op2_mix_to_weights": op2_mix_to_weights,
     "op3_token_orc": op3_token_orc,
     "op4_best_fit_packing": op4_best_fit_packing,
