@@ -16,6 +16,7 @@ from .common import keep, send_if_small, whole_text
 MAX_LABELS, MAX_WORDS, MIN_Z = 20_000, 2_000, 4.0
 #: Fixed numeric features, by name.
 SHAPE = ("log_words", "word_length", "upper", "digits", "symbols", "exclaims", "bars", "repeated_lines", "distinct_words")
+_MARKS = ".,;:!?\"'()[]{}*#$%&|<>"
 _SEPARATORS = str.maketrans({c: " " for c in "\t\n\x0b\f\r"})
 
 
@@ -23,6 +24,11 @@ def _words(text: str) -> list[str]:
     return [w for w in text.translate(_SEPARATORS).split(" ") if w]
 
 
+def _plain(text: str) -> set[str]:
+    """Distinct words in lower case, without marks around them."""
+    return {w.strip(_MARKS) for w in _words(text.lower())}
+
+
 def shape(text: str, words: list[str]) -> list[float]:
     n, c = max(1, len(words)), max(1, len(text))
     lines = [x for x in text.split("\n") if x.strip()]
@@ -30,7 +36,7 @@ def shape(text: str, words: list[str]) -> list[float]:
     return [log(1 + len(words)), sum(map(len, words)) / n, letters / c, sum(map(text.count, "0123456789")) / c, sum(map(text.count, "#*$%&<>")) / n, text.count("!") / n, text.count("|") / n, 1 - len(set(lines)) / max(1, len(lines)), len(set(words)) / n]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 40) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 40) -> np.ndarray:
     """Weights (the last is the intercept) by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -54,7 +60,7 @@ class Model:
 
     def features(self, text: str) -> tuple[list[int], list[float]]:
         words = _words(text)
-        present = [self.words[w] for w in self.words.keys() & set(_words(text.lower()))]
+        present = [self.words[w] for w in self.words.keys() & _plain(text)]
         return present, shape(text, words)
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
         found, total = Counter(), 0
         for batch in batches:
             for text, q, t in zip(*(batch.column(c).to_pylist() for c in ("text", "quality", "toxic"))):
-                for w in set(_words(text.lower())):
+                for w in _plain(text):
                     found[w, q, t] += 1
             if len(found) > 2_000_000:
                 yield from emit(found)
