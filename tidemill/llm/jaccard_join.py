@@ -17,14 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, whole_text
+from .common import keep, send_if_small, whole_text
 from .graph import components
 from .shingles import U, mix, shingle_sets
 from .tokens import in_chunks
 
-#: Sides of at most so many rows (ids only) are sent to all executors; beyond it joins shuffle.
-SEND_ROWS = 2_000_000
-#: Members of a tile that are compared at once.
+#: Members of a group of tiles that are compared at once.
 BLOCK = 512
 
 _SETS = "doc_id long, n long, s1 long, s2 long, bits binary, tiles array<long>"
@@ -71,7 +69,7 @@ def tiles_of(h: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bits_of(h: np.ndarray) -> bytes:
-    size = min(max(64, 1 << (2 * len(h) - 1).bit_length()), 8192)
+    size = min(max(64, 1 << (4 * len(h) - 1).bit_length()), 65536)
     field = np.zeros(size, bool)
     field[(h & U(size - 1)).astype(np.int64)] = True
     return np.packbits(field).tobytes()
@@ -173,11 +171,6 @@ def star_pairs(sets: DataFrame) -> DataFrame:
     return rows.repartition("tile").sortWithinPartitions("tile", "doc").mapInArrow(meet, "a long, b long").distinct()
 
 
-def _send(df: DataFrame) -> DataFrame:
-    """Broadcast a written table of ids if it has few rows; else leave it to a shuffle."""
-    return F.broadcast(df) if df.limit(SEND_ROWS + 1).count() <= SEND_ROWS else df
-
-
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """The written pairs whose sets, built anew from the whole texts, are linked."""
 
@@ -196,20 +189,20 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, name:
                 good.append(linked(shared, len(x), len(y), percent))
             yield _table(a=np.array(a)[good], b=np.array(b)[good])
 
-    sent = _send(pairs)
+    sent = send_if_small(pairs)
     right = docs.join(sent, docs["doc_id"] == sent["b"]).select("a", "b", F.col("text").alias("text_b"))
-    heads = _send(keep(pairs.select("a").distinct(), "heads"))
+    heads = send_if_small(keep(pairs.select("a").distinct(), "heads"))
     left = docs.join(heads, docs["doc_id"] == heads["a"]).select("a", F.col("text").alias("text_a"))
     return keep(right.join(left, "a").mapInArrow(check, "a long, b long"), name)
 
 
 def block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one tile but of different components that their bitmaps let pass.
+    """Pairs of members of one group of tiles but of different components that their bitmaps let pass.
 
-    A tile's members are dealt into blocks of about :data:`BLOCK`; a task compares two blocks at once.
+    A group's members are dealt into blocks of about :data:`BLOCK`; a task compares two blocks at once.
     """
-    sizes = members.groupBy("tile").agg(F.count(F.lit(1)).alias("m"))
-    dealt = members.join(sizes, "tile").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    sizes = keep(members.groupBy("tile").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    dealt = members.join(send_if_small(sizes), "tile").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("tile", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "component", "n", "bits")
 
@@ -260,7 +253,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     shingles of ``width`` words (words split at ASCII white space, A-Z lower-cased).
     ``class_id``: the smallest id with the same set; ``component_id``: the smallest reachable by links.
     Every link between different sets is in the result's components: in each tile the
-    smallest member is verified against the others; whatever members of a tile are then
+    smallest member is verified against the others; whatever members of connected tiles are then
     still in different components are compared pair by pair, in blocks.
 
     Null, empty or wordless text: an empty set, linked with nothing. A text of fewer than ``width``
@@ -271,7 +264,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     known = rows.filter("doc_id IS NOT NULL")
     table = keep(set_table(rows, width, percent), "sets")
     sets = table.filter("doc_id IS NOT NULL AND n > 0")
-    classes = keep(sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bits", "doc_id").alias("bits")), "classes")
+    classes = keep(sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
     ids = keep(sets.select("doc_id", "s1", "s2", "n").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "n", "rep"), "ids")
     rep = lambda c: ids.select(F.col("doc_id").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n").alias(f"n_{c}"))
     met = star_pairs(sets).join(rep("a"), "a").join(rep("b"), "b").filter("rep_a != rep_b")
@@ -292,7 +285,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
         labels = components(links)
         open_pairs = keep(across(rest, labels), "open")
         if not open_pairs.isEmpty():
-            more = keep(across(_open_tiles(sets, classes, ids, open_pairs, labels, percent).join(rest, ["a", "b"], "left_anti"), labels), "more")
+            more = keep(across(_open_groups(classes, pairs, open_pairs, labels, percent).join(pairs, ["a", "b"], "left_anti"), labels), "more")
             if not more.isEmpty():
                 labels = components(links.unionByName(verified(known, more, width, percent, "links")))
     final = ids.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
@@ -300,21 +293,16 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _open_tiles(sets: DataFrame, classes: DataFrame, ids: DataFrame, open_pairs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Bitmap-checked pairs between components within tiles of which a verified pair was not linked."""
-    touched = keep(open_pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "touched")
-    # copies of a set have its tiles; the smallest of them stands for all
-    own = sets.join(F.broadcast(touched) if touched.limit(SEND_ROWS + 1).count() <= SEND_ROWS else touched, sets["doc_id"] == touched["rep"], "left_semi")
-    tiles = keep(own.select(F.explode("tiles").alias("tile")).groupBy("tile").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("tile"), "tiles")
-    reps = sets.select("doc_id", "tiles").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    members = reps.select(F.col("doc_id").alias("doc"), F.explode("tiles").alias("tile")).distinct()
-    members = keep(members.join(_send(tiles), "tile", "left_semi"), "members")
-    named = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    # tiles with the same members are compared once
-    sums = named.groupBy("tile").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x2"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("m > 2 AND c1 != c2")
-    once = keep(sums.groupBy("m", "x1", "x2").agg(F.min("tile").alias("tile")).select("tile"), "once")
-    full = named.join(_send(once), "tile", "left_semi").join(classes.select(F.col("rep").alias("doc"), "n", "bits"), "doc")
-    return block_pairs(full, percent)
+def _open_groups(classes: DataFrame, pairs: DataFrame, open_pairs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Bitmap-checked pairs between components, in every group of sets that tiles connect and of which a verified pair was not linked.
+
+    Tiles are joined into groups by their star pairs, so a pair that shares many tiles is compared once.
+    """
+    groups = keep(components(pairs.select("a", "b")).select(F.col("node").alias("doc"), F.col("component").alias("tile")), "groups")
+    touched = keep(open_pairs.join(groups, open_pairs["a"] == groups["doc"]).select("tile").distinct(), "touched")
+    members = groups.join(send_if_small(touched), "tile", "left_semi").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+    members = members.withColumn("component", F.coalesce("component", "doc")).join(classes.select(F.col("rep").alias("doc"), "n", "bits"), "doc")
+    return block_pairs(keep(members, "members"), percent)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
