@@ -5,6 +5,7 @@ from __future__ import annotations
 from .embedding_dedup import op6_embedding_dedup
 from .html_text import op8_html_text
 from .jaccard_join import op5_jaccard_join
+from .language_model import op7_maxent_score
 from .mixing import ORACLE as OP2_SQL
 from .mixing import op2_mix_to_weights
 from .packing import op4_best_fit_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_maxent_score": op7_maxent_score,
     "op8_html_text": op8_html_text,
     "op9_host_rules": op9_host_rules,
     "op10_secret_scan": op10_secret_scan,
