@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import keep, send_if_small, whole_text
 
 #: Labelled rows the classifier is fitted on at most, words it knows at most, and how far from chance they must be.
-MAX_LABELS, MAX_WORDS, MIN_Z = 20_000, 2_000, 4.0
+MAX_LABELS, MAX_WORDS, MIN_Z = 10_000, 400, 4.0
 #: Fixed numeric features, by name.
 SHAPE = ("log_words", "word_length", "upper", "digits", "symbols", "exclaims", "bars", "repeated_lines", "distinct_words")
 _MARKS = ".,;:!?\"'()[]{}*#$%&|<>"
