@@ -42,7 +42,7 @@ def _task_id() -> Column:
 def lineage_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (id, type, label) and edges (source, target, direction): assets into tasks that read them, tasks into assets they write."""
     flat = records.select("direction", "asset_uri", "task_name", _task_id().alias("task")).distinct()
-    ends = F.array(F.struct(F.col("asset_uri").alias("id"), F.lit("asset").alias("type"), F.col("asset_uri").alias("label")), F.struct(F.col("task"), F.lit("task"), F.col("task_name")))
+    ends = F.array(F.struct(F.col("asset_uri").alias("id"), F.lit("asset").alias("type"), F.col("asset_uri").alias("label")), F.struct(F.col("task").alias("id"), F.lit("task").alias("type"), F.col("task_name").alias("label")))
     nodes = flat.select(F.inline(ends)).distinct()
     reads = F.col("direction") == "reads_from"
     edges = flat.select(F.when(reads, F.col("asset_uri")).otherwise(F.col("task")).alias("source"), F.when(reads, F.col("task")).otherwise(F.col("asset_uri")).alias("target"), "direction").distinct()

@@ -177,7 +177,7 @@ def executive_report(df: DataFrame, n: int = 10) -> DataFrame:
     total = cube.agg(F.sum("v").cast("double").alias("total"), F.sum("n").alias("orders"))
     head = total.select(F.inline(F.array(
         F.struct(F.lit("total").alias("section"), F.lit("revenue").alias("name"), F.col("total").alias("value"), F.lit(1.0).alias("share"), F.lit(1).alias("rank")),
-        F.struct(F.lit("total"), F.lit("average_order_value"), F.col("total") / F.col("orders"), F.lit(None).cast("double"), F.lit(1)),
+        F.struct(F.lit("total").alias("section"), F.lit("average_order_value").alias("name"), (F.col("total") / F.col("orders")).alias("value"), F.lit(None).cast("double").alias("share"), F.lit(1).alias("rank")),
     )))
     parts = []
     for section in ("category", "region", "quarter", "product"):

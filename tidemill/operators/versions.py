@@ -40,7 +40,7 @@ def version_diff(versions: DataFrame, order: str = "saved_seq", with_lines: bool
     own = Window.partitionBy("pipeline_name").orderBy(order, "version_id")
     ids = versions.select("pipeline_name", "version_id", F.lag("version_id").over(own).alias("previous"), F.lead("version_id").over(own).alias("next"))
     lines = versions.select("pipeline_name", "version_id", F.explode(F.split("content", "\n")).alias("line"))
-    uses = F.array(F.struct(F.col("version_id").alias("version"), F.when(F.col("previous").isNotNull(), 1).alias("n")), F.struct(F.col("next"), F.when(F.col("next").isNotNull(), -1)))
+    uses = F.array(F.struct(F.col("version_id").alias("version"), F.when(F.col("previous").isNotNull(), 1).alias("n")), F.struct(F.col("next").alias("version"), F.when(F.col("next").isNotNull(), -1).alias("n")))
     sides = lines.join(ids, ["pipeline_name", "version_id"]).select("pipeline_name", "line", F.inline(uses)).filter("n IS NOT NULL")
     net = sides.groupBy("pipeline_name", "version", "line").agg(F.sum("n").alias("n"))
     found = [F.sum(F.greatest("n", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed")]

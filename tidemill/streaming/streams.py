@@ -15,16 +15,21 @@ from tidemill.sources.files import append_history
 from tidemill.sources.scratch import scratch_dir
 
 
+def listed(path: str) -> str:
+    """A pattern that matches just this path: file streams take a single file only by a pattern."""
+    return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
+
+
 def table_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, per_trigger: int | None = None) -> DataFrame:
     """Files of a folder (or one file) as a stream."""
     schema = schema if schema is not None else spark.read.format(fmt).load(path).schema
     reader = spark.readStream.format(fmt).schema(schema)
-    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path)
+    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(listed(path))
 
 
 def file_arrivals(spark: SparkSession, folder: str, schema, fn: Callable[[DataFrame, int], None], checkpoint: str, fmt: str = "parquet", since=None, every: str | None = "30 seconds") -> StreamingQuery:
     """Call ``fn(rows, batch)`` for new files of a folder. Files modified before ``since`` do not fire; ``every=None`` handles what is there and ends."""
-    rows = spark.readStream.format(fmt).schema(schema).load(folder)
+    rows = spark.readStream.format(fmt).schema(schema).load(listed(folder))
     if since is not None:
         rows = rows.filter(F.col("_metadata.file_modification_time") >= F.lit(since))
 
