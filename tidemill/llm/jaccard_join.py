@@ -25,7 +25,10 @@ from .tokens import in_chunks
 #: Members of a group of tiles that are compared at once.
 BLOCK = 512
 
-_SETS = "doc_id long, n long, s1 long, s2 long, bits binary, tiles array<long>"
+#: Members of a tile that a task passes on; of more it passes on the smallest, with their star pairs.
+LOCAL = 64
+
+_SETS = "doc_id long, n long, s1 long, s2 long, bits binary, few_bits binary, tiles array<long>"
 
 
 def band_of(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -68,8 +71,9 @@ def tiles_of(h: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def bits_of(h: np.ndarray) -> bytes:
-    size = min(max(64, 1 << (4 * len(h) - 1).bit_length()), 65536)
+def bits_of(h: np.ndarray, each: int = 4) -> bytes:
+    """A hashed bitmap of ``each`` to twice as many bits for every element."""
+    size = min(max(64, 1 << (each * len(h) - 1).bit_length()), 65536)
     field = np.zeros(size, bool)
     field[(h & U(size - 1)).astype(np.int64)] = True
     return np.packbits(field).tobytes()
@@ -101,8 +105,8 @@ def set_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 digest = lambda key: pa.array(np.array([mix(h ^ key).sum() for h in sets], np.uint64).view(np.int64))  # noqa: B023,E731
                 offsets = np.cumsum([0, *map(len, tiles)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()), digest(U(0x2545F4914F6CDD1D)), digest(U(0x1234567887654321)), pa.array([bits_of(h) if len(h) else b"" for h in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tiles).view(np.int64)))],
-                    ["doc_id", "n", "s1", "s2", "bits", "tiles"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()), digest(U(0x2545F4914F6CDD1D)), digest(U(0x1234567887654321)), *(pa.array([bits_of(h, k) if len(h) else b"" for h in sets], pa.binary()) for k in (4, 1)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tiles).view(np.int64)))],
+                    ["doc_id", "n", "s1", "s2", "bits", "few_bits", "tiles"],
                 )
 
     return docs.mapInArrow(build, _SETS)
@@ -117,23 +121,38 @@ def _table(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns.values()], list(columns))
 
 
-def star_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b: in each tile its smallest member with every other one.
+_MET = "kind int, a long, b long"
+PAIR, MEMBER, HEAVY = 0, 1, 2
+
 
-    Each task first joins the members it holds to the smallest of them and passes on only that one,
-    so a tile brings at most one row per task and chunk to the shuffle, however many documents share it.
+def meet_in_tiles(sets: DataFrame) -> DataFrame:
+    """What documents have in common by tiles: rows (kind, a, b).
+
+    PAIR: the smallest member a of a tile and another one b. MEMBER: tile a of three or more members, and its member b.
+    HEAVY: tile a, of which not all members were passed on. A task that holds more than :data:`LOCAL` members
+    of a tile pairs them with the smallest itself and passes only that one on, so no tile gathers a large share of the rows.
     """
 
+    def rows_of(kind, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
+
     def collapse(batches):
         def done(tiles, ids):
             tile, doc = np.concatenate(tiles), np.concatenate(ids)
             by = np.lexsort((doc, tile))
             tile, doc = tile[by], doc[by]
             at = _runs(tile)
-            lead = np.repeat(doc[at], np.diff(np.append(at, len(tile))))
-            pairs = np.unique(np.stack([lead, doc])[:, lead != doc], axis=1) if (lead != doc).any() else np.zeros((2, 0), np.int64)
-            yield _table(tile=tile[at], doc=doc[at], lead=np.full(len(at), -1))
-            yield _table(tile=mix(mix(pairs[0].view(np.uint64)) + pairs[1].view(np.uint64)).view(np.int64), doc=pairs[1], lead=pairs[0])
+            m = np.diff(np.append(at, len(tile)))
+            large = np.repeat(m > LOCAL, m)
+            lead = np.repeat(doc[at], m)
+            first = np.zeros(len(tile), bool)
+            first[at] = True
+            on = ~large | first
+            yield _table(tile=tile[on], doc=doc[on], lead=np.where(large, -2, -1)[on])
+            own = large & ~first
+            if own.any():
+                pairs = np.unique(np.stack([lead[own], doc[own]]), axis=1)
+                yield _table(tile=mix(mix(pairs[0].view(np.uint64)) + pairs[1].view(np.uint64)).view(np.int64), doc=pairs[1], lead=pairs[0])
 
         tiles, ids, size = [], [], 0
         for batch in batches:
@@ -149,26 +168,51 @@ def star_pairs(sets: DataFrame) -> DataFrame:
             yield from done(tiles, ids)
 
     def meet(batches):
-        last, lead = None, None
+        held = [np.zeros(0, np.int64)] * 3
+
+        def done(tile, doc, flag):
+            at = _runs(tile)
+            m = np.diff(np.append(at, len(tile)))
+            lead, many = np.repeat(doc[at], m), np.repeat(m > 2, m)
+            heavy = np.unique(tile[flag == -2])
+            found = np.stack([lead, doc])[:, lead != doc]
+            found = np.unique(found, axis=1) if found.shape[1] else found
+            yield rows_of(PAIR, found[0], found[1])
+            yield rows_of(MEMBER, tile[many], doc[many])
+            yield rows_of(HEAVY, heavy, heavy)
+
         for batch in batches:
-            tile, doc, other = (batch.column(c).to_numpy() for c in ("tile", "doc", "lead"))
-            pair = other >= 0
-            yield _table(a=other[pair], b=doc[pair])
-            tile, doc = tile[~pair], doc[~pair]
+            tile, doc, flag = (batch.column(c).to_numpy() for c in ("tile", "doc", "lead"))
+            pair = flag >= 0
+            if pair.any():
+                yield rows_of(PAIR, flag[pair], doc[pair])
+            tile, doc, flag = (np.concatenate([h, x[~pair]]) for h, x in zip(held, (tile, doc, flag)))
             if not len(tile):
                 continue
-            at = _runs(tile)
-            first = doc[at]
-            if last is not None and tile[0] == last:
-                first[0] = lead
-            lead_of = np.repeat(first, np.diff(np.append(at, len(tile))))
-            last, lead = tile[-1], first[-1]
-            found = np.stack([lead_of, doc])[:, lead_of != doc]
-            found = np.unique(found, axis=1) if found.shape[1] else found
-            yield _table(a=found[0], b=found[1])
+            cut = int(np.searchsorted(tile, tile[-1]))  # the last tile may go on
+            held = [tile[cut:], doc[cut:], flag[cut:]]
+            yield from done(tile[:cut], doc[:cut], flag[:cut])
+        yield from done(*held)
 
-    rows = sets.filter("n > 0").select("doc_id", "tiles").mapInArrow(collapse, "tile long, doc long, lead long")
-    return rows.repartition("tile").sortWithinPartitions("tile", "doc").mapInArrow(meet, "a long, b long").distinct()
+    rows = sets.select("doc_id", "tiles").mapInArrow(collapse, "tile long, doc long, lead long")
+    return rows.repartition("tile").sortWithinPartitions("tile", "doc").mapInArrow(meet, _MET)
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps allow a link."""
+
+    def check(batches):
+        for batch in batches:
+            n1, n2, b1, b2 = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
+            ok = [100 * min(m, n) >= percent * max(m, n) and linked(overlap_bound(m, n, x, y), m, n, percent) for m, n, x, y in zip(n1, n2, b1, b2)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    fit = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    sizes = pairs.join(of("a").drop("bits_a"), "a").join(of("b").drop("bits_b"), "b").filter(fit)
+    sized = keep(sizes.select("a", "b", "n_a", "n_b"), "sized")
+    heads = keep(sized.select("a").distinct().join(of("a").drop("n_a"), "a"), "head-bits")
+    return sized.join(of("b").drop("n_b"), "b").join(send_if_small(heads, 100_000), "a").mapInArrow(check, "a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
@@ -196,6 +240,32 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, name:
     return keep(right.join(left, "a").mapInArrow(check, "a long, b long"), name)
 
 
+def matrix(bits: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Bitmaps as rows of words, the larger ones folded to the smallest size."""
+    width = int(sizes.min())
+    out = np.empty((len(bits), width), np.uint8)
+    for size in np.unique(sizes).tolist():
+        of = np.flatnonzero(sizes == size)
+        own = np.frombuffer(b"".join([bits[k] for k in of]), np.uint8).reshape(len(of), size // width, width)
+        out[of] = np.bitwise_or.reduce(own, axis=1)
+    return out.view(np.uint64)
+
+
+def bitmap_pairs(rows: dict, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of all row pairs of different components, and of different blocks where there are two, whose bitmaps allow a link."""
+    m, n = len(bits), rows["n"]
+    lacks = np.empty((m, m), np.int64)
+    step = max(1, 1_000_000 // (m * bits.shape[1]))
+    for k in range(0, m, step):
+        lacks[k : k + step] = np.bitwise_count(bits[k : k + step, None] & ~bits[None]).sum(2, dtype=np.int64)
+    bound = np.minimum(n[:, None] - lacks, n[None] - lacks.T)
+    ok = linked(bound, n[:, None], n[None], percent) & (rows["component"][:, None] != rows["component"][None])
+    if rows["lo"][0] != rows["hi"][0]:
+        ok &= rows["own"][:, None] != rows["own"][None]
+    i, j = np.nonzero(np.triu(ok, 1))
+    return rows["doc"][i], rows["doc"][j]
+
+
 def block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of one group of tiles but of different components that their bitmaps let pass.
 
@@ -207,41 +277,34 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.select("tile", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "component", "n", "bits")
 
     def compare(batches):
-        rows = []
-
-        def done():
-            if len(rows) < 2:
-                return
-            rows.sort(key=lambda r: r[1])
-            n = np.array([r[3] for r in rows])
-            doc, comp, own = (np.array([r[k] for r in rows]) for k in (1, 2, 5))
-            width = min(len(r[4]) for r in rows)
-            bits = np.empty((len(rows), width), np.uint8)
-            for k, r in enumerate(rows):
-                bits[k] = np.bitwise_or.reduce(np.frombuffer(r[4], np.uint8).reshape(-1, width), axis=0)
-            bits = bits.view(np.uint64)
-            lo, hi = rows[0][0][1:]
-            for k in range(len(rows) - 1):
-                ok = (comp[k + 1 :] != comp[k]) & (100 * np.minimum(n[k], n[k + 1 :]) >= percent * np.maximum(n[k], n[k + 1 :]))
-                if lo != hi:
-                    ok &= own[k + 1 :] != own[k]
-                j = np.flatnonzero(ok) + k + 1
-                if not len(j):
-                    continue
-                x, y = bits[k], bits[j]
-                bound = np.minimum(n[k] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-                j = j[linked(bound, n[k], n[j], percent)]
-                if len(j):
-                    yield _table(a=np.full(len(j), doc[k]), b=doc[j])
-
+        names = ("tile", "lo", "hi", "doc", "component", "n", "own")
+
+        def done(column, bits):
+            key = np.stack([column["tile"], column["lo"], column["hi"]])
+            at = np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0))), key.shape[1]) if key.shape[1] else [0]
+            sizes = np.fromiter(map(len, bits), np.int64, len(bits))
+            left, right = [], []
+            for i, j in zip(at[:-1], at[1:]):
+                if j - i > 1:
+                    part = {c: column[c][i:j] for c in names}
+                    x, y = bitmap_pairs(part, matrix(bits[i:j], sizes[i:j]), percent)
+                    left.append(x)
+                    right.append(y)
+            if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield _table(a=np.minimum(a, b), b=np.maximum(a, b))
+
+        held, bits = {c: np.zeros(0, np.int64) for c in names}, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("tile", "lo", "hi", "doc", "component", "n", "bits", "own")]
-            for tile, lo, hi, doc, comp, n, bits, own in zip(*columns):
-                if rows and rows[0][0] != (tile, lo, hi):
-                    yield from done()
-                    rows.clear()
-                rows.append(((tile, lo, hi), doc, comp, n, bits, own))
-        yield from done()
+            if not batch.num_rows:
+                continue
+            held = {c: np.concatenate([held[c], batch.column(c).to_numpy().astype(np.int64)]) for c in names}
+            bits = bits + batch.column("bits").to_pylist()
+            last = [held[c][-1] for c in names[:3]]
+            cut = int(np.argmax(np.all([held[c] == x for c, x in zip(names[:3], last)], axis=0)))  # the last blocks may go on
+            yield from done({c: x[:cut] for c, x in held.items()}, bits[:cut])
+            held, bits = {c: x[cut:] for c, x in held.items()}, bits[cut:]
+        yield from done(held, bits)
 
     return dealt.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi").mapInArrow(compare, "a long, b long").distinct()
 
@@ -252,9 +315,9 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     Documents are linked when 100 * intersection >= percent * union of their sets of distinct
     shingles of ``width`` words (words split at ASCII white space, A-Z lower-cased).
     ``class_id``: the smallest id with the same set; ``component_id``: the smallest reachable by links.
-    Every link between different sets is in the result's components: in each tile the
-    smallest member is verified against the others; whatever members of connected tiles are then
-    still in different components are compared pair by pair, in blocks.
+    Every link between different sets is in the result's components. In each tile the smallest member is paired with the
+    others; pairs that bitmaps allow are verified. Two other members of a tile are either in one group that such pairs connect,
+    and are compared there once if their components still differ, or in two groups, and are compared within the tile.
 
     Null, empty or wordless text: an empty set, linked with nothing. A text of fewer than ``width``
     words is one shingle. Null ids: returned with a null component. Rows that share an id are one
@@ -264,45 +327,63 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     known = rows.filter("doc_id IS NOT NULL")
     table = keep(set_table(rows, width, percent), "sets")
     sets = table.filter("doc_id IS NOT NULL AND n > 0")
-    classes = keep(sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
+    classes = keep(sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("few_bits").alias("few_bits")), "classes")
     ids = keep(sets.select("doc_id", "s1", "s2", "n").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "n", "rep"), "ids")
-    rep = lambda c: ids.select(F.col("doc_id").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n").alias(f"n_{c}"))
-    met = star_pairs(sets).join(rep("a"), "a").join(rep("b"), "b").filter("rep_a != rep_b")
-    fit = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").alias("fit")
-    pairs = keep(met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), fit).distinct(), "pairs")
+    # of equal sets the smallest id alone goes on
+    copies = keep(ids.filter("doc_id != rep").select("doc_id").distinct(), "copies")
+    single = sets.select("doc_id", "tiles").join(send_if_small(copies), "doc_id", "left_anti")
+    met = keep(meet_in_tiles(single), "met")
+    pairs = keep(met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
+    fair = keep(plausible(pairs, classes, percent), "fair")
 
     def across(found: DataFrame, labels: DataFrame) -> DataFrame:
         of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
         named = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return named.filter("coalesce(c_a, a) != coalesce(c_b, b)").select(*found.columns)
+        return named.filter("coalesce(c_a, a) != coalesce(c_b, b)").select("a", "b")
 
-    first = keep(pairs.filter("fit").groupBy("b").agg(F.min("a").alias("a")), "first")
+    first = keep(fair.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     links = verified(known, first, width, percent, "links")
     labels = components(links)
-    rest = keep(across(pairs, labels), "rest")
+    rest = keep(across(fair, labels).join(first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(verified(known, keep(rest.filter("fit").select("a", "b").join(first, ["a", "b"], "left_anti"), "second"), width, percent, "links"))
+        links = links.unionByName(verified(known, rest, width, percent, "links"))
+        labels = components(links)
+    groups = components(fair)
+    more = _within_groups(groups, labels, classes, percent).unionByName(_within_tiles(met, single, groups, classes, percent))
+    more = keep(across(more.distinct().join(pairs, ["a", "b"], "left_anti"), labels), "more")
+    if not more.isEmpty():
+        links = links.unionByName(verified(known, keep(plausible(more, classes, percent), "fair"), width, percent, "links"))
         labels = components(links)
-        open_pairs = keep(across(rest, labels), "open")
-        if not open_pairs.isEmpty():
-            more = keep(across(_open_groups(classes, pairs, open_pairs, labels, percent).join(pairs, ["a", "b"], "left_anti"), labels), "more")
-            if not more.isEmpty():
-                labels = components(links.unionByName(verified(known, more, width, percent, "links")))
     final = ids.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     out = table.select("doc_id", F.col("n").alias("n_shingles")).join(final.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id")), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _open_groups(classes: DataFrame, pairs: DataFrame, open_pairs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Bitmap-checked pairs between components, in every group of sets that tiles connect and of which a verified pair was not linked.
+def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their bitmaps let pass, between components within groups that plausible star pairs connect."""
+    named = groups.select(F.col("node").alias("doc"), F.col("component").alias("tile")).join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    named = keep(named, "named")
+    apart = keep(named.groupBy("tile").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("m > 2 AND c1 != c2").select("tile"), "apart")
+    members = named.join(send_if_small(apart), "tile", "left_semi").join(classes.select(F.col("rep").alias("doc"), "n", "bits"), "doc")
+    return block_pairs(keep(members, "members"), percent)
+
+
+def _within_tiles(met: DataFrame, single: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their smaller bitmaps let pass, between groups within a tile.
 
-    Tiles are joined into groups by their star pairs, so a pair that shares many tiles is compared once.
+    Members of a tile that are all in one group are compared there. Tiles of the same members are compared once.
     """
-    groups = keep(components(pairs.select("a", "b")).select(F.col("node").alias("doc"), F.col("component").alias("tile")), "groups")
-    touched = keep(open_pairs.join(groups, open_pairs["a"] == groups["doc"]).select("tile").distinct(), "touched")
-    members = groups.join(send_if_small(touched), "tile", "left_semi").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-    members = members.withColumn("component", F.coalesce("component", "doc")).join(classes.select(F.col("rep").alias("doc"), "n", "bits"), "doc")
-    return block_pairs(keep(members, "members"), percent)
+    members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("tile"), F.col("b").alias("doc"))
+    heavy = keep(met.filter(F.col("kind") == HEAVY).select(F.col("a").alias("tile")).distinct(), "heavy")
+    if not heavy.isEmpty():
+        every = single.select(F.col("doc_id").alias("doc"), F.explode("tiles").alias("tile")).join(send_if_small(heavy), "tile", "left_semi").select("tile", "doc")
+        members = members.join(send_if_small(heavy), "tile", "left_anti").unionByName(every)
+    named = members.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    named = keep(named.select("tile", "doc", "component"), "tile-members")
+    sums = named.groupBy("tile").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x2"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2")
+    once = keep(sums.groupBy("m", "x1", "x2").agg(F.min("tile").alias("tile")).select("tile"), "once")
+    full = named.join(send_if_small(once), "tile", "left_semi").join(classes.select(F.col("rep").alias("doc"), "n", F.col("few_bits").alias("bits")), "doc")
+    return block_pairs(keep(full, "mixed"), percent)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
