@@ -83,7 +83,11 @@ def aggregate(df: DataFrame, group_by: Iterable, metrics: Iterable[Mapping], ord
 def transform(df: DataFrame, columns: Iterable[Mapping], output_table: str = "transformed_data") -> DataFrame:
     """All columns and derived ones {name, sql}, in one projection: an expression sees input columns only."""
     derived = [F.expr(c["sql"]).alias(c["name"]) for c in columns if c.get("name") and c.get("sql")]
-    return materialize(df.select("*", *derived), output_table)
+    if not derived:
+        return materialize(df, output_table)
+    # fields of a struct cannot refer to each other, as columns of one select could
+    packed = df.select("*", F.struct(*derived).alias("_derived"))
+    return materialize(packed.select(*[F.col(f"`{c}`") for c in df.columns], "_derived.*"), output_table)
 
 
 def transform_path(spark: SparkSession, src: str, dst: str, fmt: str | None = None, sql: str | None = None, out_fmt: str = "parquet") -> int:

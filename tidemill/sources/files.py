@@ -67,7 +67,7 @@ def export_csv(df: DataFrame, path: str, order_by: Iterable[str | Column] = ())
 
 def read_text_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file: path, content and size in bytes."""
-    return spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("size"))
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("size"))
 
 
 def merge_files(spark: SparkSession, paths: list[str], dest: str, mode: str = "overwrite") -> DataFrame:
