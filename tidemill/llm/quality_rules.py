@@ -83,4 +83,4 @@ def beta_prior(n: int, failed: int, sum_sq: float, hosts: int) -> tuple[float, f
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return host_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("host_rate")

@@ -8,6 +8,7 @@ from .jaccard_join import op5_jaccard_join
 from .language_model import op7_maxent_score
 from .mixing import ORACLE as OP2_SQL
 from .mixing import op2_mix_to_weights
+from .oracles import OP5, OP6, OP9
 from .packing import op4_best_fit_packing
 from .quality_model import op1_site_quality
 from .quality_rules import op9_host_rules
@@ -27,4 +28,4 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_to_weights": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mix_to_weights": OP2_SQL, "op5_jaccard_join": OP5, "op6_embedding_dedup": OP6, "op9_host_rules": OP9}
