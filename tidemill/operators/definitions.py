@@ -72,25 +72,25 @@ def task_edges(tasks: DataFrame) -> DataFrame:
     return needs.join(task_names(tasks), ["pipeline", "alias"]).select("pipeline", F.col("name").alias("source"), "target").distinct()
 
 
-def topo_levels(edges: DataFrame, rounds_per_write: int = 3) -> DataFrame:
+def topo_levels(edges: DataFrame, rounds_per_write: int = 6) -> DataFrame:
     """pipeline, task, level and cyclic for edges (pipeline, task, depends_on) of any number of graphs at once.
 
-    A level is the longest path from a task without dependencies. Levels rise along edges until none
-    changes, at most to the number of tasks of the graph, which only tasks on or behind a cycle reach: they get no level.
+    A level is the longest path from a task without dependencies. Levels rise along edges until their sum
+    stays, at most to the number of tasks of the graph, which only tasks on or behind a cycle reach: they get no level.
+    A round is one join and one aggregation, both by task, so it shuffles once; some rounds are planned together before levels are written.
     """
     nodes = edges.select("pipeline", F.explode(F.array("task", "depends_on")).alias("task")).distinct()
     sizes = nodes.groupBy("pipeline").agg(F.count(F.lit(1)).alias("most"))
-    links = stored(edges.select("pipeline", "task", "depends_on").distinct(), "links")
-    levels = stored(nodes.join(sizes, "pipeline").withColumn("level", F.lit(0).cast("long")), "levels")
+    links = stored(edges.select("pipeline", F.col("depends_on").alias("task"), F.col("task").alias("next")).distinct(), "links")
+    levels, total = stored(nodes.join(sizes, "pipeline").withColumn("level", F.lit(0).cast("long")), "levels"), 0
     while True:
-        new = levels
         for _ in range(rounds_per_write):
-            above = links.join(new.select("pipeline", F.col("task").alias("depends_on"), "level"), ["pipeline", "depends_on"]).groupBy("pipeline", "task").agg((F.max("level") + 1).alias("up"))
-            new = new.join(above, ["pipeline", "task"], "left").select("pipeline", "task", "most", F.least("most", F.greatest("level", F.coalesce("up", "level"))).alias("level"))
-        new = stored(new, "levels")
-        moved = not new.join(levels.withColumnRenamed("level", "was"), ["pipeline", "task"]).filter("level > was").isEmpty()
-        levels = new
-        if not moved:
+            up = F.array(F.struct("task", "level"), F.struct(F.col("next").alias("task"), F.least("most", F.col("level") + 1).alias("level")))
+            risen = levels.join(links, ["pipeline", "task"], "left").select("pipeline", "most", F.inline(up)).filter("task IS NOT NULL")
+            levels = risen.groupBy("pipeline", "task").agg(F.max("most").alias("most"), F.max("level").alias("level"))
+        levels, before = stored(levels, "levels"), total
+        total = levels.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
+        if total == before:
             cyclic = F.col("level") >= F.col("most")
             return levels.select("pipeline", "task", F.when(~cyclic, F.col("level")).alias("level"), cyclic.alias("cyclic"))
 

@@ -90,6 +90,21 @@ def _(spark, d):
     return external.kafka_decode(sent, "o_orderkey long, o_orderstatus string, o_totalprice double").select("value.*")
 
 
+@query("s19_read_text_files", "SELECT sum(length(n_name) + 1)::BIGINT AS characters FROM nation")
+def _(spark, d):
+    folder = scratch_dir(spark, "whole")
+    files.write_text(source(spark, d, "nation").select("n_name"), folder)
+    return files.read_text_files(spark, folder).agg(F.sum(F.length("content")).alias("characters"))
+
+
+@query("s22_write_text", "SELECT r_name AS value FROM region UNION ALL SELECT n_name FROM nation")
+def _(spark, d):
+    folder = scratch_dir(spark, "lines")
+    files.write_text(source(spark, d, "region").select("r_name"), folder)
+    files.write_text(source(spark, d, "nation").select("n_name"), folder, "append")
+    return spark.read.text(folder)
+
+
 @query("s20_merge_files", "SELECT count(*) AS lines FROM (SELECT r_name FROM region UNION ALL SELECT n_name FROM nation)")
 def _(spark, d):
     a, b, out = (scratch_dir(spark, "text") for _ in range(3))
