@@ -111,6 +111,8 @@ def test_http_pages(spark):
         got = df.collect()
         assert sorted(r["status"] for r in got) == [200, 200, 200, 200, 404] and sum(r["error"] is not None for r in got) == 1
         parsed = external.json_rows(spark.createDataFrame(got, df.schema), "id int, key string")
+        many = spark.createDataFrame([(f"{base}/items", {"page": str(k)}) for k in range(5)] + [(f"{base}/missing", None)], "url string, params map<string,string>")
+        assert sorted(r["status"] for r in external.http_json_source(spark, many).collect()) == [200] * 5 + [404]
         assert sorted(r["id"] for r in parsed.filter("key = 's'").collect()) == [0, 1, 10, 11, 20, 21]
     finally:
         server.shutdown()
