@@ -10,6 +10,8 @@ from .common import SEPARATORS, keep, whole_text
 MIN_WORDS = 20
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
+#: Parts that each host's documents are dealt into for the join.
+SALTS = 32
 
 
 def text_measures(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -53,7 +55,7 @@ def host_rules(docs: DataFrame, host: str = "source", max_host_rate: float = 0.5
     passes and its host does.
 
     The measures are written once (a few numbers a document); hosts are counted by partial sums before
-    any shuffle, the prior is three sums over hosts, and verdicts are joined by host, where Spark splits skewed hosts.
+    any shuffle, the prior is three sums over hosts, and verdicts are joined by host and part.
 
     Null text: no words, so it fails. Null host: a host of its own, ''. Repeated ids: a row each.
     An empty table gives no rows. Columns other than ``doc_id``, ``text`` and the host are ignored.
@@ -67,7 +69,9 @@ def host_rules(docs: DataFrame, host: str = "source", max_host_rate: float = 0.5
     x = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"), F.sum(F.col("host_docs") * rate * rate).alias("s"), F.count(F.lit(1)).alias("k")).first()
     alpha, beta = beta_prior(x["n"] or 0, x["f"] or 0, float(x["s"] or 0), x["k"])
     verdicts = hosts.withColumn("host_rate", (F.col("host_failed") + alpha) / (F.col("host_docs") + (alpha + beta)))
-    out = judged.join(verdicts, "host")
+    # a host may hold a large share of all documents: its verdict goes to SALTS parts of them
+    parts = verdicts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = judged.withColumn("_part", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(parts, ["host", "_part"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("host_rate") <= max_host_rate)).alias("kept"), "host", "host_docs", "host_failed", "host_rate")
 
 
