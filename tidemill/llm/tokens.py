@@ -26,7 +26,7 @@ _WORDS = {
     "byte": re.compile(f"{_SUFFIX} ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+"),
 }
 #: Words kept in a worker; beyond it the cache starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 #: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -113,7 +113,7 @@ def crc32_of(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def in_chunks(texts: list[str], most: int = 4_000_000):
+def in_chunks(texts: list[str], most: int = 2_000_000):
     """Ranges of texts of about ``most`` characters, at least one text each, so that memory stays bounded."""
     a = size = 0
     for b, text in enumerate(texts):
