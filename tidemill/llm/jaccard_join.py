@@ -28,7 +28,7 @@ BLOCK = 512
 #: Members of a tile that a task passes on; of more it passes on the smallest, with their star pairs.
 LOCAL = 64
 
-_SETS = "doc_id long, n long, s1 long, s2 long, bits binary, few_bits binary, tiles array<long>"
+_SETS = "doc_id long, n long, s1 long, s2 long, bits binary, tiles array<long>"
 
 
 def band_of(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -71,9 +71,9 @@ def tiles_of(h: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def bits_of(h: np.ndarray, each: int = 4) -> bytes:
-    """A hashed bitmap of ``each`` to twice as many bits for every element."""
-    size = min(max(64, 1 << (each * len(h) - 1).bit_length()), 65536)
+def bits_of(h: np.ndarray) -> bytes:
+    """A hashed bitmap of four to eight bits for every element."""
+    size = min(max(64, 1 << (4 * len(h) - 1).bit_length()), 65536)
     field = np.zeros(size, bool)
     field[(h & U(size - 1)).astype(np.int64)] = True
     return np.packbits(field).tobytes()
@@ -105,8 +105,8 @@ def set_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 digest = lambda key: pa.array(np.array([mix(h ^ key).sum() for h in sets], np.uint64).view(np.int64))  # noqa: B023,E731
                 offsets = np.cumsum([0, *map(len, tiles)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()), digest(U(0x2545F4914F6CDD1D)), digest(U(0x1234567887654321)), *(pa.array([bits_of(h, k) if len(h) else b"" for h in sets], pa.binary()) for k in (4, 1)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tiles).view(np.int64)))],
-                    ["doc_id", "n", "s1", "s2", "bits", "few_bits", "tiles"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()), digest(U(0x2545F4914F6CDD1D)), digest(U(0x1234567887654321)), pa.array([bits_of(h) if len(h) else b"" for h in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tiles).view(np.int64)))],
+                    ["doc_id", "n", "s1", "s2", "bits", "tiles"],
                 )
 
     return docs.mapInArrow(build, _SETS)
@@ -161,7 +161,7 @@ def meet_in_tiles(sets: DataFrame) -> DataFrame:
             tiles.append(x.flatten().to_numpy())
             ids.append(np.repeat(batch.column("doc_id").to_numpy(), n))
             size += len(tiles[-1])
-            if size > 3_000_000:
+            if size > 1_000_000:
                 yield from done(tiles, ids)
                 tiles, ids, size = [], [], 0
         if size:
@@ -327,7 +327,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     known = rows.filter("doc_id IS NOT NULL")
     table = keep(set_table(rows, width, percent), "sets")
     sets = table.filter("doc_id IS NOT NULL AND n > 0")
-    classes = keep(sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("few_bits").alias("few_bits")), "classes")
+    classes = keep(sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
     ids = keep(sets.select("doc_id", "s1", "s2", "n").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "n", "rep"), "ids")
     # of equal sets the smallest id alone goes on
     copies = keep(ids.filter("doc_id != rep").select("doc_id").distinct(), "copies")
@@ -369,9 +369,10 @@ def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, per
 
 
 def _within_tiles(met: DataFrame, single: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that their smaller bitmaps let pass, between groups within a tile.
+    """Pairs that their bitmaps let pass, between groups within a tile.
 
-    Members of a tile that are all in one group are compared there. Tiles of the same members are compared once.
+    Members of a tile that are all in one group are compared there. Other tiles are put together by their member of
+    least hash, which tiles of much the same members share, so a pair that shares many tiles is compared few times.
     """
     members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("tile"), F.col("b").alias("doc"))
     heavy = keep(met.filter(F.col("kind") == HEAVY).select(F.col("a").alias("tile")).distinct(), "heavy")
@@ -380,10 +381,10 @@ def _within_tiles(met: DataFrame, single: DataFrame, groups: DataFrame, classes:
         members = members.join(send_if_small(heavy), "tile", "left_anti").unionByName(every)
     named = members.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     named = keep(named.select("tile", "doc", "component"), "tile-members")
-    sums = named.groupBy("tile").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x2"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2")
-    once = keep(sums.groupBy("m", "x1", "x2").agg(F.min("tile").alias("tile")).select("tile"), "once")
-    full = named.join(send_if_small(once), "tile", "left_semi").join(classes.select(F.col("rep").alias("doc"), "n", F.col("few_bits").alias("bits")), "doc")
-    return block_pairs(keep(full, "mixed"), percent)
+    apart = named.groupBy("tile").agg(F.min_by("doc", F.xxhash64("doc")).alias("head"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2")
+    heads = keep(apart.select("tile", "head"), "tile-heads")
+    clusters = named.join(send_if_small(heads), "tile").select(F.col("head").alias("tile"), "doc", "component").distinct()
+    return block_pairs(keep(clusters.join(classes.select(F.col("rep").alias("doc"), "n", "bits"), "doc"), "mixed"), percent)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
