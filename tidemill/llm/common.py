@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, instead of at its next collection of garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
     """Keep batches sent to Python workers to about ``most`` bytes, so that long rows do not add up."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)

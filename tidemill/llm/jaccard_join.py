@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, send_if_small, whole_text
+from .common import keep, release, send_if_small, whole_text
 from .graph import components
 from .shingles import U, mix, shingle_sets
 from .tokens import in_chunks
@@ -328,11 +328,13 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     table = keep(set_table(rows, width, percent), "sets")
     sets = table.filter("doc_id IS NOT NULL AND n > 0")
     classes = keep(sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
+    release(docs.sparkSession)
     ids = keep(sets.select("doc_id", "s1", "s2", "n").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "n", "rep"), "ids")
     # of equal sets the smallest id alone goes on
     copies = keep(ids.filter("doc_id != rep").select("doc_id").distinct(), "copies")
     single = sets.select("doc_id", "tiles").join(send_if_small(copies), "doc_id", "left_anti")
     met = keep(meet_in_tiles(single), "met")
+    release(docs.sparkSession)
     pairs = keep(met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
     fair = keep(plausible(pairs, classes, percent), "fair")
 
@@ -349,6 +351,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
         links = links.unionByName(verified(known, rest, width, percent, "links"))
         labels = components(links)
     groups = components(fair)
+    release(docs.sparkSession)
     more = _within_groups(groups, labels, classes, percent).unionByName(_within_tiles(met, single, groups, classes, percent))
     more = keep(across(more.distinct().join(pairs, ["a", "b"], "left_anti"), labels), "more")
     if not more.isEmpty():
@@ -384,7 +387,9 @@ def _within_tiles(met: DataFrame, single: DataFrame, groups: DataFrame, classes:
     apart = named.groupBy("tile").agg(F.min_by("doc", F.xxhash64("doc")).alias("head"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2")
     heads = keep(apart.select("tile", "head"), "tile-heads")
     clusters = named.join(send_if_small(heads), "tile").select(F.col("head").alias("tile"), "doc", "component").distinct()
-    return block_pairs(keep(clusters.join(classes.select(F.col("rep").alias("doc"), "n", "bits"), "doc"), "mixed"), percent)
+    mixed = keep(clusters.join(classes.select(F.col("rep").alias("doc"), "n", "bits"), "doc"), "mixed")
+    release(mixed.sparkSession)
+    return block_pairs(mixed, percent)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
