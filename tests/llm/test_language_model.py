@@ -66,3 +66,22 @@ def test_odd_rows(spark):
     assert lm.score_documents(df.limit(0)).collect() == []
     only = [(i, "a b c") for i in range(60) if held(i)]
     check(lm.score_documents(spark.createDataFrame(only, "doc_id long, text string")).collect(), only)
+
+
+def test_word_sequences_count(spark, monkeypatch):
+    """Two documents with the same classes at all places differ by whether their words were seen together."""
+
+    def classes(train, words):
+        c = np.full(words + 2, 1 + lm.SINGLES)
+        c[: 1 + lm.SINGLES] = np.arange(1 + lm.SINGLES)
+        c[-1] = lm.CLASSES - 1
+        return c
+
+    monkeypatch.setattr(lm, "word_classes", classes)
+    n = lm.SINGLES
+    pair = lambda i, k: f"left{i} right{(i + k) % n}"
+    ids = [i for i in range(2000) if held(i)][:2]
+    text = lambda i, k: " ".join(pair((i * 7 + j * 11) % (3 * n), k) for j in range(n))
+    rows = [(i, text(i, 0)) for i in range(200) if not held(i)] + [(ids[0], text(5, 0)), (ids[1], text(5, 1))]
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[ids[0]] > got[ids[1]] + 10

@@ -1,4 +1,4 @@
-"""Language-model scores from a hashed maximum-entropy model with a class-factored softmax."""
+"""Language-model scores from a maximum-entropy model with a class-factored softmax over features of classes and of words."""
 
 from __future__ import annotations
 
@@ -14,10 +14,14 @@ from .tokens import in_chunks
 #: Words with a code of their own (the most frequent ones); all others are in the last class.
 HEAD = 131_072
 #: Words that are a class each, words that others are grouped by, groups, and the rank that splits a group in two.
-SINGLES, SEEDS, GROUPS, BAND = 22, 64, 8, 4096
+SINGLES, SEEDS, GROUPS, BAND = 30, 64, 8, 4096
 CLASSES = 1 + SINGLES + 2 * GROUPS + 1
 #: Rows of the hashed weight table, and gradient steps.
-BUCKETS, STEPS = 8_192, 15
+BUCKETS, STEPS = 16_384, 25
+#: Sweeps over the word features, tokens dealt to a task, and tokens after one word that are fitted together.
+SWEEPS, DEAL, FIT = 3, 1_000_000, 200_000
+#: Pseudo-counts of a feature to choose from; the last leaves it without effect.
+PSEUDO = (*(2.0**k for k in range(13)), 1e12)
 END = np.int64(0x7E57AB1E0DD5EED)
 #: Which of the three classes before a token each feature looks at: n-grams, then skips.
 FEATURES = ((1, 0, 0), (1, 1, 0), (1, 1, 1), (0, 1, 0), (0, 1, 1), (1, 0, 1))
@@ -272,12 +276,176 @@ def train_weights(train: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np
     return weights, prior
 
 
+def _keys(w1: np.ndarray, w2: np.ndarray, shards: np.ndarray) -> np.ndarray:
+    """One number for each word before a token; a word with many tokens after it has one for each shard of the words before it."""
+    n = shards[np.where(w1 < len(shards), w1, 0)]
+    return mix((w1.astype(np.uint64) << U(32)) + mix(w2.astype(np.uint64)) % n)
+
+
+def pseudo_count(seen: np.ndarray, n: np.ndarray, expected: np.ndarray) -> float:
+    """The pseudo-count under which each seen token is likeliest from all others of its feature.
+
+    ``seen`` holds how often each cell (feature, class) was seen, ``n`` its feature, and ``expected`` the share of the class without it.
+    """
+    ok = (seen > 0) & (n > 1)
+    c, n, q = seen[ok].astype(float), n[ok].astype(float), np.maximum(expected[ok].astype(float), 1e-30)
+    return max(PSEUDO, key=lambda m: (float(np.sum(c * (np.log((c - 1 + m * q) / (n - 1 + m)) - np.log(q)))), m))
+
+
+def fit_words(key, w2, w3, context, own, train, row, table) -> np.ndarray:
+    """log10 of p(class | word and class features) less that of the class features alone, for each token.
+
+    Tokens are sorted by ``key``, ``w2`` and ``w3`` and hold all tokens of their keys. The features are the word before,
+    the skip (word before and third word before) and the pair before; each in turn is scaled to what the training tokens hold plus
+    a pseudo-count of tokens as expected without it. Their logits add to those of the class features. Three words before fix
+    all of them, so the row of the three is solved at once. Pseudo-counts are chosen by leaving tokens out, from
+    counts in which what a document repeats counts once.
+    """
+    change = np.ones((3, len(key)), bool)
+    change[0, 1:] = key[1:] != key[:-1]
+    change[1, 1:] = change[0, 1:] | (w2[1:] != w2[:-1])
+    change[2, 1:] = change[1, 1:] | (w3[1:] != w3[:-1])
+    t = np.cumsum(change[2]) - 1
+    at = np.flatnonzero(change[2])
+    a, b = np.cumsum(change[0])[at] - 1, np.cumsum(change[1])[at] - 1
+    s = np.unique((a.astype(np.uint64) << U(32)) + w3[at], return_inverse=True)[1]
+    size = len(at)
+    total = np.bincount(t[train], minlength=size).astype(np.float32)
+    counts = np.bincount(t[train] * CLASSES + own[train], minlength=size * CLASSES).astype(np.float32).reshape(size, CLASSES)
+    # cells (three words, class) seen in training, by how many documents
+    cell, of = t[train] * CLASSES + own[train], row[train]
+    by = np.lexsort((of, cell))
+    cell = cell[by][(np.diff(cell[by], prepend=-1) != 0) | (np.diff(of[by], prepend=-1) != 0)]
+    cell, docs = np.unique(cell, return_counts=True)
+    cell_at, cell_own = cell // CLASSES, cell % CLASSES
+
+    def chosen(g, expected):
+        """Pseudo-count of a family of features, from the documents of its cells."""
+        k, back = np.unique(g[cell_at] * CLASSES + cell_own, return_inverse=True)
+        seen = np.bincount(back, docs, len(k))
+        return pseudo_count(seen, np.bincount(k // CLASSES, seen)[k // CLASSES] if len(k) else seen, expected[k // CLASSES, k % CLASSES])
+
+    x = table[context[at]] * np.float32(np.log(10))
+
+    def normal():
+        nonlocal x
+        x -= x.max(1, keepdims=True)
+        x -= np.log(np.exp(x).sum(1, keepdims=True))
+        return np.exp(x)
+
+    families = []
+    for g in (a, s, b):
+        by = np.argsort(g, kind="stable")
+        first = np.flatnonzero(np.diff(g[by], prepend=-1))
+        families.append((g, by, first, np.add.reduceat(counts[by], first), np.add.reduceat(total[by], first)[:, None]))
+    goals: dict = {}
+    for _ in range(SWEEPS):
+        for k, (g, by, first, seen, n) in enumerate(families):
+            wanted = np.add.reduceat((normal() * total[:, None])[by], first)
+            if k not in goals:
+                expected = wanted / np.maximum(n, 1)
+                m = chosen(g, expected)
+                goals[k] = (seen + m * expected) * (n / (n + m))
+            step = np.log(np.maximum(goals[k], 1e-30)) - np.log(np.maximum(wanted, 1e-30))
+            x += np.where(n > 0, step, 0).astype(np.float32)[g]
+    q = normal()
+    m = chosen(np.arange(size), q)
+    p = (counts[t, own] + m * q[t, own].astype(float)) / (total[t] + m)
+    return np.log10(np.maximum(p, 1e-30)) - table[context, own]
+
+
+def word_gains(documents: DataFrame, classes: np.ndarray, often: np.ndarray, table: np.ndarray, tokens: int) -> DataFrame:
+    """row, gain: what the word features add to the score of each document.
+
+    All features hold the word before a token, so tokens are dealt by it: each task has all tokens of its features, fits
+    their weights and scores with them, and the weights grow with the corpus and never leave the tasks. Tokens travel as packed arrays.
+    A word with more than :data:`FIT` training tokens is dealt into shards by the word before it, and has weights in each.
+    """
+    spark = documents.sparkSession
+    parts = -(-tokens * 7 // 6 // DEAL) or 1
+    shards = np.ones(len(often) + 2, np.uint64)
+    shards[1 : len(often) + 1] = -(-often // FIT)
+    sent = spark.sparkContext.broadcast((classes, shards, table))
+
+    def deal(batches):
+        classes, shards, _ = sent.value
+        unknown = len(classes) - 1
+        held, size = [], 0
+
+        def done():
+            w1, w2, w3, own, row = (np.concatenate(x) for x in zip(*held))
+            part = (_keys(w1, w2, shards) % U(parts)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[by], prepend=-1)).tolist()
+            ids, ns, blobs = [], [], []
+            for i, j in zip(cuts, [*cuts[1:], len(by)]):
+                o = by[i:j]
+                ids.append(int(part[o[0]]))
+                ns.append(j - i)
+                blobs.append(pa.compress(b"".join(c.tobytes() for c in (w1[o], w2[o], w3[o], np.diff(row[o], prepend=0), own[o])), codec="zstd", asbytes=True))
+            for i in range(0, len(ids), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 64], pa.int64()), pa.array(ns[i : i + 64], pa.int64()), pa.array(blobs[i : i + 64], pa.binary())], ["part", "n", "blob"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, at = _lists(batch.column("codes"))
+            w = v.astype(np.uint32)
+            w[v == unknown] = (mix(batch.column("tails").flatten().to_numpy().view(np.uint64)) >> U(33)).astype(np.uint32) | np.uint32(1 << 31)
+            n = np.diff(at)
+            place = np.arange(len(v)) - np.repeat(at[:-1], n)
+            before = []
+            for k in (1, 2, 3):
+                x = np.zeros(len(v), np.uint32)
+                x[k:] = w[:-k]
+                x[place < k] = 0
+                before.append(x)
+            ok = place > 0
+            train = ~np.repeat(batch.column("held_out").to_numpy(zero_copy_only=False), n)
+            held.append([*(x[ok] for x in before), (classes[v] + 128 * train)[ok].astype(np.uint8), np.repeat(batch.column("row").to_numpy(), n)[ok]])
+            size += len(v)
+            if size > 2_000_000:
+                yield from done()
+                held, size = [], 0
+        if size:
+            yield from done()
+
+    def fit(batches):
+        classes, shards, table = sent.value
+        rest = len(classes) - 1
+        held = []
+        for batch in batches:
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("blob").to_pylist()):
+                raw = pa.decompress(blob, decompressed_size=21 * n, codec="zstd", asbytes=True)
+                held.append([*(np.frombuffer(raw, np.uint32, n, 4 * n * k) for k in range(3)), np.cumsum(np.frombuffer(raw, np.int64, n, 12 * n)), np.frombuffer(raw, np.uint8, n, 20 * n)])
+        if not held:
+            return
+        w1, w2, w3, row, own = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        key = _keys(w1, w2, shards)
+        by = np.lexsort((w3, w2, key))
+        key, w1, w2, w3, row, own = (x[by] for x in (key, w1, w2, w3, row, own))
+        starts = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)]
+        gain, a = np.zeros(len(key)), 0
+        for b, c in zip(starts[1:], [*starts[2:], None]):
+            if c is None or c - a > 50_000:
+                u, v, w = w1[a:b], w2[a:b], w3[a:b]
+                c1, c2, c3 = (classes[np.minimum(x, rest)] for x in (u, v, w))
+                gain[a:b] = fit_words(key[a:b], v, w, (c1 * CLASSES + c2) * CLASSES + c3, (own[a:b] & 127).astype(np.int64), own[a:b] > 127, row[a:b], table)
+                a = b
+        rows, at = np.unique(row, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, gain))], ["row", "gain"])
+
+    dealt = documents.select("row", "held_out", "codes", "tails").mapInArrow(deal, "part long, n long, blob binary").repartition(parts, "part")
+    return dealt.mapInArrow(fit, "row long, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Documents whose crc32(doc_id as text) mod 7 is 2 are held out; the others train. Tokens are words (split at ASCII white
     space, A-Z lower-cased) and one end. ``base_score``: add-one unigram, log10. ``score``: log10 of
-    p(class | three classes before) * p(word | class). Words beyond the :data:`HEAD` most frequent ones form one class, in which counts
+    p(class | three classes and three words before) * p(word | class). Words beyond the :data:`HEAD` most frequent ones form one class, in which counts
     (plus one, with one share for all unknown words) come by a join with the counts of the whole corpus; only sums per document return.
 
     Null text: empty, the end alone. Null id: trains. Repeated ids: a row each. With no training documents every word is
@@ -308,7 +476,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     within[-1] = -np.log10(rest_tokens + rest_words + 1)
     every = np.arange(CLASSES**3)
     table = np.concatenate([log_softmax(weights, prior, feature_rows(part)) for part in np.array_split(every, 16)]) / np.log(10)
-    sent = spark.sparkContext.broadcast((table.astype(np.float32), classes, plus_one, within))
+    table = table.astype(np.float32)
+    sent = spark.sparkContext.broadcast((table, classes, plus_one, within))
 
     def score(batches):
         table, classes, plus_one, within = sent.value
@@ -327,9 +496,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     scored = documents.select("row", "doc_id", "held_out", "codes").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, plus double, logs double")
     rest = documents.select("row", F.explode("tails").alias("h")).join(counts, "h").groupBy("row").agg(F.count(F.lit(1)).alias("rest_known"), F.sum(F.log10(F.col("c") + 1)).alias("rest_plus"))
-    joined = scored.join(rest, "row", "left").na.fill(0, ["rest_known", "rest_plus"])
+    gains = word_gains(documents, classes, often, table, int(total))
+    joined = scored.join(rest, "row", "left").join(gains, "row", "left").na.fill(0, ["rest_known", "rest_plus", "gain"])
     base = F.col("plus") + F.col("rest_plus") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
-    return joined.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("rest_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("logs") + F.col("rest_plus")).alias("score"))
+    return joined.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("rest_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("logs") + F.col("gain") + F.col("rest_plus")).alias("score"))
 
 
 def op7_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
