@@ -46,3 +46,10 @@ def test_query(spark, sf, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_no_rows_left_out(spark, sf, duck):
+    """Every run has a cost, and every pipeline counts."""
+    n_orders, n_parts = duck.sql("SELECT (SELECT count(*) FROM orders), (SELECT count(*) FROM part)").fetchall()[0]
+    assert QUERIES["k1_run_cost"](spark, sf).count() == n_orders
+    assert QUERIES["r11_pipeline_summary"](spark, sf).count() == QUERIES["r12_workspace_stats"](spark, sf).first()["total_pipelines"] == n_parts

@@ -151,8 +151,10 @@ RATE = 0.0001
 
 
 def run_cost(df: DataFrame, rate: float = RATE) -> DataFrame:
-    """Compute units of each run: tasks times seconds times rate."""
-    units = F.round(F.col("task_count") * F.col("duration_seconds") * F.lit(rate), 6)
+    """Compute units of each run: tasks times seconds times rate, to 6 digits; halves of the sixth, as doubles give them, go away from zero."""
+    units = F.col("task_count") * F.col("duration_seconds") * F.lit(float(rate))
+    # beyond 1e9 a double has no such digits to spare
+    units = F.when(F.abs(units) < 1e9, F.signum(units) * F.floor(F.abs(units) * 1e6 + 0.5) / 1e6).otherwise(units)
     return df.withColumns({"estimated_cost_usd": units, "duration_seconds": F.round("duration_seconds", 3)})
 
 

@@ -516,10 +516,9 @@ def _(spark, d, events):
 _COST = "count(*) AS runs, CAST(sum(CAST(duration_seconds AS DECIMAL(24,6))) AS DOUBLE) AS duration_seconds, CAST(sum(CAST(estimated_cost_usd AS DECIMAL(24,6))) AS DOUBLE) AS cost"
 
 
-@query("k1_run_cost", "SELECT run_id, task_count, CAST(round(task_count * duration_seconds * 0.0001::DOUBLE, 6) * 1e6 AS BIGINT) AS micro_units FROM costs WHERE CAST(round(duration_seconds * 100000) AS BIGINT) * task_count % 1000 <> 500", "costs")
+@query("k1_run_cost", "SELECT run_id, task_count, CAST(round(task_count * duration_seconds * 0.0001::DOUBLE, 6) * 1e6 AS BIGINT) AS micro_units FROM costs", "costs")
 def _(spark, d, costs):
-    exact = costs.filter("CAST(round(duration_seconds * 100000) AS BIGINT) * task_count % 1000 <> 500")  # no half at the last digit
-    return runs.run_cost(exact).select("run_id", "task_count", F.round(F.col("estimated_cost_usd") * 1e6).cast("long").alias("micro_units"))
+    return runs.run_cost(costs).select("run_id", "task_count", F.round(F.col("estimated_cost_usd") * 1e6).cast("long").alias("micro_units"))
 
 
 @query("k2_cost_by_pipeline", f"SELECT pipeline_name, team, {_COST}, max(recorded_at) AS last_run, 'compute_units' AS unit FROM costs GROUP BY pipeline_name, team ORDER BY cost DESC, pipeline_name, team NULLS LAST LIMIT 100", "costs")

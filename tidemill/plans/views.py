@@ -34,7 +34,7 @@ VIEWS = {
     "sql_log": """SELECT p_partkey AS query_id, concat('INSERT INTO out', CAST(p_partkey % 9 AS STRING), ' SELECT * FROM a', CAST(p_size AS STRING), ' JOIN ', lower(p_type), ' ON 1=1 -- FROM hidden') AS sql_text FROM part""",
     "queue": """SELECT concat('run_', CAST(o_orderkey AS STRING)) AS run_id, concat('pipe_', CAST(o_custkey % 100 AS STRING)) AS pipeline_name, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'completed' END AS status,
         o_orderdate AS queued_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS completed_at, CAST(NULL AS STRING) AS error FROM orders""",
-    "pipelines": """SELECT concat('pipe_', CAST(p_partkey AS STRING)) AS pipeline_name, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS schedule FROM part WHERE p_partkey < 40""",
+    "pipelines": """SELECT concat('pipe_', CAST(p_partkey AS STRING)) AS pipeline_name, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS schedule FROM part""",
     "tasks": """SELECT DIV(p_partkey,20) AS pipeline, concat('task_', CAST(p_partkey % 20 AS STRING)) AS name, CASE WHEN p_size % 2 = 0 THEN concat('id_', CAST(p_partkey % 20 AS STRING)) END AS id, p_brand AS plugin, p_type AS tag, p_size AS size, p_partkey % 20 AS n FROM part""",
 }
 
