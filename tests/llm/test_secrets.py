@@ -48,3 +48,12 @@ def test_random_strings_and_redaction():
     s = Scanner.get(VOCABULARY, public_tokenizers.PATTERN)
     assert s.is_random("aB3xY7kQ9zL2mN8pR4tV6wX1", 2.2) and not s.is_random("internationalization2023", 2.2)
     assert redact("abcdef", [(1, 0, 4), (2, 2, 3), (3, 2, 5)], "*") == "a*f"
+
+
+def test_letters_short_keys_and_parts_around_base_spans():
+    s = Scanner.get(VOCABULARY, public_tokenizers.PATTERN)
+    for key in ("xKvQmLpZtRwYsBnHdFgC", "xkvqmlpztrwysbnhdfgcjq", "aB3xY7kQ9zL2mN8p"):
+        assert s.spans(f"a {key} b", 2.2)[1] == [(2, 3, 2 + len(key))], key
+    key = "xK9vQ2mLp8Zt4Rw7Ys1B-deadbeefdeadbeef-n6HdT3gWq5Jc8Vx2Pz4M"
+    assert s.spans(key, 2.2)[1] == [(0, 3, 20), (21, 2, 37), (38, 3, len(key))] and "n6Hd" not in redact(key, s.spans(key, 2.2)[1])
+    assert not any(s.is_random(x, 2.2) for x in ("Donaudampfschifffahrtsgesellschaft", "getElementsByClassName", "2024-11-28/12-30-59", "undeinpfkeitheit"))
