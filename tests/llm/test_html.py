@@ -44,3 +44,8 @@ def test_templates_and_odd_rows(spark):
         by = {r["page_id"]: r["text"] for r in got}
         assert len(got) == len(pages) and by[7] == "Story 7 of many words\nRated by 1 readers" and by[110] == "Same text" and by[200] == ""
     assert extract_main_text(df.limit(0)).collect() == []
+
+
+def test_blocks_of_links_stay():
+    page = "<body><p>Text of the story</p><p><a href=x>A paragraph that is one link</a></p><ul><li><a href=y>Source one</a><li><a href=z>Source</a> two</ul></body>"
+    assert main_text(page) == "Text of the story\nA paragraph that is one link\nSource one\nSource two"

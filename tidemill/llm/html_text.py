@@ -50,35 +50,29 @@ def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
 def parse(page: str):
     """Blocks of text in page order, and the tags of the page as tokens.
 
-    A block is (path, text, noise, within an article, share of its text in links); tokens are paths.
+    A block is (path, text, noise, within an article); tokens are paths.
     """
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, article
-    blocks, tags, text, links = [], [], [], 0
-    path, noise, article, in_link = "", False, False, 0
+    blocks, tags, text = [], [], []
+    path, noise, article = "", False, False
 
     def flush():
-        nonlocal links
         if text:
             whole = " ".join(unescape("".join(text)).split())
             if whole:
-                blocks.append((path, whole, noise, article, links / max(1, len(whole))))
+                blocks.append((path, whole, noise, article))
             text.clear()
-        links = 0
 
     def pop(k: int):
-        nonlocal path, noise, article, in_link
+        nonlocal path, noise, article
         flush()
-        in_link -= sum(s[0] == "a" for s in stack[k:])
         del stack[k:]
         _, path, noise, article = stack[-1] if stack else ("", "", False, False)
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            piece = page[at : m.start()]
-            text.append(piece)
-            if in_link:
-                links += len(piece)
+            text.append(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if not tag:
@@ -90,7 +84,6 @@ def parse(page: str):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     if tag in INLINE and all(s[0] in INLINE for s in stack[k:]):
-                        in_link -= sum(s[0] == "a" for s in stack[k:])
                         del stack[k:]
                     elif tag not in INLINE:
                         pop(k)
@@ -100,7 +93,6 @@ def parse(page: str):
                 flush()
         elif tag in INLINE:
             stack.append((tag, path, noise, article))
-            in_link += tag == "a"
             if _is_noise(tag, m["attrs"], article) and not noise:
                 flush()
                 noise = True
@@ -142,8 +134,6 @@ def main_text(page: str, template=frozenset()) -> str:
     kept = [b for b in blocks if not b[2]]
     if any(b[3] for b in kept):
         kept = [b for b in kept if b[3]]
-    else:
-        kept = [b for b in kept if b[4] <= 0.5]
     return "\n".join(text for path, text, *_ in kept if not template or _key(path, text) not in template)
 
 
