@@ -9,14 +9,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes the shuffle files of a query at its end, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, deleted when the driver's Python ends; where a session has none (tests), under a temporary folder."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. A local session without one gets a temporary folder; on a cluster it has to be set."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's Python ends at the latest."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
     return path
 
@@ -27,8 +37,31 @@ def _delete(spark: SparkSession, path: str) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextlib.contextmanager
+def shuffles_end_with_query(spark: SparkSession):
+    """Shuffle files of queries run inside are deleted as they end; the session's own setting returns afterwards."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table and read it back, so that later plans start from it."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table and read it back, so that later plans start from it and need nothing before it."""
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, name)
+    with shuffles_end_with_query(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads: call it once what was made of them is written itself."""
+    for t in tables:
+        _delete(t.sparkSession, t.stored_path)
