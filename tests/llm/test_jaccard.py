@@ -2,9 +2,11 @@ import random
 import re
 
 import pyarrow.parquet as pq
+import pytest
 
 from tidemill.llm.graph import components
-from tidemill.llm.jaccard_join import band_of, jaccard_components, linked, op5_jaccard_join, overlap_bound, bits_of
+import tidemill.llm.jaccard_join as jj
+from tidemill.llm.jaccard_join import bits_of, jaccard_components, linked, op5_jaccard_join, overlap_bound, tile_bands
 from tidemill.llm.shingles import shingle_sets
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -108,14 +110,31 @@ def test_odd_rows(spark):
     assert again.count() == 24 and {k: v for k, v in result(again).items() if k is not None} == want
 
 
-def test_parts_exceed_what_linked_sets_can_differ_in():
+def test_first_elements_reach_what_linked_sets_share():
     for percent in (80, 90):
-        for s in range(1, 400):
-            for t in range(s, 100 * s // percent + 1):
-                shared = next(i for i in range(s + 1) if linked(i, s, t, percent))
-                if s + t - 2 * shared:
-                    common = {x[0]: x for x in band_of(s, percent)}.keys() & {x[0] for x in band_of(t, percent)}
-                    assert any(p - e > s + t - 2 * shared for b, p, e in band_of(s, percent) if b in common)
+        for n in range(1, 400):
+            for m in range(n, 100 * n // percent + 1):
+                shared = next(i for i in range(n + 1) if linked(i, n, m, percent))
+                if n + m > 2 * shared:
+                    x, y = dict(tile_bands(n, percent)), dict(tile_bands(m, percent))
+                    assert any(x[b] >= n - shared + 1 and y[b] >= m - shared + 1 for b in x.keys() & y.keys()), (n, m)
+
+
+@pytest.mark.parametrize("small", [{"LOCAL": 2}, {"BLOCK": 3}, {"STAR": 2}, {"LOCAL": 3, "BLOCK": 2, "STAR": 1}])
+def test_large_groups_take_the_same_links(spark, monkeypatch, small):
+    """Bounds at which groups are dealt into parts do not change what is found."""
+    for k, v in small.items():
+        monkeypatch.setattr(jj, k, v)
+    rng, rows = random.Random(7), []
+    for g in range(5):
+        base = [f"g{g}w{k}" for k in range(70)]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                words[rng.randrange(70)] = f"x{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + k, " ".join(f"g0w{j}" for j in range(70))) for k in range(30)]
+    assert result(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
 def test_bitmap_bound_and_components(spark):

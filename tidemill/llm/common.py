@@ -2,73 +2,63 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.sources.scratch import drop, scratch_dir, shared_dir
+from tidemill.sources.scratch import stored as keep
+
+__all__ = ["SEPARATORS", "WORD", "drop", "free_name", "join_hot", "keep", "numbered", "scratch_dir", "send_if_small", "shared_dir", "text_of"]
+
 #: ASCII white space, the only separators of words.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session has none (local tests) a temporary one is made.
-    """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
+#: Tables of at most so many bytes (rows times the width of their columns) are sent to all executors; larger ones are joined by a shuffle.
+SEND_BYTES = 32 << 20
+_WIDTH = {"bigint": 8, "int": 4, "smallint": 2, "tinyint": 1, "boolean": 1, "double": 8, "float": 4, "date": 4, "timestamp": 8}
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+def text_of(docs: DataFrame, text: str = "text") -> Column:
+    """The text column; null counts as empty."""
+    return F.coalesce(docs[text].cast("string"), F.lit(""))
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, instead of at its next collection of garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
 
+def send_if_small(df: DataFrame, most: int = SEND_BYTES) -> DataFrame:
+    """Broadcast a written table if its values have at most ``most`` bytes in all; else leave it to a shuffle."""
+    wide = [c for c, t in df.dtypes if t not in _WIDTH]
+    size = lambda c: F.coalesce(F.octet_length(F.col(c) if dict(df.dtypes)[c] == "binary" else F.col(c).cast("string")), F.lit(0))
+    each = F.lit(sum(_WIDTH.get(t, 0) for _, t in df.dtypes)) + sum((size(c) for c in wide), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(each.cast("long"))).first()[0] or 0) <= most else df
 
-def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
-    """Keep batches sent to Python workers to about ``most`` bytes, so that long rows do not add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as set it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
-def whole_text(docs: DataFrame, text: str = "text"):
-    """The text column; null counts as empty."""
-    bound_batches(docs.sparkSession)
-    return F.coalesce(docs[text].cast("string"), F.lit(""))
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows written with a number of their own (long) in column ``name``, by which they are told apart whatever their ids."""
+    return keep(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
-#: Tables of at most so many narrow rows are sent to all executors; larger ones are joined by a shuffle.
-SEND_ROWS = 2_000_000
 
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], spread: list[str], how: str = "inner", most: int = 100_000, heaviest: int | None = None) -> DataFrame:
+    """``left`` (many rows of a key) joined with ``right`` (one or few rows of a key).
 
-def send_if_small(df: DataFrame, most: int = SEND_ROWS) -> DataFrame:
-    """Broadcast a written table if it has few rows; else leave it to a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    A key with over ``most`` rows on the left is dealt into parts by hash of the columns ``spread``; its rows on the right
+    go to each part. Hot keys are at most rows / ``most``, and are counted by partial sums. ``heaviest``: rows of the heaviest key, where known.
+    """
+    keys = [key] if isinstance(key, str) else key
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if heaviest is None:
+        heaviest = counts.agg(F.max("_n")).first()[0] or 0
+    if heaviest <= most:
+        return left.join(right, keys, how)
+    sent = send_if_small(keep(counts.filter(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_parts")), "hot-keys"))
+    parts = F.coalesce("_parts", F.lit(1))
+    many = left.join(sent, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")
+    few = right.join(sent, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return many.join(few, [*keys, "_part"], how).drop("_part")

@@ -1,10 +1,10 @@
 """Exact Jaccard self-join of documents on word shingles.
 
-Two sets of sizes s and t with 100 * |intersection| >= percent * |union| differ in at most
-(s + t) * (100 - percent) / (100 + percent) elements. Documents are put into bands by set size, and the
-hash space of a band is cut into more parts than two linked sets of that band can differ
-in: two linked sets are then equal in some part. A tile is a band, a part and the content
-of that part. Within tiles a pair must first pass the bound that hashed bitmaps give (bits
+Two sets of sizes n and m with 100 * |intersection| >= percent * |union| share at least percent * (n + m) / (100 + percent)
+elements. Documents are put into bands by set size. All shingles have one order: rare ones before frequent ones (by
+counters over all documents), then by hash. If two sets share o elements, then the first n - o + 1 of the one and the first m - o + 1
+of the other, in that order, have one in common. A tile is a band and such a shingle; a set is in the tiles of its own band and,
+if it can be linked to sets there, of the next. Within tiles a pair must first pass the bound that hashed bitmaps give (bits
 set on one side only count elements missing on the other), then the exact intersection of
 its sorted arrays. Candidates by tiles lose no link: there is no sampling or probability in it
 beyond 64-bit hashes standing for shingles.
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, release, send_if_small, whole_text
+from .common import drop, join_hot, keep, send_if_small, text_of
 from .graph import components
 from .shingles import U, mix, shingle_sets
 from .tokens import in_chunks
@@ -28,47 +28,48 @@ BLOCK = 512
 #: Members of a tile that a task passes on; of more it passes on the smallest, with their star pairs.
 LOCAL = 64
 
-_SETS = "doc_id long, n long, s1 long, s2 long, bits binary, tiles array<long>"
+#: Counters that shingles are dealt to by hash, for their order alone, and the rows that a task sends them in.
+COUNTERS, SLICES = 1 << 20, 64
 
+#: Pairs of one document beyond which they are dealt into parts for joins.
+STAR = 10_000
 
-def band_of(n: int, percent: int) -> list[tuple[int, int, int]]:
-    """(band, parts, empty parts that may be left out) of the bands where a set of ``n`` elements has tiles.
+_DIGESTS = "doc_id long, n long, s1 long, s2 long, slice int, counts binary"
+_TILES = "doc_id long, n long, s1 long, s2 long, bits binary, tiles array<long>"
 
-    A set has tiles in its own band, and in the next if it can be linked to a set there.
-    """
+
+def tile_bands(n: int, percent: int) -> list[tuple[int, int]]:
+    """(band, elements) for each band where a set of ``n`` elements has tiles: its first ``elements`` stand for it there."""
+    if 100 * n < percent * (n + 1):
+        return []  # linked to equal sets only
     ratio = 0.008 * percent
     low, band = 1, 0
     while (high := max(low, int(low / ratio))) < n:
         low, band = high + 1, band + 1
-    tops = [(band, high)]
+    least = lambda m: n + 1 + (-percent * (n + m)) // (100 + percent)
+    found = [(band, least(-(-percent * n // 100)))]
     if 100 * n >= percent * (high + 1):
-        tops.append((band + 1, max(high + 1, int((high + 1) / ratio))))
-    found = []
-    for b, top in tops:
-        differ = 2 * top * (100 - percent) // (100 + percent)
-        if differ:  # else only equal sets are linked
-            # more parts than can differ: one equal part is not empty, unless there are more empty ones than spare
-            spare = max(1, differ // 64)
-            found.append((b, differ + 1 + spare, spare))
+        found.append((band + 1, least(high + 1)))
     return found
 
 
 _bands: dict = {}
 
 
-def tiles_of(h: np.ndarray, percent: int) -> np.ndarray:
-    out, spread = [], np.concatenate([[U(0)], np.cumsum(mix(h ^ U(0x5851F42D4C957F2D)))])
+def tiles_of(h: np.ndarray, seen: np.ndarray, percent: int) -> np.ndarray:
     if (len(h), percent) not in _bands:
         if len(_bands) > 100_000:
             _bands.clear()
-        _bands[len(h), percent] = band_of(len(h), percent)
-    for band, parts, spare in _bands[len(h), percent]:
-        part = ((h >> U(32)) * U(parts)) >> U(32)
-        at = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        filled = np.diff(at)
-        tile = mix(spread[at[1:]] - spread[at[:-1]] + mix((np.arange(parts, dtype=np.uint64) << U(16)) + U(band) + U(1)))
-        out.append(tile if (filled == 0).sum() > spare else tile[filled > 0])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        _bands[len(h), percent] = tile_bands(len(h), percent)
+    bands = _bands[len(h), percent]
+    if not bands:
+        return np.zeros(0, np.uint64)
+    first = h[np.lexsort((h, seen[counter_of(h)]))[: max(m for _, m in bands)]]
+    return np.concatenate([mix(first[:m] ^ mix(np.array([band + 1], np.uint64))) for band, m in bands])
+
+
+def counter_of(h: np.ndarray) -> np.ndarray:
+    return (h >> U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
 def bits_of(h: np.ndarray) -> bytes:
@@ -93,23 +94,67 @@ def linked(shared, n1, n2, percent: int):
     return 100 * shared >= percent * (n1 + n2 - shared)
 
 
-def set_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """One row per document: size and digests of its set, bitmap and tiles."""
+def _digests(ids, sets: list[np.ndarray]) -> list[pa.Array]:
+    digest = lambda key: pa.array(np.array([mix(h ^ key).sum() for h in sets], np.uint64).view(np.int64))
+    return [ids, pa.array([len(h) for h in sets], pa.int64()), digest(U(0x2545F4914F6CDD1D)), digest(U(0x1234567887654321))]
+
+
+def digest_table(docs: DataFrame, width: int) -> DataFrame:
+    """A row per document with size and digests of its set, and for each task :data:`SLICES` rows with its counts of shingles."""
+
+    def build(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in in_chunks(texts, 1_000_000):
+                sets = shingle_sets(texts[a:b], width)
+                total += np.bincount(counter_of(np.concatenate(sets)), minlength=COUNTERS)
+                yield pa.RecordBatch.from_arrays([*_digests(batch.column("doc_id").slice(a, b - a), sets), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], ["doc_id", "n", "s1", "s2", "slice", "counts"])
+        if total.any():
+            blobs = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in total.reshape(SLICES, -1)]
+            nulls = [pa.nulls(SLICES, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "s1", "s2", "slice", "counts"])
+
+    return docs.mapInArrow(build, _DIGESTS)
+
+
+def shingle_counts(digests: DataFrame) -> np.ndarray:
+    """The counters of all tasks summed up, first in the tasks that read them and then by slice: :data:`COUNTERS` numbers whatever the corpus."""
+    size = COUNTERS // SLICES
+    read = lambda blob: np.frombuffer(pa.decompress(blob, decompressed_size=8 * size, codec="zstd", asbytes=True), np.int64)
+
+    def add(batches):
+        held: dict = {}
+        for batch in batches:
+            for k, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+                held[k] = held.get(k, 0) + read(blob)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in held.values()], pa.binary())], ["slice", "counts"])
+
+    rows = digests.filter("slice IS NOT NULL").select("slice", "counts").mapInArrow(add, "slice int, counts binary")
+    out = np.zeros((SLICES, size), np.int64)
+    for k, blob in rows.repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
+        out[k] = read(bytes(blob))
+    return np.minimum(out.reshape(-1), 2**32 - 1).astype(np.uint32)
+
+
+def tile_table(docs: DataFrame, width: int, percent: int, seen: np.ndarray) -> DataFrame:
+    """A row per document that has shingles: size and digests of its set, bitmap and tiles."""
+    sent = docs.sparkSession.sparkContext.broadcast(seen)
 
     def build(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in in_chunks(texts, 1_000_000):
                 sets = shingle_sets(texts[a:b], width)
-                tiles = [tiles_of(h, percent) for h in sets]
-                digest = lambda key: pa.array(np.array([mix(h ^ key).sum() for h in sets], np.uint64).view(np.int64))  # noqa: B023,E731
+                some = np.array([k for k, h in enumerate(sets) if len(h)], np.int64)
+                sets = [sets[k] for k in some]
+                tiles = [tiles_of(h, sent.value, percent) for h in sets]
                 offsets = np.cumsum([0, *map(len, tiles)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()), digest(U(0x2545F4914F6CDD1D)), digest(U(0x1234567887654321)), pa.array([bits_of(h) if len(h) else b"" for h in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tiles).view(np.int64)))],
-                    ["doc_id", "n", "s1", "s2", "bits", "tiles"],
-                )
+                flat = np.concatenate([np.zeros(0, np.uint64), *tiles]).view(np.int64)
+                columns = [*_digests(batch.column("doc_id").slice(a, b - a).take(pa.array(some)), sets), pa.array([bits_of(h) for h in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "bits", "tiles"])
 
-    return docs.mapInArrow(build, _SETS)
+    return docs.mapInArrow(build, _TILES)
 
 
 def _runs(tile: np.ndarray) -> np.ndarray:
@@ -198,25 +243,25 @@ def meet_in_tiles(sets: DataFrame) -> DataFrame:
     return rows.repartition("tile").sortWithinPartitions("tile", "doc").mapInArrow(meet, _MET)
 
 
-def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bitmaps allow a link."""
+def plausible(pairs: DataFrame, single: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and bitmaps allow a link."""
 
     def check(batches):
         for batch in batches:
             n1, n2, b1, b2 = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
-            ok = [100 * min(m, n) >= percent * max(m, n) and linked(overlap_bound(m, n, x, y), m, n, percent) for m, n, x, y in zip(n1, n2, b1, b2)]
+            ok = [linked(overlap_bound(m, n, x, y), m, n, percent) for m, n, x, y in zip(n1, n2, b1, b2)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    of = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    of = lambda c: single.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     fit = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    sizes = pairs.join(of("a").drop("bits_a"), "a").join(of("b").drop("bits_b"), "b").filter(fit)
-    sized = keep(sizes.select("a", "b", "n_a", "n_b"), "sized")
-    heads = keep(sized.select("a").distinct().join(of("a").drop("n_a"), "a"), "head-bits")
-    return sized.join(of("b").drop("n_b"), "b").join(send_if_small(heads, 100_000), "a").mapInArrow(check, "a long, b long")
+    sized = join_hot(pairs, of("a").drop("bits_a"), "a", ["b"], most=STAR).join(of("b").drop("bits_b"), "b").filter(fit)
+    sized = keep(sized.select("a", "b", "n_a", "n_b"), "sized")
+    right = sized.join(of("b"), ["b", "n_b"])
+    return join_hot(right, of("a").withColumnRenamed("n_a", "m_a"), "a", ["b"], most=STAR).filter("n_a = m_a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(check, "a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The written pairs whose sets, built anew from the whole texts, are linked."""
+    """The written pairs whose sets, built anew from the whole texts, are linked. Pairs of one document are dealt into parts, each with its text."""
 
     def check(batches):
         known = (None, None)
@@ -225,19 +270,31 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, name:
             first, second = batch.column("text_a"), batch.column("text_b")
             good = []
             for k in range(len(a)):
-                if known[0] != a[k]:
-                    known = (a[k], shingle_sets([first[k].as_py()], width)[0])
+                text = first[k].as_py()
+                if known[0] != text:
+                    known = (text, shingle_sets([text], width)[0])
                 x, y = known[1], shingle_sets([second[k].as_py()], width)[0]
+                if not len(x) or not len(y):
+                    good.append(False)
+                    continue
                 at = np.searchsorted(x, y)
                 shared = int((x[np.minimum(at, len(x) - 1)] == y).sum())
                 good.append(linked(shared, len(x), len(y), percent))
-            yield _table(a=np.array(a)[good], b=np.array(b)[good])
+            yield _table(a=np.array(a, np.int64)[good], b=np.array(b, np.int64)[good])
 
     sent = send_if_small(pairs)
     right = docs.join(sent, docs["doc_id"] == sent["b"]).select("a", "b", F.col("text").alias("text_b"))
     heads = send_if_small(keep(pairs.select("a").distinct(), "heads"))
     left = docs.join(heads, docs["doc_id"] == heads["a"]).select("a", F.col("text").alias("text_a"))
-    return keep(right.join(left, "a").mapInArrow(check, "a long, b long"), name)
+    parts = keep(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 256").select("a", F.ceil(F.col("m") / 256).cast("int").alias("parts")), "parts")
+    if not parts.isEmpty():
+        # a star's head goes to each part of its pairs
+        many = F.coalesce("parts", F.lit(1))
+        parts = send_if_small(parts)
+        right = right.join(parts, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), many).cast("int")).drop("parts")
+        left = left.join(parts, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))).drop("parts")
+        return keep(right.join(left, ["a", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), name)
+    return keep(right.join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), name)
 
 
 def matrix(bits: list[bytes], sizes: np.ndarray) -> np.ndarray:
@@ -320,27 +377,28 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     and are compared there once if their components still differ, or in two groups, and are compared within the tile.
 
     Null, empty or wordless text: an empty set, linked with nothing. A text of fewer than ``width``
-    words is one shingle. Null ids: returned with a null component. Rows that share an id are one
-    document for links. An empty table gives no rows. Columns other than ``doc_id`` and ``text`` are ignored.
+    words is one shingle. Very long texts are read whole; their bitmaps grow to 8 KB, then bounds get looser, not wrong.
+    Null ids: returned with a null component, linked with nothing. Rows that share an id are one
+    document for links; equal texts under different ids are linked. An empty table gives no rows. Columns other than ``doc_id`` and ``text`` are ignored.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     known = rows.filter("doc_id IS NOT NULL")
-    table = keep(set_table(rows, width, percent), "sets")
-    sets = table.filter("doc_id IS NOT NULL AND n > 0")
-    classes = keep(sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
-    release(docs.sparkSession)
-    ids = keep(sets.select("doc_id", "s1", "s2", "n").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "n", "rep"), "ids")
+    digests = keep(digest_table(rows, width), "digests")
+    seen = shingle_counts(digests)
+    sets = digests.filter("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "s1", "s2")
+    classes = keep(sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    ids = keep(join_hot(sets, classes, ["s1", "s2", "n"], ["doc_id"]), "ids")
     # of equal sets the smallest id alone goes on
-    copies = keep(ids.filter("doc_id != rep").select("doc_id").distinct(), "copies")
-    single = sets.select("doc_id", "tiles").join(send_if_small(copies), "doc_id", "left_anti")
+    copies = keep(ids.filter("doc_id != rep").select("doc_id", "s1", "s2").distinct(), "copies")
+    single = keep(tile_table(known, width, percent, seen).join(send_if_small(copies), ["doc_id", "s1", "s2"], "left_anti").select("doc_id", "n", "bits", "tiles"), "tiles")
+    drop(classes, copies)
     met = keep(meet_in_tiles(single), "met")
-    release(docs.sparkSession)
     pairs = keep(met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
-    fair = keep(plausible(pairs, classes, percent), "fair")
+    fair = keep(plausible(pairs, single, percent), "fair")
 
     def across(found: DataFrame, labels: DataFrame) -> DataFrame:
         of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-        named = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        named = join_hot(found, of("a"), "a", ["b"], "left", STAR).join(of("b"), "b", "left")
         return named.filter("coalesce(c_a, a) != coalesce(c_b, b)").select("a", "b")
 
     first = keep(fair.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
@@ -350,28 +408,32 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     if not rest.isEmpty():
         links = links.unionByName(verified(known, rest, width, percent, "links"))
         labels = components(links)
+    drop(first, rest)
     groups = components(fair)
-    release(docs.sparkSession)
-    more = _within_groups(groups, labels, classes, percent).unionByName(_within_tiles(met, single, groups, classes, percent))
+    more = _within_groups(groups, labels, single, percent).unionByName(_within_tiles(met, single, groups, percent))
     more = keep(across(more.distinct().join(pairs, ["a", "b"], "left_anti"), labels), "more")
+    drop(met, pairs, fair)
     if not more.isEmpty():
-        links = links.unionByName(verified(known, keep(plausible(more, classes, percent), "fair"), width, percent, "links"))
+        links = links.unionByName(verified(known, keep(plausible(more, single, percent), "fair"), width, percent, "links"))
         labels = components(links)
-    final = ids.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    out = table.select("doc_id", F.col("n").alias("n_shingles")).join(final.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id")), "doc_id", "left")
+    drop(single, more)
+    of_class = labels.withColumnRenamed("node", "rep")
+    final = join_hot(ids, of_class, "rep", ["doc_id"], "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    final = final.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))
+    out = digests.filter("slice IS NULL").select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _within_groups(groups: DataFrame, labels: DataFrame, single: DataFrame, percent: int) -> DataFrame:
     """Pairs that their bitmaps let pass, between components within groups that plausible star pairs connect."""
     named = groups.select(F.col("node").alias("doc"), F.col("component").alias("tile")).join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     named = keep(named, "named")
     apart = keep(named.groupBy("tile").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("m > 2 AND c1 != c2").select("tile"), "apart")
-    members = named.join(send_if_small(apart), "tile", "left_semi").join(classes.select(F.col("rep").alias("doc"), "n", "bits"), "doc")
+    members = named.join(send_if_small(apart), "tile", "left_semi").join(single.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc")
     return block_pairs(keep(members, "members"), percent)
 
 
-def _within_tiles(met: DataFrame, single: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _within_tiles(met: DataFrame, single: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs that their bitmaps let pass, between groups within a tile.
 
     Members of a tile that are all in one group are compared there. Other tiles are put together by their member of
@@ -387,8 +449,7 @@ def _within_tiles(met: DataFrame, single: DataFrame, groups: DataFrame, classes:
     apart = named.groupBy("tile").agg(F.min_by("doc", F.xxhash64("doc")).alias("head"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2")
     heads = keep(apart.select("tile", "head"), "tile-heads")
     clusters = named.join(send_if_small(heads), "tile").select(F.col("head").alias("tile"), "doc", "component").distinct()
-    mixed = keep(clusters.join(classes.select(F.col("rep").alias("doc"), "n", "bits"), "doc"), "mixed")
-    release(mixed.sparkSession)
+    mixed = keep(clusters.join(single.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc"), "mixed")
     return block_pairs(mixed, percent)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, keep, send_if_small, whole_text
+from .common import SEPARATORS, keep, send_if_small, text_of
 
 LEVELS = ("domain", "lang", "source")
 #: Hexadecimal digits of the order key by which a leaf is split: 4096 buckets a leaf.
@@ -24,7 +24,7 @@ def source_family(families: int = 4) -> Column:
 def measured(docs: DataFrame, domain: Column) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens; null names are ''."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("_text"), name(domain).alias("domain"), name(docs["lang"]).alias("lang"), name(docs["source"]).alias("source"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("_text"), name(domain).alias("domain"), name(docs["lang"]).alias("lang"), name(docs["source"]).alias("source"))
     return rows.select("doc_id", *LEVELS, word_count(F.col("_text")).alias("n_tokens"))
 
 

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, whole_text
+from .common import keep, text_of
 from .tokens import Encoder, crc32_of, in_chunks, lists
 
 _PIECES = "doc_id long, piece int, start long, length int, ids array<int>, ids_crc32 long, part int, nth long"
@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, kind: str, end: int, capacity
                     ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "part", "nth"],
                 )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text")).mapInArrow(pieces, _PIECES)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(pieces, _PIECES)
 
 
 def match_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

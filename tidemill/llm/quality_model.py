@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, send_if_small, whole_text
+from .common import keep, send_if_small, text_of
 
 #: Labelled rows the classifier is fitted on at most, words it knows at most, and how far from chance they must be.
 MAX_LABELS, MAX_WORDS, MIN_Z = 10_000, 400, 4.0
@@ -80,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     n = known.count()
     share = min(1.0, max_labels / max(1, n))
     chosen = keep(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_labels), "labels")
-    sample = keep(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic"), "sample")
+    sample = keep(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic"), "sample")
 
     def count(batches):
         found, total = Counter(), 0
@@ -153,7 +153,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
             q, t = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("path"), pa.array(q), pa.array(t)], ["doc_id", "host", "path", "quality", "toxicity"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), name(host).alias("host"), name(path).alias("path"), whole_text(docs).alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), name(host).alias("host"), name(path).alias("path"), text_of(docs).alias("text"))
     scored = keep(rows.mapInArrow(score, "doc_id long, host string, path string, quality double, toxicity double").withColumn("evidence", F.col("quality") * (1 - F.col("toxicity"))), "scores")
     paths = keep(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("s")), "paths")
     hosts = keep(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s")), "hosts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, keep, whole_text
+from .common import SEPARATORS, keep, text_of
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -16,7 +16,7 @@ SALTS = 32
 
 def text_measures(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host and the counts of every whole text."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs[host].cast("string"), F.lit("")).alias("host"), whole_text(docs).alias("_text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs[host].cast("string"), F.lit("")).alias("host"), text_of(docs).alias("_text"))
     rows = rows.withColumn("_w", F.array_remove(F.split("_text", SEPARATORS), ""))
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
     rows = rows.withColumn("_lines", lines).withColumn("_h1", F.transform("_w", lambda x: F.xxhash64(x)))

@@ -9,7 +9,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bound_batches, whole_text
+from .common import text_of
 
 #: Fixed patterns of the three base kinds, in the order of the kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -112,7 +112,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str, pattern: str, chars_per_token
             types = [pa.int64()] * 4 + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(columns, types))], ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", "redacted"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     return rows.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, redacted string")
 
 
@@ -129,7 +129,6 @@ def redact_documents(docs: DataFrame, vocabulary: str, pattern: str, chars_per_t
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     rows = docs.withColumn("text", docs["text"].cast("string")).withColumn("n_chars", docs["n_chars"].cast("long"))
-    bound_batches(docs.sparkSession)
     return rows.mapInArrow(scan, rows.schema)
 
 

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, whole_text
+from .common import scratch_dir, text_of
 from .tokens import Encoder, crc32_of, in_chunks, lists
 
 _SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -27,7 +27,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, kind: str = "
     ids are all kept, in order of their texts. An empty table gives an empty folder.
     Columns other than ``doc_id`` and ``text`` are ignored.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
 
     def encode(batches):
@@ -85,7 +85,7 @@ def with_crc32(rows: DataFrame) -> DataFrame:
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = scratch_path(spark, "token-orc")
+    path = scratch_dir(spark, "token-orc")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     return with_crc32(read_token_files(spark, path))
