@@ -58,10 +58,41 @@ def test_run_keeps_to_the_stages(spark):
     assert "corpus_pipeline" in sys.modules
 
 
+WORDS = " ".join(f"w{k}" for k in range(40))
+ODD = [
+    (None, "a b c", "en", "s", 5), (None, WORDS, "en", "s", 9), (None, WORDS + " more", "en", "s", 9), (1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0),
+    (3, "word " * 30, "de", "t", 150), (3, "x" + WORDS, "de", "t", 150), (4, " ".join(f"v{k}" for k in range(60_000)), "de", "t", 9), (5, WORDS + " more", None, None, 1), (5, WORDS + " more", None, None, 1),
+]
+
+
+def frame(spark, rows):
+    extra = ["epochs", "cut", "row", "copies", "copy", "_row", "key", "host", "kept", "domain", "component", "text_a", "tiles"]
+    names = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    return spark.createDataFrame([(*r, *extra) for r in rows], names), [*COLUMNS, *extra]
+
+
 def test_stages_take_odd_rows(spark):
-    rows = [(None, "a b c", "en", "s", 5), (1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "word " * 30, "de", "t", 150), (4, " ".join(f"w{k}" for k in range(60_000)), "de", "t", 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for frame in (docs, docs.limit(0)):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, frame, "")
-            assert out.count() >= 0 and (name == "packing" or out.columns == COLUMNS)
+    """Null and repeated ids, null, empty and very long texts, clashing columns: exactly these rows stay."""
+    docs, columns = frame(spark, ODD)
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda rows: sorted(((r["doc_id"], r["text"]) for r in rows), key=repr)
+    out = stages["quality_rules"](spark, docs, "")
+    assert out.columns == columns and key(out.collect()) == sorted([(i, t) for i, t, *_ in ODD if not rule_counts(t or "")[5]], key=repr)
+    out = stages["near_duplicates"](spark, docs, "")
+    left = [(None, "a b c"), (1, None), (2, ""), (2, ""), (3, "word " * 30), (3, "x" + WORDS), (4, ODD[8][1]), (5, WORDS + " more")]
+    # the texts of WORDS, with and without an end or a beginning more, are one group each way linked: 3 has the smallest id
+    links = brute_links(list(enumerate(t for _, t, *_ in ODD)), 80, 5)
+    group = {links[k][1] for k, r in enumerate(ODD) if r[1] and WORDS in r[1]}
+    if len(group) == 1:
+        left.remove((5, WORDS + " more"))
+    assert out.columns == columns and key(out.collect()) == sorted(left, key=repr)
+    out = stages["secrets"](spark, docs, "")
+    assert out.columns == columns and key(out.collect()) == sorted([(i, t) for i, t, *_ in ODD], key=repr)
+    out = stages["mixing"](spark, docs, "")
+    drawn = Counter(key(out.collect()))
+    assert out.columns == columns and set(drawn) == {(i, t) for i, t, *_ in ODD} and drawn[2, ""] % 2 == 0 and drawn[5, WORDS + " more"] % 2 == 0
+    rows = stages["packing"](spark, docs, "").collect()
+    assert sum(r["piece"] == 0 for r in rows) == len(ODD) and all(len(r["ids"]) == r["length"] for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), "")
+        assert out.collect() == [] and (name == "packing" or out.columns == columns)

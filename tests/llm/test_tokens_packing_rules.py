@@ -14,7 +14,7 @@ from tidemill.llm.token_files import op3_token_orc, read_token_files, with_crc32
 from tidemill.llm.tokens import Encoder
 
 ODD = [
-    (1, None), (2, ""), (3, "Straße ﬁne İstanbul ΣΑΣ é  x y 日本語 'S don't 12½"), (4, "a  b\n\n c\t\td   "), (5, "<|endoftext|> <|startoftext|>"),
+    (1, None), (2, ""), (3, "Straße ﬁne İstanbul ΣΑΣ é  x y 日本語 'S don't 12½"), (4, "a  b\n\n c\t\td   "), (5, "<|endoftext|> <|startoftext|>"), (6, "a<|endoftext|>b <|ENDOFTEXT|> <| x"),
     (5, "x " * 9000), (7, "tie tie"), (8, "tie tie"), (None, "no id"), (9, "A\x00B\x1f\x0b\x0c\x85 ŸŊſK"),
 ]
 
@@ -25,7 +25,6 @@ def frame(spark, rows):
 
 def ids_of(texts, name, end):
     tk = Tokenizer.from_file(public_tokenizers.path(name))
-    tk.encode_special_tokens = True
     return [[*e.ids, end] for e in tk.encode_batch(texts, add_special_tokens=False)]
 
 

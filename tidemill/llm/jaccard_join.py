@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, join_hot, keep, send_if_small, text_of
+from .common import drop, free_name, join_hot, keep, numbered, send_if_small, text_of
 from .graph import components
 from .shingles import U, mix, shingle_sets
 from .tokens import in_chunks
@@ -453,5 +453,23 @@ def _within_tiles(met: DataFrame, single: DataFrame, groups: DataFrame, percent:
     return block_pairs(mixed, percent)
 
 
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group that links connect, with its own columns: the one of the smallest id (null ids last), of rows with equal ids one.
+
+    Rows are told apart by a number written with them, so copies with null or equal ids are copies like others.
+    Null, empty and wordless texts are linked with nothing, so all of them stay. Very long texts count whole. An empty table gives no rows. Columns
+    of any name are carried and clash with nothing.
+    """
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row)
+    found = jaccard_components(rows.select(F.col(row).alias("doc_id"), F.col("text")), width, percent).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"))
+    placed = keep(found.join(rows.select(F.col(row).alias("row"), place.alias("place")), "row"), "placed")
+    first = keep(placed.groupBy("component").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("component", F.col("first.row").alias("first")), "first")
+    others = keep(join_hot(placed, first, "component", ["row"]).filter("row != first").select(F.col("row").alias(row)), "others")
+    drop(placed, first)
+    return rows.join(send_if_small(others), row, "left_anti").drop(row)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

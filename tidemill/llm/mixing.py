@@ -116,16 +116,21 @@ def mixed_documents(docs: DataFrame, domain: Column, seed: int = 1, **how) -> Da
     """The documents of a mixture, each as often as it is drawn, with their own columns.
 
     The documents of a leaf's last epoch are those up to one order key, so only a row per leaf meets the texts.
+
+    Null lang, source or domain: a node named ''. Null, empty or wordless text: no tokens; such a document is drawn with the epochs of its
+    leaf. Null ids and repeated rows are drawn like others; rows of one leaf with equal ids have one order key and are drawn alike.
+    Very long texts count whole. An empty table gives no rows. Columns of any name are carried and clash with nothing.
     """
     budgets, chosen = mixture(docs, domain, seed=seed, **how)
     cuts = chosen.filter("in_rest").groupBy(*LEVELS).agg(F.max("key").alias("cut"))
-    names = [f"_{c}" for c in LEVELS]
-    leaves = keep(budgets.join(cuts, list(LEVELS), "left").select(*[F.col(c).alias(n) for c, n in zip(LEVELS, names)], "epochs", "cut"), "mix-cuts")
+    leaves = send_if_small(keep(budgets.join(cuts, list(LEVELS), "left").select(*LEVELS, "epochs", "cut"), "mix-cuts"))
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    own = [F.col(c) for c in docs.columns]
-    keyed = docs.select(*own, name(domain).alias(names[0]), name(docs["lang"]).alias(names[1]), name(docs["source"]).alias(names[2])).join(send_if_small(leaves), names)
+    # a row's own columns travel as one
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    keyed = docs.select(row, docs["doc_id"].cast("long").alias("doc_id"), name(domain).alias("domain"), name(docs["lang"]).alias("lang"), name(docs["source"]).alias("source")).join(leaves, list(LEVELS))
     copies = F.col("epochs") + F.coalesce(order_key(seed) <= F.col("cut"), F.lit(False)).cast("long")
-    return keyed.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*own)
+    drawn = keyed.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return drawn.select("row.*")
 
 
 def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

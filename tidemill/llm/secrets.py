@@ -117,7 +117,11 @@ def scan_secrets(docs: DataFrame, vocabulary: str, pattern: str, chars_per_token
 
 
 def redact_documents(docs: DataFrame, vocabulary: str, pattern: str, chars_per_token: float = 2.2) -> DataFrame:
-    """The documents with every secret in ``text`` replaced, and ``n_chars`` counted anew; all other columns as they are. Null text stays null."""
+    """The documents with every secret in ``text`` replaced, and ``n_chars`` counted anew; all other columns as they are.
+
+    Null text stays null (``n_chars`` null); empty text stays. Very long texts are scanned whole. Null ids and repeated rows: a row each. An
+    empty table gives no rows. Columns of any name are carried.
+    """
 
     def scan(batches):
         scanner = Scanner.get(vocabulary, pattern)

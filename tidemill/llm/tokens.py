@@ -4,7 +4,7 @@ Both vocabularies used here split a text into words before merging, and merge in
 words only. A word is therefore encoded once by the ``tokenizers`` library and looked
 up afterwards. Texts with characters beyond Latin Extended-A, rare controls or
 non-breaking blanks, where normalisation and word classes need the library's own
-tables, are encoded by the library as a whole.
+tables, and texts that may hold an added token (``<|endoftext|>``) are encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from itertools import chain, islice
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What all added tokens begin with, up to the first letter: texts with it go to the library whole.
+        self.added = re.match("[^A-Za-z]*", commonprefix(added))[0] if added else None
         self.words, self.lower = _WORDS[kind], kind == "word"
         self._clear()
 
@@ -78,7 +81,7 @@ class Encoder:
         stop = look("\0end")
         per_text, whole = [], {}
         for k, text in enumerate(texts):
-            if _PLAIN.fullmatch(text):
+            if _PLAIN.fullmatch(text) and (self.added is None or self.added not in text):
                 words = split(text.lower() if self.lower else text)
             else:
                 whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
