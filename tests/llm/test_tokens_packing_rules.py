@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from tidemill.llm.packing import match_runs, op4_best_fit_packing, pack_documents
+from tidemill.llm.packing import match, op4_best_fit_packing, pack_documents, sweep
 from tidemill.llm.quality_rules import beta_prior, host_rules, op9_host_rules
 from tidemill.llm.token_files import op3_token_orc, read_token_files, with_crc32, write_token_files
 from tidemill.llm.tokens import Encoder
@@ -108,19 +108,55 @@ def test_op4_odd_rows(spark):
     assert len(pack_documents(frame(spark, ODD), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048).collect()) > len(ODD)
 
 
-def test_matching_is_best_fit_and_bounded():
-    counts = {7: 3, 5: 4, 3: 10, 2: 1}
-    found = match_runs(counts, 10)
-    used = Counter()
-    for length, low, high, first, at in found:
-        for k in range(high - low):
-            used[first + k] += length
-    assert max(used.values()) <= 10 and sum(used.values()) == sum(k * v for k, v in counts.items()) and len(used) == 8
+def best_fit(lengths, capacity):
+    """Sequences that best fit in falling order opens, one document at a time."""
+    gaps, opened = [0] * (capacity + 1), 0
+    for n in sorted(lengths, reverse=True):
+        gap = next((g for g in range(n, capacity + 1) if gaps[g]), None)
+        if gap is None:
+            gap, opened = capacity, opened + 1
+        else:
+            gaps[gap] -= 1
+        gaps[gap - n] += 1
+    return opened
+
+
+def placed(found, capacity):
+    """Sequences of placed runs, once each document is seen to be there once and none to overlap."""
+    ranks, used = defaultdict(int), defaultdict(list)
+    for r in found:
+        ranks[r["length"]] += r["high"] - r["low"]
+        for k in range(r["high"] - r["low"]):
+            used[r["first"] + k].append((r["at"], r["length"]))
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return ranks, len(used)
+
+
+def test_matching_is_best_fit_and_bounded(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    many = Counter(rng.integers(1, 2049, 300_000).tolist())
-    found, more = match_runs(many, 2048), match_runs({k: 1000 * v for k, v in many.items()}, 2048)
-    assert len(more) < 60_000 and len(found) < 60_000
-    assert 1 + max(f + h - l for _, l, h, f, _ in found) <= 1.005 * sum(k * v for k, v in many.items()) / 2048
+    cases = [(Counter({7: 3, 5: 4, 3: 10, 2: 1}), 10), (Counter({1: 100_000}), 2048), (Counter({700: 1000, 600: 1000, 10: 100}), 2048), (Counter({2048: 5}), 2048)]
+    cases += [(Counter(x.tolist()), 2048) for x in (rng.integers(1, 2049, 3000), rng.integers(1, 40, 9000), np.clip(rng.lognormal(6, 1.2, 4000).astype(int) + 1, 1, 2048))]
+    import tidemill.llm.packing as packing
+
+    steps = []
+    monkeypatch.setattr(packing, "superstep", lambda *a, own=packing.superstep: steps.append(1) or own(*a))
+    for counts, capacity in cases:
+        steps.clear()
+        found = match(spark.createDataFrame(list(counts.items()), "length int, n long"), capacity, 4).collect()
+        ranks, n = placed(found, capacity)
+        assert ranks == counts and len(steps) <= 12
+        assert n <= 1.01 * best_fit(counts.elements(), capacity) + 1
+    assert match(spark.createDataFrame([], "length int, n long"), 10).collect() == []
+
+
+def test_a_sweep_gives_each_document_its_successor():
+    got, gaps, docs = sweep([(0, 9, 0, 1), (0, 6, 5, 2), (1, 5, 0, 2), (1, 7, 0, 1), (1, 8, 0, 1)], 10)
+    assert got == [(2, 8, 0, 1, 0, 1), (2, 5, 0, 2, 5, 4)] and gaps == [(0, 1, 0, 1), (0, 1, 5, 2)] and docs == [(1, 7, 0, 1)]
 
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
