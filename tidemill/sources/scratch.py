@@ -9,8 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Spark deletes the shuffle files of a query at its end, not when the driver next collects garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: How stored tables are written. Shuffle files go with the query that made them, not when the driver next collects garbage; batches
+#: for Python are small, so that long rows do not add up in a worker.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,23 +39,22 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def shuffles_end_with_query(spark: SparkSession):
-    """Shuffle files of queries run inside are deleted as they end; the session's own setting returns afterwards."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings that hold for queries run inside; the session's own return afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
     try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table and read it back, so that later plans start from it and need nothing before it."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession, name)
-    with shuffles_end_with_query(spark):
+    with settings(spark, _WRITING):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
