@@ -116,7 +116,7 @@ def crc32_of(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def in_chunks(texts: list[str], most: int = 2_000_000):
+def in_chunks(texts: list[str], most: int = 1_000_000):
     """Ranges of texts of about ``most`` characters, at least one text each, so that memory stays bounded."""
     a = size = 0
     for b, text in enumerate(texts):
