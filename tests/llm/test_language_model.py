@@ -59,6 +59,32 @@ def test_probabilities_sum_to_one():
     assert lm.contexts(v, at).tolist() == [0, 3 * c * c, 4 * c * c + 3 * c, 0, 5 * c * c]
 
 
+def test_word_probabilities_sum_to_one_and_fit():
+    """Over all words of a class, after any words before, seen or not; weights stand where their gradients vanish."""
+    rng = np.random.default_rng(1)
+    own = rng.integers(0, 3, 40).astype(np.int64)
+    share = rng.dirichlet(np.ones(40))
+    share /= np.bincount(own, share)[own]
+    seen = np.stack([rng.integers(0, 4, 600), rng.integers(0, 4, 600), rng.integers(0, 30, 600)])
+    asked = np.stack([x.ravel() for x in np.meshgrid(range(5), range(5), range(40))])
+    every = np.concatenate([seen, asked], 1).astype(np.uint32)
+    train = np.arange(every.shape[1]) < 600
+    by = np.lexsort((every[2], every[1], every[0]))
+    key, w2, w = every[:, by]
+    gain = lm.fit_words(key.astype(np.uint64), w2, w, own[w], share[w], train[by])
+    p = share[w] * 10**gain
+    for x in range(5):
+        for y in range(5):
+            for c in range(3):
+                at = ~train[by] & (key == x) & (w2 == y) & (own[w] == c)
+                assert at.sum() == (own == c).sum() and p[at].sum() == pytest.approx(1)
+    assert np.log10(p[train[by]]).sum() > np.log10(share[w[train[by]]]).sum() + 50
+    # a word seen 100 times after another one comes near its share of what was seen
+    key, w = np.zeros(201, np.uint64), np.sort(np.r_[np.zeros(100, np.uint32), np.arange(1, 101), 200]).astype(np.uint32)
+    gain = lm.fit_words(key, np.zeros(201, np.uint32), w, np.zeros(201, np.int64), np.full(201, 1 / 300), np.ones(201, bool))
+    assert 0.4 < 10 ** gain[0] / 300 < 0.5
+
+
 def test_odd_rows(spark):
     rows = [(k, "the cat sat on the mat. The dog ran") for k in range(20)] + [(1, None), (2, ""), (2, ""), (None, "the cat"), (30, "new\x0bwords É é"), (31, "x " * 50_000), (10, " \n ")]
     df = spark.createDataFrame([(i, t, "s", 1.0) for i, t in rows], "doc_id long, text string, row string, score double")

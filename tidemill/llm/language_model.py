@@ -1,4 +1,8 @@
-"""Language-model scores from a maximum-entropy model with a class-factored softmax over features of classes and of words."""
+"""Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
+
+p(word | history) = p(class | history) * p(word | class, history). The class has n-gram and skip features of the three classes before, hashed into one table whose
+weights the driver updates by gradients summed over tasks. The word has features of the words before it, kept and updated by the task that has all tokens after the same word.
+"""
 
 from __future__ import annotations
 
@@ -18,10 +22,10 @@ SINGLES, SEEDS, GROUPS, BAND = 30, 64, 8, 4096
 CLASSES = 1 + SINGLES + 2 * GROUPS + 1
 #: Rows of the hashed weight table, and gradient steps.
 BUCKETS, STEPS = 16_384, 25
-#: Sweeps over the word features, tokens dealt to a task, and tokens after one word that are fitted together.
-SWEEPS, DEAL, FIT = 3, 1_000_000, 200_000
-#: Pseudo-counts of a feature to choose from; the last leaves it without effect.
-PSEUDO = (*(2.0**k for k in range(13)), 1e12)
+#: Gradient steps of the word features, their size, and the pull of each weight to zero (the inverse variance of its Gaussian prior).
+WORD_STEPS, WORD_RATE, WORD_PULL = 6, 0.6, 1.0
+#: Tokens dealt to a task, tokens after one word that are fitted together, and documents whose gains a task adds up.
+DEAL, FIT, ROWS = 1_000_000, 200_000, 200_000
 END = np.int64(0x7E57AB1E0DD5EED)
 #: Which of the three classes before a token each feature looks at: n-grams, then skips.
 FEATURES = ((1, 0, 0), (1, 1, 0), (1, 1, 1), (0, 1, 0), (0, 1, 1), (1, 0, 1))
@@ -233,7 +237,7 @@ def train_weights(train: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np
 
     assert size < 2**62
     counted = train.select("codes").mapInArrow(pairs, "context long, class long, n long").groupBy("context", "class").agg(F.sum("n").alias("n"))
-    table = keep(counted.groupBy("context").agg(F.collect_list(F.struct("class", "n")).alias("cells")).select("context", F.col("cells.class").alias("class"), F.col("cells.n").alias("n")).repartition(3), "contexts")
+    table = keep(counted.groupBy("context").agg(F.collect_list(F.struct("class", "n")).alias("cells")).select("context", F.col("cells.class").alias("class"), F.col("cells.n").alias("n")), "contexts")
     prior = np.full(CLASSES, 0.5)
     for k, n in table.select(F.explode(F.arrays_zip("class", "n")).alias("x")).groupBy("x.class").agg(F.sum("x.n")).collect():
         prior[k] += n
@@ -282,109 +286,109 @@ def _keys(w1: np.ndarray, w2: np.ndarray, shards: np.ndarray) -> np.ndarray:
     return mix((w1.astype(np.uint64) << U(32)) + mix(w2.astype(np.uint64)) % n)
 
 
-def pseudo_count(seen: np.ndarray, n: np.ndarray, expected: np.ndarray) -> float:
-    """The pseudo-count under which each seen token is likeliest from all others of its feature.
-
-    ``seen`` holds how often each cell (feature, class) was seen, ``n`` its feature, and ``expected`` the share of the class without it.
-    """
-    ok = (seen > 0) & (n > 1)
-    c, n, q = seen[ok].astype(float), n[ok].astype(float), np.maximum(expected[ok].astype(float), 1e-30)
-    return max(PSEUDO, key=lambda m: (float(np.sum(c * (np.log((c - 1 + m * q) / (n - 1 + m)) - np.log(q)))), m))
+def word_step(n: np.ndarray, expected: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The step along each weight's own gradient, n - expected * exp(step) - pull * (weight + step), to where it vanishes (three Newton steps)."""
+    expected = np.maximum(expected, 1e-12)
+    step = np.log((n + WORD_PULL) / expected)
+    for _ in range(3):
+        grown = expected * np.exp(step)
+        step += (n - grown - WORD_PULL * (weight + step)) / (grown + WORD_PULL)
+    return step
 
 
-def fit_words(key, w2, w3, context, own, train, row, table) -> np.ndarray:
-    """log10 of p(class | word and class features) less that of the class features alone, for each token.
+def fit_words(key, w2, w, own, q, train) -> np.ndarray:
+    """log10 of p(word | class, words before) less that of the word's share ``q`` of its class, for each token.
 
-    Tokens are sorted by ``key``, ``w2`` and ``w3`` and hold all tokens of their keys. The features are the word before,
-    the skip (word before and third word before) and the pair before; each in turn is scaled to what the training tokens hold plus
-    a pseudo-count of tokens as expected without it. Their logits add to those of the class features. Three words before fix
-    all of them, so the row of the three is solved at once. Pseudo-counts are chosen by leaving tokens out, from
-    counts in which what a document repeats counts once.
+    p(w | c, h) = q(w) * exp(a[w1, w] + b[w2, w1, w]) / Z(c, h): bigram and trigram features of words, with the softmax over the words of the class. Tokens
+    are sorted by ``key`` (the word before), ``w2`` (the one before it) and ``w`` and hold all tokens of their keys. Features that training
+    tokens have are fitted by gradient steps, others weigh nothing, so Z is one plus a sum over features that were seen.
     """
     change = np.ones((3, len(key)), bool)
     change[0, 1:] = key[1:] != key[:-1]
     change[1, 1:] = change[0, 1:] | (w2[1:] != w2[:-1])
-    change[2, 1:] = change[1, 1:] | (w3[1:] != w3[:-1])
-    t = np.cumsum(change[2]) - 1
+    change[2, 1:] = change[1, 1:] | (w[1:] != w[:-1])
+    tri = np.cumsum(change[2]) - 1  # trigram of each token
     at = np.flatnonzero(change[2])
-    a, b = np.cumsum(change[0])[at] - 1, np.cumsum(change[1])[at] - 1
-    s = np.unique((a.astype(np.uint64) << U(32)) + w3[at], return_inverse=True)[1]
-    size = len(at)
-    total = np.bincount(t[train], minlength=size).astype(np.float32)
-    counts = np.bincount(t[train] * CLASSES + own[train], minlength=size * CLASSES).astype(np.float32).reshape(size, CLASSES)
-    # cells (three words, class) seen in training, by how many documents
-    cell, of = t[train] * CLASSES + own[train], row[train]
-    by = np.lexsort((of, cell))
-    cell = cell[by][(np.diff(cell[by], prepend=-1) != 0) | (np.diff(of[by], prepend=-1) != 0)]
-    cell, docs = np.unique(cell, return_counts=True)
-    cell_at, cell_own = cell // CLASSES, cell % CLASSES
-
-    def chosen(g, expected):
-        """Pseudo-count of a family of features, from the documents of its cells."""
-        k, back = np.unique(g[cell_at] * CLASSES + cell_own, return_inverse=True)
-        seen = np.bincount(back, docs, len(k))
-        return pseudo_count(seen, np.bincount(k // CLASSES, seen)[k // CLASSES] if len(k) else seen, expected[k // CLASSES, k % CLASSES])
-
-    x = table[context[at]] * np.float32(np.log(10))
-
-    def normal():
-        nonlocal x
-        x -= x.max(1, keepdims=True)
-        x -= np.log(np.exp(x).sum(1, keepdims=True))
-        return np.exp(x)
-
-    families = []
-    for g in (a, s, b):
-        by = np.argsort(g, kind="stable")
-        first = np.flatnonzero(np.diff(g[by], prepend=-1))
-        families.append((g, by, first, np.add.reduceat(counts[by], first), np.add.reduceat(total[by], first)[:, None]))
-    goals: dict = {}
-    for _ in range(SWEEPS):
-        for k, (g, by, first, seen, n) in enumerate(families):
-            wanted = np.add.reduceat((normal() * total[:, None])[by], first)
-            if k not in goals:
-                expected = wanted / np.maximum(n, 1)
-                m = chosen(g, expected)
-                goals[k] = (seen + m * expected) * (n / (n + m))
-            step = np.log(np.maximum(goals[k], 1e-30)) - np.log(np.maximum(wanted, 1e-30))
-            x += np.where(n > 0, step, 0).astype(np.float32)[g]
-    q = normal()
-    m = chosen(np.arange(size), q)
-    p = (counts[t, own] + m * q[t, own].astype(float)) / (total[t] + m)
-    return np.log10(np.maximum(p, 1e-30)) - table[context, own]
-
-
-def word_gains(documents: DataFrame, classes: np.ndarray, often: np.ndarray, table: np.ndarray, tokens: int) -> DataFrame:
+    word, pair = np.cumsum(change[0])[at] - 1, np.cumsum(change[1])[at] - 1
+    own, q = own[at].astype(np.int64), q[at]
+    # bigrams of trigrams; (pair, class) and (word, class) that softmaxes are over
+    _, of_b, bi = np.unique((word.astype(np.uint64) << U(32)) + w[at], return_index=True, return_inverse=True)
+    pairs, ctx = np.unique(pair * 256 + own, return_inverse=True)
+    _, first = np.unique(ctx, return_index=True)
+    before, ctx_own = np.unique((word * 256 + own)[first], return_inverse=True)
+    bi_own = ctx_own[ctx[of_b]]
+    n3 = np.bincount(tri[train], minlength=len(at)).astype(float)
+    n2 = np.bincount(bi, n3, len(of_b))
+    total = np.bincount(ctx, n3, len(pairs))
+    q2 = q[of_b]
+    a, b = np.zeros(len(of_b)), np.zeros(len(at))
+    on2, on3 = n2 > 0, n3 > 0
+
+    def norms():
+        ea, eb = np.exp(a), np.exp(b)
+        z1 = 1 + np.bincount(bi_own, q2 * (ea - 1), len(before))
+        share = (q2 * ea)[bi]
+        z = z1[ctx_own] + np.bincount(ctx, share * (eb - 1), len(pairs))
+        return ea, eb, z1, z, share
+
+    for _ in range(WORD_STEPS):
+        ea, eb, _, z, share = norms()
+        rate = total / z
+        expected3 = share * eb * rate[ctx]
+        expected2 = q2 * ea * np.bincount(ctx_own, rate, len(before))[bi_own] + np.bincount(bi, share * (eb - 1) * rate[ctx], len(of_b))
+        a[on2] += WORD_RATE * word_step(n2[on2], expected2[on2], a[on2])
+        b[on3] += WORD_RATE * word_step(n3[on3], expected3[on3], b[on3])
+    _, _, _, z, _ = norms()
+    return ((a[bi] + b - np.log(z[ctx])) / np.log(10))[tri]
+
+
+def word_gains(documents: DataFrame, classes: np.ndarray, often: np.ndarray, within: np.ndarray, tokens: int) -> DataFrame:
     """row, gain: what the word features add to the score of each document.
 
-    All features hold the word before a token, so tokens are dealt by it: each task has all tokens of its features, fits
-    their weights and scores with them, and the weights grow with the corpus and never leave the tasks. Tokens travel as packed arrays.
-    A word with more than :data:`FIT` training tokens is dealt into shards by the word before it, and has weights in each.
+    All features hold the word before a token, so tokens are dealt by it: each task owns the weights of its features, fits
+    them and scores with them, and the weights grow with the corpus and never leave the tasks. Tokens travel as packed arrays, and so do gains.
+    A word with more than :data:`FIT` training tokens after it is dealt into shards by the word before it, and has weights in each.
+    Tokens that are alone in their class are left out: their share of it is one.
     """
     spark = documents.sparkSession
     parts = -(-tokens * 7 // 6 // DEAL) or 1
+    back = -(-documents.count() // ROWS) or 1
     shards = np.ones(len(often) + 2, np.uint64)
     shards[1 : len(often) + 1] = -(-often // FIT)
-    sent = spark.sparkContext.broadcast((classes, shards, table))
+    sent = spark.sparkContext.broadcast((classes, shards, (10.0 ** np.minimum(within, 0)).astype(np.float32)))
+
+    def packed(part: np.ndarray, columns: list[np.ndarray]):
+        """Batches (part, n, blob): rows by part, each blob the columns one after the other, the first one (numbers of documents) as differences."""
+        by = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[by], prepend=-1)).tolist()
+        ids, ns, blobs = [], [], []
+        for i, j in zip(cuts, [*cuts[1:], len(by)]):
+            o = by[i:j]
+            ids.append(int(part[o[0]]))
+            ns.append(j - i)
+            blobs.append(pa.compress(b"".join([np.diff(columns[0][o], prepend=0).tobytes(), *(c[o].tobytes() for c in columns[1:])]), codec="zstd", asbytes=True))
+        for i in range(0, len(ids), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 64], pa.int64()), pa.array(ns[i : i + 64], pa.int64()), pa.array(blobs[i : i + 64], pa.binary())], ["part", "n", "blob"])
+
+    def unpacked(batches, types):
+        width, held = 8 + sum(np.dtype(t).itemsize for t in types), []
+        for batch in batches:
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("blob").to_pylist()):
+                raw, at, columns = pa.decompress(blob, decompressed_size=width * n, codec="zstd", asbytes=True), 8 * n, []
+                for t in types:
+                    columns.append(np.frombuffer(raw, t, n, at))
+                    at += n * np.dtype(t).itemsize
+                held.append([np.cumsum(np.frombuffer(raw, np.int64, n)), *columns])
+        return [np.concatenate(x) for x in zip(*held)] if held else None
 
     def deal(batches):
-        classes, shards, _ = sent.value
+        classes, shards, share = sent.value
         unknown = len(classes) - 1
         held, size = [], 0
 
         def done():
-            w1, w2, w3, own, row = (np.concatenate(x) for x in zip(*held))
-            part = (_keys(w1, w2, shards) % U(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[by], prepend=-1)).tolist()
-            ids, ns, blobs = [], [], []
-            for i, j in zip(cuts, [*cuts[1:], len(by)]):
-                o = by[i:j]
-                ids.append(int(part[o[0]]))
-                ns.append(j - i)
-                blobs.append(pa.compress(b"".join(c.tobytes() for c in (w1[o], w2[o], w3[o], np.diff(row[o], prepend=0), own[o])), codec="zstd", asbytes=True))
-            for i in range(0, len(ids), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 64], pa.int64()), pa.array(ns[i : i + 64], pa.int64()), pa.array(blobs[i : i + 64], pa.binary())], ["part", "n", "blob"])
+            row, w1, w2, w, train = (np.concatenate(x) for x in zip(*held))
+            return packed((_keys(w1, w2, shards) % U(parts)).astype(np.int64), [row, w1, w2, w, train])
 
         for batch in batches:
             if not batch.num_rows:
@@ -395,49 +399,50 @@ def word_gains(documents: DataFrame, classes: np.ndarray, often: np.ndarray, tab
             n = np.diff(at)
             place = np.arange(len(v)) - np.repeat(at[:-1], n)
             before = []
-            for k in (1, 2, 3):
+            for k in (1, 2):
                 x = np.zeros(len(v), np.uint32)
                 x[k:] = w[:-k]
                 x[place < k] = 0
                 before.append(x)
-            ok = place > 0
+            ok = (place > 0) & (share[v] < 1)
             train = ~np.repeat(batch.column("held_out").to_numpy(zero_copy_only=False), n)
-            held.append([*(x[ok] for x in before), (classes[v] + 128 * train)[ok].astype(np.uint8), np.repeat(batch.column("row").to_numpy(), n)[ok]])
-            size += len(v)
-            if size > 2_000_000:
+            held.append([np.repeat(batch.column("row").to_numpy(), n)[ok], before[0][ok], before[1][ok], w[ok], train[ok]])
+            size += int(ok.sum())
+            if size > 1_000_000:
                 yield from done()
                 held, size = [], 0
         if size:
             yield from done()
 
     def fit(batches):
-        classes, shards, table = sent.value
+        classes, shards, share = sent.value
         rest = len(classes) - 1
-        held = []
-        for batch in batches:
-            for n, blob in zip(batch.column("n").to_pylist(), batch.column("blob").to_pylist()):
-                raw = pa.decompress(blob, decompressed_size=21 * n, codec="zstd", asbytes=True)
-                held.append([*(np.frombuffer(raw, np.uint32, n, 4 * n * k) for k in range(3)), np.cumsum(np.frombuffer(raw, np.int64, n, 12 * n)), np.frombuffer(raw, np.uint8, n, 20 * n)])
-        if not held:
+        columns = unpacked(batches, (np.uint32, np.uint32, np.uint32, np.bool_))
+        if columns is None:
             return
-        w1, w2, w3, row, own = (np.concatenate(x) for x in zip(*held))
-        held.clear()
+        row, w1, w2, w, train = columns
         key = _keys(w1, w2, shards)
-        by = np.lexsort((w3, w2, key))
-        key, w1, w2, w3, row, own = (x[by] for x in (key, w1, w2, w3, row, own))
+        by = np.lexsort((w, w2, key))
+        key, w2, w, row, train = (x[by] for x in (key, w2, w, row, train))
         starts = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)]
+        code = np.minimum(w, rest).astype(np.int64)
         gain, a = np.zeros(len(key)), 0
-        for b, c in zip(starts[1:], [*starts[2:], None]):
-            if c is None or c - a > 50_000:
-                u, v, w = w1[a:b], w2[a:b], w3[a:b]
-                c1, c2, c3 = (classes[np.minimum(x, rest)] for x in (u, v, w))
-                gain[a:b] = fit_words(key[a:b], v, w, (c1 * CLASSES + c2) * CLASSES + c3, (own[a:b] & 127).astype(np.int64), own[a:b] > 127, row[a:b], table)
+        for k, b in enumerate(starts[1:], 2):
+            if k == len(starts) or starts[k] - a > 50_000:
+                gain[a:b] = fit_words(key[a:b], w2[a:b], w[a:b], classes[code[a:b]], share[code[a:b]].astype(float), train[a:b])
                 a = b
         rows, at = np.unique(row, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, gain))], ["row", "gain"])
+        yield from packed((mix(rows.view(np.uint64)) % U(back)).astype(np.int64), [rows, np.bincount(at, gain)])
+
+    def add(batches):
+        columns = unpacked(batches, (np.float64,))
+        if columns is not None:
+            rows, at = np.unique(columns[0], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, columns[1]))], ["row", "gain"])
 
-    dealt = documents.select("row", "held_out", "codes", "tails").mapInArrow(deal, "part long, n long, blob binary").repartition(parts, "part")
-    return dealt.mapInArrow(fit, "row long, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
+    blobs = "part long, n long, blob binary"
+    dealt = documents.select("row", "held_out", "codes", "tails").mapInArrow(deal, blobs).repartition(parts, "part")
+    return dealt.mapInArrow(fit, blobs).repartition(back, "part").mapInArrow(add, "row long, gain double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -445,10 +450,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Documents whose crc32(doc_id as text) mod 7 is 2 are held out; the others train. Tokens are words (split at ASCII white
     space, A-Z lower-cased) and one end. ``base_score``: add-one unigram, log10. ``score``: log10 of
-    p(class | three classes and three words before) * p(word | class). Words beyond the :data:`HEAD` most frequent ones form one class, in which counts
-    (plus one, with one share for all unknown words) come by a join with the counts of the whole corpus; only sums per document return.
+    p(class | three classes before) * p(word | class, two words before); ``gain_per_token``: what it is over the base. Words beyond the :data:`HEAD` most
+    frequent ones form one class, all with one share of it (one more for all unknown words), and have word features of their own like others.
+    Their counts, for the base, come by a join with the counts of the whole corpus; only sums per document return.
 
-    Null text: empty, the end alone. Null id: trains. Repeated ids: a row each. With no training documents every word is
+    Null text: empty, the end alone. Very long texts count whole. Null id: trains. Repeated ids: a row each. With no training documents every word is
     unknown. An empty table gives no rows. Columns other than ``doc_id`` and ``text`` are ignored.
     """
     spark = docs.sparkSession
@@ -472,8 +478,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     within = np.log10(np.maximum(count, 1e-9)) - np.log10(of_class[classes])
     if not total:
         within[0] = 0.0  # the end is all there is in its class
-    rest_words, rest_tokens = distinct - len(head) - (n_end > 0), total - int(count.sum())
-    within[-1] = -np.log10(rest_tokens + rest_words + 1)
+    rest_words = distinct - len(head) - (n_end > 0)
+    within[-1] = -np.log10(rest_words + 1)
     every = np.arange(CLASSES**3)
     table = np.concatenate([log_softmax(weights, prior, feature_rows(part)) for part in np.array_split(every, 16)]) / np.log(10)
     table = table.astype(np.float32)
@@ -496,10 +502,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     scored = documents.select("row", "doc_id", "held_out", "codes").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, plus double, logs double")
     rest = documents.select("row", F.explode("tails").alias("h")).join(counts, "h").groupBy("row").agg(F.count(F.lit(1)).alias("rest_known"), F.sum(F.log10(F.col("c") + 1)).alias("rest_plus"))
-    gains = word_gains(documents, classes, often, table, int(total))
+    gains = word_gains(documents, classes, often, within, int(total))
     joined = scored.join(rest, "row", "left").join(gains, "row", "left").na.fill(0, ["rest_known", "rest_plus", "gain"])
     base = F.col("plus") + F.col("rest_plus") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
-    return joined.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("rest_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("logs") + F.col("gain") + F.col("rest_plus")).alias("score"))
+    score = F.col("logs") + F.col("gain")
+    return joined.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("rest_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), ((score - base) / F.col("n_tokens")).alias("gain_per_token"))
 
 
 def op7_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
