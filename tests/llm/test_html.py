@@ -1,5 +1,6 @@
 import html
 import re
+from collections import Counter
 
 import pyarrow.parquet as pq
 
@@ -24,7 +25,7 @@ def test_op8_on_pages(spark, sf):
 
 PAGE = """<html><head><title>t</title><script>if (a < b) "</p>";</script></head><body class=page><header>Site</header><nav><a href=x>Menu</a></nav>
 <main><h2>Head&eacute; &amp; more</h2><p>One <b>two</b>
- three<p>Four<br>five <a href='q>r'>six</a></p><ul><li>a<li>b</ul><div class="share-buttons">Share</div><form>Name <input></form><aside>Side</aside>
+ three<p>Four<br>five <a href='q>r'>six</a></p><ul><li>a<li>b</ul><div class="advert-box">Buy</div><form>Name <input></form><aside>Side</aside>
 <table><tr><td>c1<td>c2</table><!-- no --><section id="comments"><p>Nice!</p></section></main><div class="cookie-notice">Cookies</div><footer>&copy; x</footer></body>"""
 
 
@@ -49,3 +50,40 @@ def test_templates_and_odd_rows(spark):
 def test_blocks_of_links_stay():
     page = "<body><p>Text of the story</p><p><a href=x>A paragraph that is one link</a></p><ul><li><a href=y>Source one</a><li><a href=z>Source</a> two</ul></body>"
     assert main_text(page) == "Text of the story\nA paragraph that is one link\nSource one\nSource two"
+
+
+def test_names_of_articles_parts_stay():
+    page = '<article><div class="related-work"><p>Work</p></div><p class="side">Side</p><p id="noticeable">Seen</p><p class="notice">Note</p><p class="comment-form">Say</p></article>'
+    assert main_text(page) == "Work\nSide\nSeen"
+
+
+def f1(got, want):
+    got, want = Counter(got.split()), Counter(want.split())
+    shared = sum((got & want).values())
+    return 2 * shared / max(1, sum(got.values()) + sum(want.values()))
+
+
+def test_slots_of_the_template_decide_without_marks(spark, sf):
+    """The given pages without article elements and class names, on hosts with a template: adverts go by their slot."""
+    t = pq.read_table(f"{sf}/pages.parquet")
+    rows = [(i, f"http://host{i % 3}/x", re.sub("</?article>", "", h.replace(' class="ad"', "")), plain(h)) for i, h in zip(t.column("page_id").to_pylist(), t.column("html").to_pylist())]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, want string")).collect()}
+    scores = [f1(got[i], want) for i, _, _, want in rows]
+    assert min(scores) > 0.95 and sum(scores) / len(scores) > 0.99
+    bare = [f1(main_text(h), want) for _, _, h, want in rows]
+    assert min(bare) < min(scores) and sum(bare) < sum(scores)
+
+
+def test_classes_of_two_layouts_and_copies(spark):
+    """Texts of a layout that half the pages have go; a paragraph that near copies share, or one frequent text in no class, stays."""
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    pages = []
+    for k in range(40):
+        frame = ("<body><h3>Daily paper</h3><div>", "</div><h4>Made by us</h4>") if k % 2 else ("<body><table><tr><td>Weekly paper<td>", "<td>All by them</table>")
+        pages.append((k, f"{frame[0]}<p>{words(k)}</p><p>{words(k + 100)}</p>{frame[1]}"))
+    copied = "".join(f"<p>{words(500 + j)}</p>" for j in range(4))
+    pages += [(100 + k, f"<body><h3>Daily paper</h3><div><p>Copy {k}</p>{copied}</div><h4>Made by us</h4>") for k in range(12)]
+    df = spark.createDataFrame([(i, "http://h/", h) for i, h in pages], "page_id long, url string, html string")
+    by = {r["page_id"]: r["text"] for r in extract_main_text(df).collect()}
+    assert all(by[k] == f"{words(k)}\n{words(k + 100)}" for k in range(1, 40, 2))
+    assert all(by[100 + k] == "\n".join([f"Copy {k}", *(words(500 + j) for j in range(4))]) for k in range(12))

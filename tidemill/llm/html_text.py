@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import SEND_BYTES, drop, join_hot, keep, send_if_small
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -22,18 +22,22 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_CLASS = re.compile(r"\bclass\s*=\s*[\"']?\s*([^\s\"'>/]+)", re.I)
 #: Elements without content, elements within a line, and elements that are no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NOISE = frozenset("nav header footer aside form button select menu dialog head fieldset".split())
-#: Names (class, id, role) of regions that are no article text, and such beginnings of names.
-NOISE_NAMES = frozenset("ad ads adv advert advertisement banner sponsor sponsored promo navigation nav navbar menu menubar breadcrumb breadcrumbs header masthead footer contentinfo sidebar side complementary cookie cookies consent notice notices gdpr popup modal overlay alert newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies respond responses discussion widget toolbar pagination pager search skip hidden".split())
-NOISE_STARTS = re.compile(r"(?:ad|ads|advert|banner|sponsor|promo|nav|menu|breadcrumb|footer|sidebar|cookie|consent|notice|popup|modal|newsletter|subscri|share|social|related|comment|repl|widget|pag(?:er|ination))(?:s)?(?:[-_]|\Z)")
+#: Names (class, id, role) of menus, headers, footers, sidebars, notices, adverts, forms and reader comments, and such beginnings of names.
+NOISE_NAMES = frozenset("ad ads adv advert advertisement banner sponsor sponsored promo navigation nav navbar menu menubar breadcrumb breadcrumbs header masthead footer contentinfo sidebar complementary cookie cookies consent notice notices gdpr popup newsletter subscribe subscription signup login comment comments disqus reply replies respond search".split())
+NOISE_STARTS = re.compile(r"(?:ads?|advert|banner|sponsor|promo|nav|menu|footer|sidebar|cookie|consent|popup|newsletter|comments?)[-_]")
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _CLOSES_ITSELF = {"li": ("ul", "ol", "menu"), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",), "dt": ("dl",), "dd": ("dl",)}
 
-#: A template needs so many different pages of a host, and its tokens such a share of them.
-MIN_PAGES, MIN_SHARE = 8, 0.6
+#: A class of a template has so many tokens at least, is on so many different pages of a host and such a share of them: more than the third that a
+#: group of copies may hold. Its texts are less than this part of all text on its pages, else it is what copies share.
+MIN_CLASS, MIN_PAGES, MIN_SHARE, MAX_TEXT = 2, 8, 0.4, 0.5
+#: On pages without an article element: a slot with less than such a part of the text of the host's largest slot is none of the article, unless it is a heading.
+MIN_SLOT = 0.1
 
 
 def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
@@ -48,10 +52,7 @@ def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 def parse(page: str):
-    """Blocks of text in page order, and the tags of the page as tokens.
-
-    A block is (path, text, noise, within an article); tokens are paths.
-    """
+    """Blocks of text in page order (path, text, noise, within an article), and the paths of all tags that hold blocks or tags."""
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, article
     blocks, tags, text = [], [], []
     path, noise, article = "", False, False
@@ -115,7 +116,8 @@ def parse(page: str):
                         break
             noise = noise or _is_noise(tag, m["attrs"], article)
             article = article or tag in ("article", "main") or 'role="main"' in m["attrs"]
-            path = f"{path}/{tag}"
+            named = _CLASS.search(m["attrs"])
+            path = f"{path}/{tag}.{named[1]}" if named else f"{path}/{tag}"
             stack.append((tag, path, noise, article))
             tags.append(path)
     if at < len(page):
@@ -128,81 +130,133 @@ def _key(path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) - 2**63
 
 
-def main_text(page: str, template=frozenset()) -> str:
-    """Slots of a page: its blocks that neither the template nor marked regions hold."""
+def main_text(page: str, texts=frozenset(), tags=frozenset(), out=frozenset()) -> str:
+    """Slots of a page: its blocks that neither the template (``texts``) nor marked regions hold.
+
+    Without an article element, a block belongs to the slot of its innermost enclosing template tag (``tags``); slots ``out`` are left out.
+    """
     blocks, _ = parse(page)
     kept = [b for b in blocks if not b[2]]
     if any(b[3] for b in kept):
         kept = [b for b in kept if b[3]]
-    return "\n".join(text for path, text, *_ in kept if not template or _key(path, text) not in template)
+    elif out:
+        kept = [b for b in kept if _slot(b[0], tags) not in out]
+    return "\n".join(text for path, text, *_ in kept if not texts or _key(path, text) not in texts)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host and the tokens of its template (an array of 64-bit keys).
-
-    Tokens are tags with their paths and texts with theirs. A token's occurrence vector over the different pages of its
-    host is held as a sum of hashes of (page, count), so it is built by partial sums and no host is
-    ever gathered, however many pages it has. Tokens with equal vectors form a class; a class is valid if its vector
-    covers a large enough share of the host's pages. A path occurs wherever a token below it does, so classes nest by
-    their paths, and the valid ones together are the template. Each page has a bounded number of tokens, so
-    at most 1 / MIN_SHARE times as many can be in the template as the mean page has.
+def _slot(path: str, tags) -> int | None:
+    while path:
+        if (key := _key(path)) in tags:
+            return key
+        path = path.rpartition("/")[0]
+    return None
+
+
+_TOKENS = "host string, token long, page long, part long, place int, path string, chars long, page_chars long"
+
+
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """A row for each different token of a page, and one (token 0) for the page.
+
+    Tokens are tags with their paths (``path``; ``chars``: of the text right in them) and texts with theirs (no path; their length). ``part`` tells how often
+    the page holds it, ``place`` where first. A page stands by a hash of its content, so copies count once.
     """
 
     def tokens(batches):
         for batch in batches:
-            out = []
+            rows = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 blocks, tags = parse(page)
-                # copies of a page count once: the page stands in the vector by its content
                 one = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"))
-                found = Counter(_key(t) for t in tags)
-                found.update(_key(b[0], b[1]) for b in blocks)
-                out += [(host, k, (xxhash.xxh64_intdigest(f"{one}/{n}") >> 24) - 2**39, one - 2**63) for k, n in found.items()]
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "token", "part", "page"])
-
-    different = pages.select("host", "html").filter("html != ''")
-    hosts = different.groupBy("host").agg(F.approx_count_distinct(F.xxhash64("html"), 0.01).alias("pages")).filter(F.col("pages") >= MIN_PAGES)
-    rows = different.mapInArrow(tokens, "host string, token long, part long, page long")
-    # equal pages give equal (token, part): counted once
-    once = rows.groupBy("host", "token", "page").agg(F.first("part").alias("part"))
-    seen = once.groupBy("host", "token").agg(F.sum("part").alias("vector"), F.count(F.lit(1)).alias("support"))
-    valid = seen.join(hosts, "host").filter(F.col("support") >= F.greatest(F.lit(MIN_PAGES), F.col("pages") * MIN_SHARE))
-    classes = valid.groupBy("host", "vector", "support").agg(F.collect_list("token").alias("tokens"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
-
-
-def extract_main_text(pages: DataFrame, send_tokens: int = 1_000_000) -> DataFrame:
+                own: Counter = Counter()
+                for path, text, noise, _ in blocks:
+                    own[path] += 0 if noise else len(text)
+                size = sum(len(b[1]) for b in blocks)
+                found: dict = {}
+                for t in tags:
+                    found.setdefault(_key(t), [0, len(found), t, own[t]])[0] += 1
+                for b in blocks:
+                    found.setdefault(_key(b[0], b[1]), [0, len(found), None, len(b[1])])[0] += 1
+                rows.append((host, 0, one - 2**63, 0, 0, None, 0, size))
+                rows += [(host, k, one - 2**63, (xxhash.xxh64_intdigest(f"{one}/{n}") >> 24) - 2**39, place, path, chars, size) for k, (n, place, path, chars) in found.items()]
+            columns = list(zip(*rows)) if rows else [[]] * 8
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in _TOKENS.split(", ")])
+
+    return pages.select("host", "html").filter("html != ''").mapInArrow(tokens, _TOKENS)
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, texts (keys of the texts of its template), tags (keys of its tags) and out (tags whose slots hold none of the article).
+
+    A token's occurrence vector over the different pages of its host is held as a sum of hashes of (page, count), so it is built by partial
+    sums and no host is ever gathered, however many pages it has. Tokens with equal vectors form a class. A class is valid if it has enough tokens,
+    enough pages of the host, if its tokens come in one order on all its pages, and if its texts are not the bulk of them. Valid classes nest by
+    their paths (a tag is wherever a token below it is) and together are the template. Its tags part a page into slots: the text of a slot is
+    summed over the host by partial sums, and slots with little text beside the largest, but headings, are ``out``.
+    A page has a bounded number of tokens, of which at most 1 / MIN_SHARE times as many can be in the template, so arrays are bounded too.
+    """
+    rows = keep(page_tokens(pages).dropDuplicates(["host", "token", "page"]), "page-tokens")
+    seen = rows.groupBy("host", "token").agg(F.sum("part").alias("vector"), F.count(F.lit(1)).alias("support"), F.first("path").alias("path"), F.sum("chars").alias("chars"), F.sum("page_chars").alias("page_chars"))
+    seen = keep(seen, "tokens")
+    hosts = send_if_small(keep(seen.filter(f"token = 0 AND support >= {MIN_PAGES}").select("host", F.col("support").alias("pages")), "hosts"))
+    frequent = seen.filter(f"token != 0 AND support >= {MIN_PAGES}").join(hosts, "host").filter(F.col("support") >= F.col("pages") * MIN_SHARE)
+    frequent = keep(frequent.select("host", "token", "vector", "support", "path", "chars", "page_chars"), "frequent")
+    classes = frequent.groupBy("host", "vector", "support").agg(F.count(F.lit(1)).alias("size"), F.sum(F.when(F.col("path").isNull(), F.col("chars")).otherwise(0)).alias("chars"), F.max("page_chars").alias("page_chars"))
+    large = classes.filter((F.col("size") >= MIN_CLASS) & (F.col("chars") <= F.col("page_chars") * MAX_TEXT)).select("host", "vector")
+    members = keep(frequent.join(large, ["host", "vector"]).select("host", "token", "vector", "path"), "members")
+    # the order of a class's tokens on each page
+    placed = join_hot(rows.select("host", "token", "page", "place"), members.select("host", "token", "vector"), ["host", "token"], ["page"])
+    order = F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]))
+    orders = placed.groupBy("host", "vector", "page").agg(order.alias("o")).groupBy("host", "vector").agg(F.min("o").alias("o1"), F.max("o").alias("o2"))
+    valid = keep(members.join(orders.filter("o1 = o2").select("host", "vector"), ["host", "vector"]).select("host", "token", "path"), "template-tokens")
+    # text by slot: each path goes to its longest beginning among the template's tags
+    tags = valid.filter("path IS NOT NULL").select("host", F.col("path").alias("start"), F.struct(F.col("token").alias("slot"), F.col("path").rlike("/h[1-6][^/]*$").alias("heading")).alias("tag"))
+    paths = seen.filter("path IS NOT NULL AND chars > 0").join(hosts, "host").select("host", "path", "chars")
+    steps = F.split("path", "/")
+    starts = paths.withColumn("start", F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))))
+    slots = starts.join(tags, ["host", "start"]).groupBy("host", "path", "chars").agg(F.max_by("tag", F.length("start")).alias("tag"))
+    slots = keep(slots.groupBy("host", "tag.slot", "tag.heading").agg(F.sum("chars").alias("chars")), "slots")
+    largest = slots.groupBy("host").agg(F.max("chars").alias("most"))
+    out = slots.join(largest, "host").filter((F.col("chars") < F.col("most") * MIN_SLOT) & ~F.col("heading")).groupBy("host").agg(F.collect_list("slot").alias("out"))
+    of = valid.groupBy("host").agg(F.collect_list(F.when(F.col("path").isNull(), F.col("token"))).alias("texts"), F.collect_list(F.when(F.col("path").isNotNull(), F.col("token"))).alias("tags"))
+    found = keep(of.join(out, "host", "left"), "templates")
+    drop(rows, seen, frequent, members, valid, slots)
+    return found
+
+
+def extract_main_text(pages: DataFrame, send_bytes: int = SEND_BYTES) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    Regions marked as menus, headers, footers, sidebars, notices, adverts, forms or comments (by element
+    Marked regions (menus, headers, footers, sidebars, notices, adverts, forms, comments: by element
     or by class, id or role), scripts and styles are left out; if a page has an article (or main) element, so is all
-    outside it. Of the remaining blocks those in the template of the page's host go as well. Others are
+    outside it, else what is in slots of the template with little text, but headings. Texts of the template of the page's host go as well. Others are
     decoded, their white space made single blanks, and joined by line feeds.
 
-    Templates are sent to all executors if they have at most ``send_tokens`` tokens in all, else joined by host.
+    Templates are sent to all executors if they have at most ``send_bytes`` bytes in all, else joined by host, hosts of many pages in parts.
     Null html: empty text. Null url: a host of its own. Null or repeated ids: a row each. Malformed or cut
-    markup is read as far as it goes. An empty table gives no rows. Other columns are ignored.
+    markup is read as far as it goes, very long pages whole. An empty table gives no rows. Other columns are ignored.
     """
     host = F.coalesce(F.lower(F.regexp_extract(pages["url"], "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), host.alias("host"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
-    found = keep(templates(rows), "templates")
-    few = (found.agg(F.sum(F.size("template"))).first()[0] or 0) <= send_tokens
-    joined = rows.join(F.broadcast(found) if few else found, "host", "left")
+    found = templates(rows)
+    size = sum(F.coalesce(F.size(c), F.lit(0)) for c in ("texts", "tags", "out"))
+    few = 8 * (found.agg(F.sum(size)).first()[0] or 0) <= send_bytes
+    joined = rows.join(F.broadcast(found), "host", "left") if few else join_hot(rows, found, "host", ["page_id", "url"], "left")
 
     def extract(batches):
         known: dict = {}
         for batch in batches:
             out = []
-            for h, page, t in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("template")):
+            for k, (h, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())):
                 if h not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[h] = frozenset(t.as_py() or ())
-                out.append(main_text(page, known[h]))
+                    known[h] = [frozenset(batch.column(c)[k].as_py() or ()) for c in ("texts", "tags", "out")]
+                out.append(main_text(page, *known[h]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(np.fromiter(map(len, out), np.int64, len(out)))], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "host", "html", "template").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "host", "html", "texts", "tags", "out").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
