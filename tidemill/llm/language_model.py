@@ -24,8 +24,9 @@ CLASSES = 1 + SINGLES + 2 * GROUPS + 1
 BUCKETS, STEPS = 16_384, 25
 #: Gradient steps of the word features, their size, and the pull of each weight to zero (the inverse variance of its Gaussian prior).
 WORD_STEPS, WORD_RATE, WORD_PULL = 6, 0.6, 1.0
-#: Tokens dealt to a task, tokens after one word that are fitted together, and documents whose gains a task adds up.
-DEAL, FIT, ROWS = 1_000_000, 200_000, 200_000
+#: Tokens dealt to a part, tokens after one word that are fitted together, and documents whose gains are added up in a part; tasks take several parts
+#: one after the other where there are more parts than tasks.
+DEAL, FIT, ROWS, MOST_TASKS = 1_000_000, 200_000, 200_000, 20_000
 END = np.int64(0x7E57AB1E0DD5EED)
 #: Which of the three classes before a token each feature looks at: n-grams, then skips.
 FEATURES = ((1, 0, 0), (1, 1, 0), (1, 1, 1), (0, 1, 0), (0, 1, 1), (1, 0, 1))
@@ -109,15 +110,24 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), offsets - offsets[0]
 
 
+def _slices(batches, most: int = 500_000):
+    """Batches cut to about ``most`` tokens, at least one document each."""
+    for batch in batches:
+        at, a = np.asarray(batch.column("codes").offsets), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(at, at[a] + most, side="right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _cells(size: int, cells):
     """A mapper that counts cells of each batch and returns those that occur."""
 
     def count(batches):
         total = np.zeros(size, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                for found in cells(*_lists(batch.column("codes"))):
-                    total += np.bincount(found, minlength=size)
+        for batch in _slices(batches):
+            for found in cells(*_lists(batch.column("codes"))):
+                total += np.bincount(found, minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
@@ -223,15 +233,14 @@ def train_weights(train: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np
             cell, k = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(cell // CLASSES), pa.array(cell % CLASSES), pa.array(k)], ["context", "class", "n"])
 
-        for batch in batches:
-            if batch.num_rows:
-                v, at = _lists(batch.column("codes"))
-                own = classes[v]
-                held.append(contexts(own, at) * CLASSES + own)
-                n += len(v)
-                if n > 4_000_000:
-                    yield done()
-                    held, n = [], 0
+        for batch in _slices(batches):
+            v, at = _lists(batch.column("codes"))
+            own = classes[v]
+            held.append(contexts(own, at) * CLASSES + own)
+            n += len(v)
+            if n > 4_000_000:
+                yield done()
+                held, n = [], 0
         if held:
             yield done()
 
@@ -371,15 +380,21 @@ def word_gains(documents: DataFrame, classes: np.ndarray, often: np.ndarray, wit
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 64], pa.int64()), pa.array(ns[i : i + 64], pa.int64()), pa.array(blobs[i : i + 64], pa.binary())], ["part", "n", "blob"])
 
     def unpacked(batches, types):
-        width, held = 8 + sum(np.dtype(t).itemsize for t in types), []
+        """The columns of each part in turn; rows come sorted by part."""
+        width, held, last = 8 + sum(np.dtype(t).itemsize for t in types), [], None
         for batch in batches:
-            for n, blob in zip(batch.column("n").to_pylist(), batch.column("blob").to_pylist()):
-                raw, at, columns = pa.decompress(blob, decompressed_size=width * n, codec="zstd", asbytes=True), 8 * n, []
+            for part, n, blob in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("blob")):
+                if part != last and held:
+                    yield [np.concatenate(x) for x in zip(*held)]
+                    held = []
+                last = part
+                raw, at, columns = pa.decompress(blob.as_buffer(), decompressed_size=width * n, codec="zstd", asbytes=True), 8 * n, []
                 for t in types:
                     columns.append(np.frombuffer(raw, t, n, at))
                     at += n * np.dtype(t).itemsize
                 held.append([np.cumsum(np.frombuffer(raw, np.int64, n)), *columns])
-        return [np.concatenate(x) for x in zip(*held)] if held else None
+        if held:
+            yield [np.concatenate(x) for x in zip(*held)]
 
     def deal(batches):
         classes, shards, share = sent.value
@@ -390,9 +405,7 @@ def word_gains(documents: DataFrame, classes: np.ndarray, often: np.ndarray, wit
             row, w1, w2, w, train = (np.concatenate(x) for x in zip(*held))
             return packed((_keys(w1, w2, shards) % U(parts)).astype(np.int64), [row, w1, w2, w, train])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             v, at = _lists(batch.column("codes"))
             w = v.astype(np.uint32)
             w[v == unknown] = (mix(batch.column("tails").flatten().to_numpy().view(np.uint64)) >> U(33)).astype(np.uint32) | np.uint32(1 << 31)
@@ -417,32 +430,29 @@ def word_gains(documents: DataFrame, classes: np.ndarray, often: np.ndarray, wit
     def fit(batches):
         classes, shards, share = sent.value
         rest = len(classes) - 1
-        columns = unpacked(batches, (np.uint32, np.uint32, np.uint32, np.bool_))
-        if columns is None:
-            return
-        row, w1, w2, w, train = columns
-        key = _keys(w1, w2, shards)
-        by = np.lexsort((w, w2, key))
-        key, w2, w, row, train = (x[by] for x in (key, w2, w, row, train))
-        starts = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)]
-        code = np.minimum(w, rest).astype(np.int64)
-        gain, a = np.zeros(len(key)), 0
-        for k, b in enumerate(starts[1:], 2):
-            if k == len(starts) or starts[k] - a > 50_000:
-                gain[a:b] = fit_words(key[a:b], w2[a:b], w[a:b], classes[code[a:b]], share[code[a:b]].astype(float), train[a:b])
-                a = b
-        rows, at = np.unique(row, return_inverse=True)
-        yield from packed((mix(rows.view(np.uint64)) % U(back)).astype(np.int64), [rows, np.bincount(at, gain)])
+        for row, w1, w2, w, train in unpacked(batches, (np.uint32, np.uint32, np.uint32, np.bool_)):
+            key = _keys(w1, w2, shards)
+            by = np.lexsort((w, w2, key))
+            key, w2, w, row, train = (x[by] for x in (key, w2, w, row, train))
+            starts = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)]
+            code = np.minimum(w, rest).astype(np.int64)
+            gain, a = np.zeros(len(key)), 0
+            for k, b in enumerate(starts[1:], 2):
+                if k == len(starts) or starts[k] - a > 50_000:
+                    gain[a:b] = fit_words(key[a:b], w2[a:b], w[a:b], classes[code[a:b]], share[code[a:b]].astype(float), train[a:b])
+                    a = b
+            rows, at = np.unique(row, return_inverse=True)
+            yield from packed((mix(rows.view(np.uint64)) % U(back)).astype(np.int64), [rows, np.bincount(at, gain)])
 
     def add(batches):
-        columns = unpacked(batches, (np.float64,))
-        if columns is not None:
-            rows, at = np.unique(columns[0], return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, columns[1]))], ["row", "gain"])
+        for row, gain in unpacked(batches, (np.float64,)):
+            rows, at = np.unique(row, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, gain))], ["row", "gain"])
 
     blobs = "part long, n long, blob binary"
-    dealt = documents.select("row", "held_out", "codes", "tails").mapInArrow(deal, blobs).repartition(parts, "part")
-    return dealt.mapInArrow(fit, blobs).repartition(back, "part").mapInArrow(add, "row long, gain double")
+    by_part = lambda df, n: df.repartition(min(n, MOST_TASKS), "part").sortWithinPartitions("part")
+    dealt = by_part(documents.select("row", "held_out", "codes", "tails").mapInArrow(deal, blobs), parts)
+    return keep(by_part(dealt.mapInArrow(fit, blobs), back).mapInArrow(add, "row long, gain double"), "gains")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -487,9 +497,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def score(batches):
         table, classes, plus_one, within = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             v, at = _lists(batch.column("codes"))
             own = classes[v]
             logs = table[contexts(own, at), own].astype(np.float64) + within[v]
