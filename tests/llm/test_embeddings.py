@@ -1,7 +1,8 @@
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
-from tidemill.llm.embedding_dedup import close_pairs, forest, near_duplicates, op6_embedding_dedup, quantise
+from tidemill.llm.embedding_dedup import close_pairs, forest, near_duplicates, op6_embedding_dedup, prepared, quantise
 
 
 def brute(rows, threshold=0.95):
@@ -41,11 +42,13 @@ def test_op6_on_embeddings(spark, sf):
     assert [got[i][0] for i in t.column("vec_id").to_pylist()] == (near.sum(1) - 1).tolist()
 
 
-def test_groups_and_odd_rows(spark, monkeypatch):
+@pytest.mark.parametrize("group_bytes", [16 << 20, 1])
+def test_groups_and_odd_rows(spark, monkeypatch, group_bytes):
     import tidemill.llm.embedding_dedup as module
 
     monkeypatch.setattr(module, "TILE", 16)
     monkeypatch.setattr(module, "PIVOTS", 3)
+    monkeypatch.setattr(module, "GROUP_BYTES", group_bytes)
     rng, rows = np.random.default_rng(1), []
     for _ in range(12):
         base = rng.normal(size=24)
@@ -60,6 +63,12 @@ def test_groups_and_odd_rows(spark, monkeypatch):
     assert sorted((r[0] or 0, r[1], r[2] or 0, r[3]) for r in near_duplicates(odd).collect()) == [(0, 0, 0, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
 
 
+def test_very_large_and_small_components(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [1.0, 2.0]), (4, [-1e300, 1e-300]), (5, [5e-324, 0.0])]
+    got = result(near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), 5: (0, 5, True)}
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 48))
@@ -68,7 +77,7 @@ def test_error_bounds_hold():
     q, s, e = quantise(u)
     p = q / s[:, None]
     assert (np.abs(u @ u.T - p @ p.T) <= e[:, None] + (1 + e[:, None]) * e[None] + 1e-12).all()
-    got = {(i, j) for a, b in close_pairs(x, x, 0.9) for i, j in zip(a.tolist(), b.tolist())}
+    got = {(i, j) for a, b in close_pairs(prepared(x), prepared(x), 0.9) for i, j in zip(a.tolist(), b.tolist())}
     assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(u @ u.T >= 0.9))))
     i, j = np.array([1, 2, 5, 7]), np.array([2, 3, 6, 7])
     a, b = forest(i, j, 9)

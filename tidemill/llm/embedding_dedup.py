@@ -7,12 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import drop, keep, send_if_small
 from .graph import components
 
-#: Vectors of a tile, at most about so many; pivots that order vectors into tiles.
+#: Vectors of a tile, at most about so many; pivots that order vectors into tiles; bytes of the tiles of a group.
 TILE = 4096
 PIVOTS = 64
+GROUP_BYTES = 16 << 20
 _TILE = "tile long, n long, dim int, ids binary, sizes binary, vectors binary, center binary, radius double"
 
 
@@ -23,18 +24,30 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale, np.linalg.norm(x - q / scale[:, None], axis=1) * (1 + 1e-9)
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, rows: int = 512):
-    """Blocks (i, j) of all row pairs of x and y with cosine at or over ``threshold``.
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors; the largest component goes to one first, so that no square under- or overflows."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def prepared(x: np.ndarray) -> tuple:
+    """Unit vectors, their quantised forms, scales and what each loses."""
+    u = unit(x)
+    return (u, *quantise(u))
+
+
+def close_pairs(x: tuple, y: tuple, threshold: float, rows: int = 512):
+    """Blocks (i, j) of all row pairs of x and y (see :func:`prepared`) with cosine at or over ``threshold``.
 
     |x.y - p.q| <= err_x + (1 + err_x) * err_y for unit x, y and their quantised forms p, q:
     pairs whose int8 product plus that bound stays below the threshold are out for certain,
     the others are computed anew in double precision.
     """
-    ux, uy = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
-    (p, sp, ep), (q, sq, eq) = quantise(ux), quantise(uy)
+    (ux, p, sp, ep), (uy, q, sq, eq) = x, y
     wide = q.astype(np.float32).T  # products of int8 are exact in float32 up to 1000 dimensions
-    slack = 1e-5 * max(1, x.shape[1] / 1000)
-    for a in range(0, len(x), rows):
+    slack = 1e-5 * max(1, ux.shape[1] / 1000)
+    for a in range(0, len(ux), rows):
         g = (p[a : a + rows].astype(np.float32) @ wide) / np.float32(sp[a : a + rows, None])
         g /= sq.astype(np.float32)
         e = ep[a : a + rows, None]
@@ -67,11 +80,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
     Vectors are linked when their cosine, in double precision, is ``threshold`` or more. Equal vectors
     are taken together first. Others are ordered by their nearest of a bounded sample of
-    pivots and cut into tiles of about :data:`TILE`; two tiles are multiplied unless their centres are so
+    pivots and cut into tiles of about :data:`TILE`, and tiles in that order into groups of at most :data:`GROUP_BYTES`. Groups meet on a
+    grid, so a tile moves once for each group, not once for each tile; two tiles that meet are multiplied unless their centres are so
     far apart that no pair can be close. A product of two tiles leaves link counts and a
     spanning forest of its links, so dense groups do not write out all their pairs.
 
-    Null, zero or partly null or non-finite vectors link with nothing and are kept. Vectors of different lengths
+    Very large and very small components are scaled before they are squared. Null, zero or partly null or non-finite vectors link with nothing and are kept. Vectors of different lengths
     are not linked. Null ids link with nothing. Rows with equal ids are counted each. An empty table gives no rows. Other
     columns are ignored.
     """
@@ -93,9 +107,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
             at = np.cumsum(n) - n
             for dim in np.unique(n).tolist():
                 of = np.flatnonzero(n == dim)
-                own = [p / np.linalg.norm(p) for p in pivots if len(p) == dim]
+                own = [p for p in pivots if len(p) == dim]
                 x = flat[at[of][:, None] + np.arange(dim)]
-                out[of] = dim * PIVOTS + ((x @ np.array(own).T).argmax(1) if own else 0)
+                out[of] = dim * PIVOTS + ((unit(x) @ unit(np.array(own)).T).argmax(1) if own else 0)
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("size"), batch.column("v"), pa.array(out)], ["rep", "size", "v", "cell"])
 
     celled = keep(classes.select("rep", "size", "v").mapInArrow(nearest, f"rep long, size long, v {dict(classes.dtypes)['v']}, cell long"), "cells")
@@ -105,7 +119,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     def gather(group: pa.Table) -> pa.Table:
         n = group.num_rows
         x = np.asarray(group.column("v").combine_chunks().flatten()).reshape(n, -1)
-        u = x / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+        u = unit(x)
         c = u.mean(0)
         c = c / (np.linalg.norm(c) or 1)
         radius = float(np.arccos(np.clip(u @ c, -1, 1)).max()) if c.any() else np.pi
@@ -113,46 +127,63 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         return pa.table([pa.array([group.column("tile")[0].as_py()]), pa.array([n]), pa.array([x.shape[1]], pa.int32()), raw(group.column("rep").to_numpy()), raw(group.column("size").to_numpy()), raw(x.astype(kind)), raw(c.astype(np.float64)), pa.array([radius])], ["tile", "n", "dim", "ids", "sizes", "vectors", "center", "radius"])
 
     tiles = keep(tiled.select("tile", "rep", "size", "v").groupBy("tile").applyInArrow(gather, _TILE), "tiles")
-    # the list of tile pairs: numbers, centres and radii only
-    heads = keep(tiles.select("tile", "dim", "center", "radius"), "heads")
-    pairs = heads.join(heads.select(F.col("tile").alias("other"), "dim", F.col("center").alias("center2"), F.col("radius").alias("radius2")), "dim").filter("tile <= other")
-
-    def reachable(batches):
-        angle = np.arccos(threshold)
-        for batch in batches:
-            a, b = ([np.frombuffer(x, np.float64) for x in batch.column(c).to_pylist()] for c in ("center", "center2"))
-            apart = np.arccos(np.clip([x @ y for x, y in zip(a, b)], -1, 1))
-            ok = apart <= batch.column("radius").to_numpy() + batch.column("radius2").to_numpy() + angle + 1e-6
-            yield batch.select(["tile", "other"]).filter(pa.array(ok, pa.bool_()))
-
-    todo = keep(pairs.select("tile", "other", "center", "radius", "center2", "radius2").mapInArrow(reachable, "tile long, other long"), "tile-pairs")
-
-    def multiply(batches):
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_tiles, width = tiles.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("vectors")), F.lit(1))).first()
+    size = max(1, min(GROUP_BYTES // width, int(n_tiles / (2 * tasks) ** 0.5)))
+    n_groups = -(-n_tiles // size)
+    numbers = keep(tiles.select("tile").withColumn("group", F.expr(f"(row_number() OVER (ORDER BY tile) - 1) div {size}").cast("int")), "groups")
+    met = tiles.join(send_if_small(numbers), "tile").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_groups - 1)))))
+    met = met.select(F.least("group", "other").alias("lo"), F.greatest("group", "other").alias("hi"), "group", *[x.split()[0] for x in _TILE.split(", ")])
+
+    def multiply_cell(cell: list[dict]):
+        angle, ready = np.arccos(threshold), {}
+        for k, one in enumerate(cell):
+            for other in cell[k:]:
+                if one["dim"] != other["dim"] or (one["group"] == other["group"] and one["lo"] != one["hi"]):
+                    continue
+                apart = np.arccos(np.clip(one["center"] @ other["center"], -1, 1))
+                if apart > one["radius"] + other["radius"] + angle + 1e-6:
+                    continue
+                for t in (one, other):
+                    if t["tile"] not in ready:
+                        ready[t["tile"]] = prepared(t["vectors"])
+                yield from multiply(one, other, ready[one["tile"]], ready[other["tile"]])
+
+    def multiply(one: dict, other: dict, x: tuple, y: tuple):
+        same, n, m = one is other, one["n"], other["n"]
+        links, counts = [], [np.zeros(n, np.int64), np.zeros(m, np.int64)]
+        for i, j in close_pairs(x, y, threshold):
+            if same:
+                i, j = i[i < j], j[i < j]
+            counts[0] += np.bincount(i, other["sizes"][j], n).astype(np.int64)
+            counts[1] += np.bincount(j, one["sizes"][i], m).astype(np.int64)
+            links.append(np.stack(forest(i, j if same else j + n, n + (0 if same else m))))
+        both = one["ids"] if same else np.concatenate([one["ids"], other["ids"]])
+        count = counts[0] + counts[1] if same else np.concatenate(counts)
+        linked = np.flatnonzero(count)
+        if len(linked):
+            f, t = forest(*np.concatenate(links, 1), len(both))
+            a, b, c = np.concatenate([both[linked], both[f]]), np.concatenate([both[linked], both[t]]), np.concatenate([count[linked], np.zeros(len(f), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["a", "b", "n"])
+
+    def cells_of(batches):
+        cell: list[dict] = []
         for batch in batches:
             for k in range(batch.num_rows):
-                get = lambda c, t: np.frombuffer(batch.column(c)[k].as_buffer(), t)  # noqa: B023,E731
-                same, dim = batch.column("tile")[k].as_py() == batch.column("other")[k].as_py(), batch.column("dim")[k].as_py()
-                ids, sizes = [get("ids", np.int64), get("ids2", np.int64)], [get("sizes", np.int64), get("sizes2", np.int64)]
-                x, y = (get(c, kind).reshape(-1, dim).astype(np.float64) for c in ("vectors", "vectors2"))
-                links, counts = [], [np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)]
-                for i, j in close_pairs(x, y, threshold):
-                    if same:
-                        i, j = i[i < j], j[i < j]
-                    counts[0] += np.bincount(i, sizes[1][j], len(x)).astype(np.int64)
-                    counts[1] += np.bincount(j, sizes[0][i], len(y)).astype(np.int64)
-                    links.append(np.stack(forest(i, j if same else j + len(x), len(x) + (0 if same else len(y)))))
-                both = np.concatenate(ids) if not same else ids[0]
-                count = np.concatenate(counts) if not same else counts[0] + counts[1]
-                linked = np.flatnonzero(count)
-                f, t = forest(*np.concatenate(links, 1), len(both)) if links else (np.zeros(0, np.int64),) * 2
-                a, b, c = np.concatenate([both[linked], both[f]]), np.concatenate([both[linked], both[t]]), np.concatenate([count[linked], np.zeros(len(f), np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["a", "b", "n"])
-
-    left = tiles.select("tile", "dim", "ids", "sizes", "vectors")
-    right = tiles.select(F.col("tile").alias("other"), F.col("ids").alias("ids2"), F.col("sizes").alias("sizes2"), F.col("vectors").alias("vectors2"))
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = todo.join(left, "tile").join(right, "other").repartition(n)
-    found = keep(dealt.mapInArrow(multiply, "a long, b long, n long"), "vector-links")
+                t = {c: batch.column(c)[k].as_py() for c in ("lo", "hi", "group", "tile", "n", "dim", "radius")}
+                get = lambda c, of: np.frombuffer(batch.column(c)[k].as_py(), of)  # noqa: B023,E731
+                t |= {"ids": get("ids", np.int64), "sizes": get("sizes", np.int64), "center": get("center", np.float64), "vectors": get("vectors", kind).reshape(-1, t["dim"])}
+                if cell and (t["lo"], t["hi"]) != (cell[0]["lo"], cell[0]["hi"]):
+                    yield from multiply_cell(cell)
+                    cell = []
+                cell.append(t)
+        if cell:
+            yield from multiply_cell(cell)
+
+    n = min(max(1, n_groups * (n_groups + 1) // 2), 8 * tasks)
+    dealt = met.repartition(n, "lo", "hi").sortWithinPartitions("lo", "hi", "tile")
+    found = keep(dealt.mapInArrow(cells_of, "a long, b long, n long"), "vector-links")
+    drop(celled, tiles, numbers)
     counts = found.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     labels = components(found.filter("n = 0").select("a", "b")).withColumnRenamed("node", "rep")
     of = classes.select("k1", "k2", "rep", "size").join(counts, "rep", "left").join(labels, "rep", "left")
