@@ -63,13 +63,17 @@ class Scanner:
             base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
         base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         base.sort()
-        more = []
+        more, k, covered = [], 0, 0
         for m in CANDIDATE.finditer(text):
-            at = m.start()
-            for a, _, b in [*(s for s in base if s[0] < m.end() and m.start() < s[2]), (m.end(), 0, m.end())]:
-                # what base spans leave of the candidate
-                more += [(x.start(), 3, x.end()) for x in CANDIDATE.finditer(text, at, max(a, at)) if self.is_random(x[0], chars_per_token)]
-                at = max(at, b)
+            # what base spans leave of the candidate; spans and candidates are both in order, so each span is passed once
+            at = max(m.start(), covered)
+            while True:
+                stop = min(base[k][0], m.end()) if k < len(base) else m.end()
+                more += [(x.start(), 3, x.end()) for x in CANDIDATE.finditer(text, at, max(at, stop)) if self.is_random(x[0], chars_per_token)]
+                if k == len(base) or base[k][0] >= m.end():
+                    break
+                covered = max(covered, base[k][2])
+                at, k = max(at, covered), k + 1
         return base, sorted(base + more)
 
 
