@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, send_if_small, text_of
+from .common import join_hot, keep, text_of
 
-#: Labelled rows the classifier is fitted on at most, words it knows at most, and how far from chance they must be.
-MAX_LABELS, MAX_WORDS, MIN_Z = 10_000, 400, 4.0
+#: Labelled rows the classifier is fitted on at most, and how far from chance the words must be that it knows.
+MAX_LABELS, MIN_Z = 10_000, 4.0
 #: Fixed numeric features, by name.
 SHAPE = ("log_words", "word_length", "upper", "digits", "symbols", "exclaims", "bars", "repeated_lines", "distinct_words")
 _MARKS = ".,;:!?\"'()[]{}*#$%&|<>"
@@ -36,16 +36,28 @@ def shape(text: str, words: list[str]) -> list[float]:
     return [log(1 + len(words)), sum(map(len, words)) / n, letters / c, sum(map(text.count, "0123456789")) / c, sum(map(text.count, "#*$%&<>")) / n, text.count("!") / n, text.count("|") / n, 1 - len(set(lines)) / max(1, len(lines)), len(set(words)) / n]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 40) -> np.ndarray:
-    """Weights (the last is the intercept) by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.full(len(w), l2)
+def fit_logistic(row: np.ndarray, word: np.ndarray, n_words: int, numbers: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 30) -> np.ndarray:
+    """Weights of words, numbers and the intercept by Newton's method. Words are given by (row, word) of those present; each step is solved by conjugate gradients."""
+    n = len(y)
+    ridge = np.full(n_words + numbers.shape[1] + 1, l2)
     ridge[-1] = 1e-6
+    times = lambda w: np.bincount(row, w[word], n) + numbers @ w[n_words:-1] + w[-1]
+    back = lambda r: np.concatenate([np.bincount(word, r[row], n_words), numbers.T @ r, [r.sum()]])
+    w = np.zeros(len(ridge))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        spread, rest = p * (1 - p), back(y - p) - ridge * w
+        step, way, size = np.zeros(len(w)), rest.copy(), rest @ rest
+        goal = 1e-16 * size
+        for _ in range(200):
+            if size <= goal:
+                break
+            turned = back(spread * times(way)) + ridge * way
+            far = size / (way @ turned)
+            step += far * way
+            rest = rest - far * turned
+            size, before = rest @ rest, size
+            way = rest + size / before * way
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -65,21 +77,21 @@ class Model:
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of good quality and of toxicity."""
-        x = np.zeros((len(texts), len(self.words) + len(SHAPE)))
-        for k, text in enumerate(texts):
-            present, numbers = self.features(text)
-            x[k, present] = 1
-            x[k, len(self.words) :] = numbers
-        x[:, len(self.words) :] = np.clip((x[:, len(self.words) :] - self.mean) / self.spread, -8, 8)
-        return tuple(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) for w in (self.quality, self.toxic))
+        rows = [self.features(t) for t in texts]
+        numbers = np.clip((np.array([r[1] for r in rows]).reshape(len(rows), len(SHAPE)) - self.mean) / self.spread, -8, 8)
+        k = len(self.words)
+        found = [np.array([w[r[0]].sum() for r in rows]) + numbers @ w[k:-1] + w[-1] for w in (self.quality, self.toxic)]
+        return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in found)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
-    """Fit on at most ``max_labels`` labelled documents, chosen by hash of their ids; that bound also holds for what reaches the driver."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna().dropDuplicates(["doc_id"])
-    n = known.count()
-    share = min(1.0, max_labels / max(1, n))
-    chosen = keep(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_labels), "labels")
+    """Fit on at most ``max_labels`` labelled documents, those of the smallest hashes of ids; that bound also holds for what reaches the driver.
+
+    Several labels of a document count by their majority, as ones where they are even.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
+    known = known.groupBy("doc_id").agg(*[(F.avg(c) >= 0.5).cast("int").alias(c) for c in ("quality", "toxic")])
+    chosen = keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels), "labels")
     sample = keep(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic"), "sample")
 
     def count(batches):
@@ -103,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     z = lambda c, total: F.abs(F.col(c) - F.col("n") * total) / F.sqrt(F.col("n") * (total * (1 - total)) + 1.0)
     m = max(1, totals["n"])
     strength = F.greatest(z("q", F.lit(totals["q"] / m)), z("t", F.lit(totals["t"] / m)))
-    words = [r[0] for r in per.filter("n >= 5").withColumn("z", strength).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_WORDS).select("word").collect()]
+    words = [r[0] for r in per.filter(strength >= MIN_Z).orderBy("word").select("word").collect()]
     blank = Model(words, 0.0, 1.0, None, None)
 
     def describe(batches):
@@ -112,14 +124,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
             yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("toxic"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["quality", "toxic", "present", "shape"])
 
     rows = sample.mapInArrow(describe, "quality int, toxic int, present array<int>, shape array<double>").collect()
-    x = np.zeros((len(rows), len(words) + len(SHAPE)))
-    for k, r in enumerate(rows):
-        x[k, r["present"]] = 1
-        x[k, len(words) :] = r["shape"]
-    numbers = x[:, len(words) :]
+    numbers = np.array([r["shape"] for r in rows]).reshape(len(rows), len(SHAPE))
     mean, spread = (numbers.mean(0), np.maximum(numbers.std(0), 1e-3)) if len(rows) else (np.zeros(len(SHAPE)), np.ones(len(SHAPE)))
-    x[:, len(words) :] = np.clip((numbers - mean) / spread, -8, 8)
-    heads = [fit_logistic(x, np.array([r[c] for r in rows], float)) if rows else np.zeros(x.shape[1] + 1) for c in ("quality", "toxic")]
+    numbers = np.clip((numbers - mean) / spread, -8, 8)
+    row = np.repeat(np.arange(len(rows)), [len(r["present"]) for r in rows]).astype(np.int64)
+    word = np.array([w for r in rows for w in r["present"]], np.int64)
+    heads = [fit_logistic(row, word, len(words), numbers, np.array([r[c] for r in rows], float)) if rows else np.zeros(len(words) + len(SHAPE) + 1) for c in ("quality", "toxic")]
     return Model(words, mean, spread, *heads)
 
 
@@ -137,11 +147,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
 
     ``evidence``: the classifier's probability that a document is of good quality and not toxic. Host means of
     it shrink towards the mean of all documents, path means towards their host's, by prior weights fitted to the spread of
-    sites. The path's posterior replaces the common prior in the document's odds: score = sigmoid(logit evidence + logit
-    path - logit all). ``kept``: score at or over ``threshold``. Sites are counted by partial sums before any shuffle.
+    sites. Posteriors of a document's host and path are those without the document itself, so its evidence counts once. The path's posterior
+    replaces the common prior in the document's odds: score = sigmoid(logit evidence + logit path - logit all), odds within a million to one. ``kept``: score at or over ``threshold``. Sites are counted by partial sums before any shuffle.
 
-    Null text: empty. Null host or path: ''. Documents need no label; labels with nulls are passed over and one of repeated ones counts.
-    Without labels every document's evidence is one half. Repeated ids: a row each. An empty table gives no rows.
+    Null text: empty; very long texts are read whole. Null host or path: ''. Documents need no label; labels with nulls are passed over, repeated ones count by
+    their majority. Without labels every document's evidence is one half. Null or repeated ids: a row each. An empty table gives no rows. Other
+    columns are ignored.
     """
     model = fit(docs, labels, max_labels)
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -161,10 +172,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
     of_hosts, of_paths = sums(hosts, "host_n", "host_s"), sums(paths, "n", "s")
     mean = of_hosts[1] / of_hosts[0] if of_hosts[0] else 0.5
     k1, k2 = prior_weight(*of_hosts), prior_weight(*of_paths)
-    sites = paths.join(send_if_small(hosts), "host").withColumn("host_posterior", (F.col("host_s") + k1 * mean) / (F.col("host_n") + k1))
-    sites = keep(sites.select("host", "path", "host_posterior", ((F.col("s") + k2 * F.col("host_posterior")) / (F.col("n") + k2)).alias("path_posterior")), "sites")
+    sites = keep(join_hot(paths, hosts, "host", ["path"]), "sites")
     logit = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
-    joined = scored.join(send_if_small(sites), ["host", "path"])
+    joined = join_hot(scored, sites, ["host", "path"], ["doc_id", "evidence"])
+    joined = joined.withColumn("host_posterior", (F.col("host_s") - F.col("evidence") + k1 * mean) / (F.col("host_n") - 1 + k1))
+    joined = joined.withColumn("path_posterior", (F.col("s") - F.col("evidence") + k2 * F.col("host_posterior")) / (F.col("n") - 1 + k2))
     joined = joined.withColumn("score", 1 / (1 + F.exp(-(logit(F.col("evidence")) + logit(F.col("path_posterior")) - logit(F.lit(float(mean)))))))
     return joined.select("doc_id", "host", "path", "quality", "toxicity", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).alias("kept"))
 
