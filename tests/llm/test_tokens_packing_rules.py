@@ -45,6 +45,19 @@ def test_cached_words_give_the_librarys_ids(name, kind):
     assert n.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
 
 
+def test_a_full_cache_changes_no_ids(monkeypatch):
+    import tidemill.llm.tokens as module
+
+    monkeypatch.setattr(module, "CACHE_WORDS", 50)
+    monkeypatch.setattr(module, "KEPT_WORDS", 20)
+    own, texts = Encoder(public_tokenizers.path("byte_bpe_50k.json"), "byte"), [" ".join(f"word{(j * k) % 97}" for j in range(40)) for k in range(20)]
+    for _ in range(2):
+        for t in texts:
+            flat, _ = own.encode([t], 0)
+            assert flat.tolist() == ids_of([t], "byte_bpe_50k.json", 0)[0]
+        assert own.known <= 50 + 97
+
+
 def test_op3_against_the_library(spark, sf):
     docs, start = sorted(documents(sf)), 0
     want = []

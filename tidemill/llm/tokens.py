@@ -26,8 +26,8 @@ _WORDS = {
     "word": re.compile(f"{_SUFFIX}[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+"),
     "byte": re.compile(f"{_SUFFIX} ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+"),
 }
-#: Words kept in a worker; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+#: Words kept in a worker at most, and how many of them stay when there are more: those met first, among which are nearly all frequent ones.
+CACHE_WORDS, KEPT_WORDS = 150_000, 50_000
 #: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -64,6 +64,11 @@ class Encoder:
         self.codes, self.known = _Codes(), 0
         self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    def _shrink(self) -> None:
+        self.codes = _Codes(zip(islice(self.codes, KEPT_WORDS), range(KEPT_WORDS)))
+        self.known, self.lengths = KEPT_WORDS, self.lengths[:KEPT_WORDS].copy()
+        self.ids = self.ids[: int(self.lengths.sum())].copy()
+
     def _learn(self, words: list[str]) -> None:
         """Let the library's model merge words that were not seen before."""
         merge = self.tokenizer.model.tokenize
@@ -76,7 +81,7 @@ class Encoder:
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text followed by ``end``, and the number of ids of each text."""
         if self.known > CACHE_WORDS:
-            self._clear()
+            self._shrink()
         look, split = self.codes.__getitem__, self.words.findall
         stop = look("\0end")
         per_text, whole = [], {}
@@ -117,7 +122,7 @@ def crc32_of(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def in_chunks(texts: list[str], most: int = 1_000_000):
-    """Ranges of texts of about ``most`` characters, at least one text each, so that memory stays bounded."""
+    """Ranges of texts of about ``most`` characters, at least one text each, so that memory stays bounded; Arrow's free memory goes back at the end."""
     a = size = 0
     for b, text in enumerate(texts):
         if size and size + len(text) > most:
@@ -126,6 +131,7 @@ def in_chunks(texts: list[str], most: int = 1_000_000):
         size += len(text)
     if a < len(texts):
         yield a, len(texts)
+    pa.default_memory_pool().release_unused()
 
 
 def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
