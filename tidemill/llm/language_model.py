@@ -26,7 +26,7 @@ BUCKETS, STEPS = 16_384, 25
 WORD_STEPS, WORD_RATE, WORD_PULL = 6, 0.6, 1.0
 #: Tokens dealt to a part, tokens after one word that are fitted together, and documents whose gains are added up in a part; tasks take several parts
 #: one after the other where there are more parts than tasks.
-DEAL, FIT, ROWS, MOST_TASKS = 1_000_000, 200_000, 200_000, 20_000
+DEAL, FIT, ROWS, MOST_TASKS = 400_000, 200_000, 100_000, 20_000
 END = np.int64(0x7E57AB1E0DD5EED)
 #: Which of the three classes before a token each feature looks at: n-grams, then skips.
 FEATURES = ((1, 0, 0), (1, 1, 0), (1, 1, 1), (0, 1, 0), (0, 1, 1), (1, 0, 1))
@@ -443,6 +443,8 @@ def word_gains(documents: DataFrame, classes: np.ndarray, often: np.ndarray, wit
                     a = b
             rows, at = np.unique(row, return_inverse=True)
             yield from packed((mix(rows.view(np.uint64)) % U(back)).astype(np.int64), [rows, np.bincount(at, gain)])
+            del row, w1, w2, w, train, key, by, code, gain, rows, at  # before the next part is read
+            pa.default_memory_pool().release_unused()
 
     def add(batches):
         for row, gain in unpacked(batches, (np.float64,)):
