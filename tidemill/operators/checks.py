@@ -21,22 +21,43 @@ def scalar(spark: SparkSession, sql: str):
     return (None, False) if row is None else (row[0], True)
 
 
+def _single(spark: SparkSession, sql: str) -> tuple:
+    try:
+        return (*scalar(spark, sql), None)
+    except PySparkException as e:
+        return None, False, str(e).splitlines()[0]
+
+
+def scalars_of(spark: SparkSession, queries: Mapping[str, str]) -> dict[str, tuple]:
+    """(value, found, error) by name of each SQL query: its first value.
+
+    Queries are subqueries of one query, so that Catalyst can merge those that aggregate one view alike and reuse what they share. Where
+    that query fails, each runs by itself, so that an error concerns its own check alone; so do queries with an order of their own.
+    """
+    names = [n for n, sql in queries.items() if "order by" not in sql.lower()]
+    if len(names) < len(queries):
+        ordered = {n: sql for n, sql in queries.items() if n not in names}
+        return scalars_of(spark, {n: queries[n] for n in names}) | {n: x for n, sql in ordered.items() for x in [_single(spark, sql)]}
+    try:
+        firsts = [f"(SELECT first(struct(*)) FROM ({queries[n].strip().rstrip(';')}\n) LIMIT 1)" for n in names]
+        row = spark.sql(f"SELECT {', '.join(firsts)}").first() if names else ()
+        return {n: (None, False, None) if x is None else (x[0], True, None) for n, x in zip(names, row)}
+    except PySparkException:
+        return {n: _single(spark, queries[n]) for n in names}
+
+
 def scalars(spark: SparkSession, checks: Iterable[Mapping]) -> dict[str, tuple]:
     """(value, found, error) by name of each check.
 
-    A check with ``table`` and ``where`` counts rows; all of one table are counted in one pass. One with ``sql`` runs by
-    itself, so that an error concerns that check alone.
+    A check with ``table`` and ``where`` counts rows; all of one table are counted in one pass. Those with ``sql``: see :func:`scalars_of`.
     """
-    out, by_table = {}, {}
+    out, by_table, by_sql = {}, {}, {}
     for c in checks:
         if c.get("where") and c.get("table"):
             by_table.setdefault(c["table"], []).append(c)
-            continue
-        try:
-            value, found = scalar(spark, c["sql"])
-            out[c["name"]] = (value, found, None)
-        except PySparkException as e:
-            out[c["name"]] = (None, False, str(e).splitlines()[0])
+        else:
+            by_sql[c["name"]] = c["sql"]
+    out |= scalars_of(spark, by_sql)
     for table, own in by_table.items():
         good = []
         for c in own:
@@ -175,10 +196,7 @@ def compute_metrics(spark: SparkSession, definitions: DataFrame | Iterable[Mappi
     """Value of each metric: the first cell as a double; null if there is none; errors as text."""
     bind_inputs(spark, views or {})
     listed = definitions.filter("error IS NULL").select("metric_name", "sql").collect() if isinstance(definitions, DataFrame) else definitions
-    rows = []
-    for d in listed:
-        try:
-            rows.append((d["metric_name"], _number(scalar(spark, d["sql"])[0]), None))
-        except PySparkException as e:
-            rows.append((d["metric_name"], None, str(e).splitlines()[0]))
+    listed = [(d["metric_name"], d["sql"]) for d in listed]
+    found = scalars_of(spark, {str(k): sql for k, (_, sql) in enumerate(listed)})
+    rows = [(name, _number(found[str(k)][0]), found[str(k)][2]) for k, (name, _) in enumerate(listed)]
     return spark.createDataFrame(rows, METRICS.rsplit(",", 1)[0]).withColumn("computed_at", F.current_timestamp())

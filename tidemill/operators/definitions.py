@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.sources.files import read_text_files
-from tidemill.sources.scratch import stored
+from tidemill.sources.scratch import drop, stored
 
 #: Keys a schedule may have.
 SCHEDULE_KEYS = ("minute", "hour", "day", "month", "day_of_week")
@@ -75,24 +75,32 @@ def task_edges(tasks: DataFrame) -> DataFrame:
 def topo_levels(edges: DataFrame, rounds_per_write: int = 6) -> DataFrame:
     """pipeline, task, level and cyclic for edges (pipeline, task, depends_on) of any number of graphs at once.
 
-    A level is the longest path from a task without dependencies. Levels rise along edges until their sum
-    stays, at most to the number of tasks of the graph, which only tasks on or behind a cycle reach: they get no level.
+    A level is the longest path from a task without dependencies. Tasks without open dependencies are peeled off level by level: in a round those
+    of the last level tell the tasks that need them, and what then needs nothing more is the next level. Rounds are as many as the deepest graph has
+    levels, whatever cycles there are: when some rounds peel nothing, the tasks that stay are on or behind a cycle and get no level.
     A round is one join and one aggregation, both by task, so it shuffles once; some rounds are planned together before levels are written.
     """
-    nodes = edges.select("pipeline", F.explode(F.array("task", "depends_on")).alias("task")).distinct()
-    sizes = nodes.groupBy("pipeline").agg(F.count(F.lit(1)).alias("most"))
-    links = stored(edges.select("pipeline", F.col("depends_on").alias("task"), F.col("task").alias("next")).distinct(), "links")
-    levels, total = stored(nodes.join(sizes, "pipeline").withColumn("level", F.lit(0).cast("long")), "levels"), 0
-    while True:
+    known = edges.select("pipeline", "task", "depends_on").distinct()
+    links = stored(known.filter("task IS NOT NULL AND depends_on IS NOT NULL").select("pipeline", F.col("depends_on").alias("task"), F.col("task").alias("next")), "links")
+    each = known.select("pipeline", F.inline(F.array(F.struct("task", F.col("depends_on").isNotNull().cast("long").alias("need")), F.struct(F.col("depends_on").alias("task"), F.lit(0).cast("long").alias("need")))))
+    first = each.filter("task IS NOT NULL").groupBy("pipeline", "task").agg(F.sum("need").alias("need"))
+    nodes = stored(first.withColumn("level", F.when(F.col("need") == 0, F.lit(0).cast("long"))), "levels")
+    level, left = 0, nodes.filter("level IS NULL").count()
+    while left:
+        before, held = nodes, left
         for _ in range(rounds_per_write):
-            up = F.array(F.struct("task", "level"), F.struct(F.col("next").alias("task"), F.least("most", F.col("level") + 1).alias("level")))
-            risen = levels.join(links, ["pipeline", "task"], "left").select("pipeline", "most", F.inline(up)).filter("task IS NOT NULL")
-            levels = risen.groupBy("pipeline", "task").agg(F.max("most").alias("most"), F.max("level").alias("level"))
-        levels, before = stored(levels, "levels"), total
-        total = levels.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
-        if total == before:
-            cyclic = F.col("level") >= F.col("most")
-            return levels.select("pipeline", "task", F.when(~cyclic, F.col("level")).alias("level"), cyclic.alias("cyclic"))
+            own = F.struct("task", "need", "level", F.lit(0).cast("long").alias("done"))
+            told = F.struct(F.col("next").alias("task"), F.lit(None).cast("long").alias("need"), F.lit(None).cast("long").alias("level"), (F.col("level") == level).cast("long").alias("done"))
+            rows = nodes.join(links, ["pipeline", "task"], "left").select("pipeline", F.inline(F.array(own, told))).filter("task IS NOT NULL")
+            sums = rows.groupBy("pipeline", "task").agg((F.max("need") - F.coalesce(F.sum("done"), F.lit(0))).alias("need"), F.max("level").alias("level"))
+            level += 1
+            nodes = sums.withColumn("level", F.coalesce("level", F.when(F.col("need") == 0, F.lit(level).cast("long"))))
+        nodes = stored(nodes, "levels")
+        drop(before)
+        left = nodes.filter("level IS NULL").count()
+        if left == held:
+            break
+    return nodes.select("pipeline", "task", "level", F.col("level").isNull().alias("cyclic"))
 
 
 #: Operations this library covers, by module.
