@@ -1,15 +1,18 @@
 """Round trips of sources and sinks, and streams over temporary folders."""
 
 import http.server
+import io
 import json
 import threading
 import time
 import urllib.parse
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemill.sources import external, files
+from tidemill.sources import external, files, watch
 from tidemill.streaming import streams
 
 
@@ -142,6 +145,52 @@ def test_log_tail_and_completions(spark, tmp_path):
     assert rows(fired.select("run_id", "downstream")) == [("r1", "x"), ("r1", "y")]
 
 
+def test_log_tail_follows_growing_files(spark, tmp_path):
+    logs, log = tmp_path / "logs", tmp_path / "logs" / "run_1.log"
+    logs.mkdir()
+    log.write_text("a\nbe")
+
+    def more():
+        streams.tail_lines(spark, str(logs)).writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        return rows(spark.read.schema("line string, run_id string").parquet(f"{tmp_path}/out"))
+
+    assert more() == [("a", "run_1")]
+    with log.open("a") as f:
+        f.write("gin\n\n c \nd")
+    (logs / "run_2.log").write_text("x\n")
+    assert more() == [("a", "run_1"), ("begin", "run_1"), ("c", "run_1"), ("x", "run_2")]
+    assert len(more()) == 4
+    log.write_text("n\n")  # cut: read from its begin
+    assert ("n", "run_1") in more()
+
+
+@given(st.lists(st.integers(0, 60)), st.text("ab\n", max_size=60))
+def test_lines_come_once(cuts, text):
+    data = text.encode()
+    ends = [0, *sorted(min(c, len(data)) for c in cuts), len(data)]
+    got = [line for a, b in zip(ends, ends[1:]) for line in watch.lines_ended(io.BytesIO(data), a, b)]
+    assert got == data.split(b"\n")[:-1]
+
+
+def test_file_sensor_fires_on_changes(spark, tmp_path):
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+    (folder / "old.csv").write_text("1")
+
+    def poll():
+        seen.clear()
+        watched = streams.file_changes(spark, str(folder), "*.csv")
+        watched.writeStream.option("checkpointLocation", f"{tmp_path}/c").foreachBatch(lambda df, n: seen.extend((r["path"].rsplit("/", 1)[-1], r["size"]) for r in df.collect())).trigger(availableNow=True).start().awaitTermination()
+        return sorted(seen)
+
+    assert poll() == []
+    (folder / "old.csv").write_text("12")
+    (folder / "new.csv").write_text("abc")
+    (folder / "other.txt").write_text("abc")
+    assert poll() == [("new.csv", 3), ("old.csv", 2)]
+    assert poll() == []
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     make = lambda *days: spark.createDataFrame([(d, "p", "ok") for d in days], "updated_at string, pipeline_name string, status string").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
     for batch in (make("2024-01-01", "2024-01-02"), make("2024-01-10"), make("2024-01-11"), make("2024-01-01", "2024-01-11")):

@@ -113,7 +113,10 @@ OPERATIONS = {
 }
 
 
-def operators_for(spark: SparkSession, operation: str) -> DataFrame:
-    """Modules that support an operation."""
+def operators_for(spark: SparkSession, operation: str | DataFrame) -> DataFrame:
+    """Modules that support an operation; or, for a table with a column ``operation``, its rows with the modules that support each (none: empty)."""
     rows = spark.createDataFrame([(m, list(ops)) for m, ops in OPERATIONS.items()], "module string, operations array<string>")
-    return rows.filter(F.array_contains("operations", operation)).orderBy("module")
+    if not isinstance(operation, DataFrame):
+        return rows.filter(F.array_contains("operations", operation)).orderBy("module")
+    known = [F.when(F.col("operation").isin(*ops), F.lit(m)) for m, ops in sorted(OPERATIONS.items())]
+    return operation.withColumn("modules", F.array_compact(F.array(*known)))

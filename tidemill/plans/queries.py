@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from tidemill.operators import checks, definitions, lineage, runs, table, versio
 from tidemill.plans.views import oracle, spark_text, view
 from tidemill.plans.views import table as source
 from tidemill.sources import external, files
-from tidemill.sources.scratch import scratch_dir, stored
+from tidemill.sources.scratch import scratch_dir, settings, stored
 from tidemill.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,10 +61,11 @@ def _(spark, d):
     return files.read_source(spark, f"{d}/supplier.parquet").filter("s_acctbal > 0")
 
 
-@query("s4_write_sink", "SELECT count(*) AS rows_written FROM orders")
+@query("s4_write_sink", "SELECT (SELECT count(*) FROM orders) AS rows_written, o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def _(spark, d):
-    n = files.write_sink(source(spark, d, "orders"), scratch_dir(spark, "sink"), "orc")
-    return spark.createDataFrame([(n,)], "rows_written long")
+    path = scratch_dir(spark, "sink")
+    n = files.write_sink(source(spark, d, "orders"), path, "orc")
+    return files.read_source(spark, path, "orc").select(F.lit(n).cast("long").alias("rows_written"), "o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 @query("s5_export_csv", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
@@ -79,6 +81,45 @@ def _(spark, d):
     return spark.createDataFrame(rows, "name string, type string")
 
 
+def _database(name: str) -> dict:
+    """A database in the memory of the driver's JVM: tables are written and read by JDBC there, so these queries are for local sessions."""
+    return {"url": f"jdbc:derby:memory:{name}_{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
+@query("s6_jdbc_query", "SELECT c_nationkey, count(*) AS customers FROM customer WHERE c_acctbal > 0 GROUP BY c_nationkey")
+def _(spark, d):
+    conn = _database("s6")
+    external.jdbc_load(source(spark, d, "customer"), conn, "customer", "overwrite")
+    sql = 'SELECT "c_nationkey", "c_acctbal" FROM "customer" WHERE "c_acctbal" > 0'
+    return external.jdbc_query(spark, conn, sql, "c_nationkey", 0, 25, 4).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@query("s7_jdbc_load", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal < 0")
+def _(spark, d):
+    conn, path, rows = _database("s7"), scratch_dir(spark, "csv"), source(spark, d, "supplier")
+    files.export_csv(rows, path)
+    loaded = files.read_source(spark, path, "csv", rows.schema)
+    external.jdbc_load(loaded, conn, "Odd Schema.sup plier", "overwrite", partitions=2)
+    external.jdbc_load(loaded.filter("s_acctbal < 0"), conn, "Odd Schema.sup plier")
+    return external.jdbc_query(spark, conn, 'SELECT * FROM "Odd Schema"."sup plier"')
+
+
+@query("s8_jdbc_extract", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey < 10")
+def _(spark, d):
+    conn, path = _database("s8"), scratch_dir(spark, "extract")
+    external.jdbc_load(source(spark, d, "supplier"), conn, "supplier", "overwrite")
+    external.jdbc_extract(spark, conn, 'SELECT "s_suppkey", "s_name" FROM "supplier" WHERE "s_nationkey" < 10', path)
+    return files.read_source(spark, path, "csv", "s_suppkey long, s_name string")
+
+
+@query("s11_warehouse_load", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer UNION ALL SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal < 0")
+def _(spark, d):
+    conn, rows = _database("s11"), source(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    external.warehouse_load(rows, conn, "loaded", "replace")
+    external.warehouse_load(rows.filter("c_acctbal < 0"), conn, "loaded", "append")
+    return external.jdbc_query(spark, conn, "SELECT * FROM loaded")
+
+
 @query("s16_kafka_encode", """SELECT CAST(o_orderkey AS VARCHAR) AS key, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS value, 0 AS partition FROM orders""")
 def _(spark, d):
     return external.kafka_encode(source(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 0)
@@ -90,11 +131,18 @@ def _(spark, d):
     return external.kafka_decode(sent, "o_orderkey long, o_orderstatus string, o_totalprice double").select("value.*")
 
 
-@query("s19_read_text_files", "SELECT sum(length(n_name) + 1)::BIGINT AS characters FROM nation")
+@query("s19_read_text_files", "SELECT s_suppkey::INT AS s_suppkey, s_name || chr(10) || s_nationkey || chr(10) AS content, length(s_name) + length(s_nationkey::VARCHAR) + 2 AS size FROM supplier")
 def _(spark, d):
     folder = scratch_dir(spark, "whole")
-    files.write_text(source(spark, d, "nation").select("n_name"), folder)
-    return files.read_text_files(spark, folder).agg(F.sum(F.length("content")).alias("characters"))
+    source(spark, d, "supplier").select("s_suppkey", F.concat_ws("\n", "s_name", "s_nationkey").alias("content")).write.partitionBy("s_suppkey").text(folder)
+    return files.read_text_files(spark, folder).select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("int").alias("s_suppkey"), "content", "size")
+
+
+@query("s21_list_files", "SELECT o_orderstatus AS folder, sum(length(o_orderkey::VARCHAR) + 1)::BIGINT AS bytes FROM orders GROUP BY 1")
+def _(spark, d):
+    folder = scratch_dir(spark, "listed")
+    source(spark, d, "orders").select("o_orderstatus", F.col("o_orderkey").cast("string")).write.partitionBy("o_orderstatus").text(folder)
+    return files.list_files(spark, folder, "*.txt", True).groupBy(F.regexp_extract("path", "o_orderstatus=([^/]*)", 1).alias("folder")).agg(F.sum("size").alias("bytes"))
 
 
 @query("s22_write_text", "SELECT r_name AS value FROM region UNION ALL SELECT n_name FROM nation")
@@ -105,13 +153,13 @@ def _(spark, d):
     return spark.read.text(folder)
 
 
-@query("s20_merge_files", "SELECT count(*) AS lines FROM (SELECT r_name FROM region UNION ALL SELECT n_name FROM nation)")
+@query("s20_merge_files", "SELECT value, count(*) AS n FROM (SELECT p_name AS value FROM part UNION ALL SELECT s_name FROM supplier) GROUP BY value")
 def _(spark, d):
     a, b, out = (scratch_dir(spark, "text") for _ in range(3))
-    files.write_text(source(spark, d, "region").select("r_name"), a)
-    files.write_text(source(spark, d, "nation").select("n_name"), b)
+    files.write_text(source(spark, d, "part").select("p_name"), a)
+    files.write_text(source(spark, d, "supplier").select("s_name"), b)
     files.merge_files(spark, [a, b, f"{a}-missing"], out)
-    return spark.read.text(out).agg(F.count(F.lit(1)).alias("lines"))
+    return spark.read.text(out).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s23_append_history", "SELECT event_id, event_type, actor, CAST(occurred_at AS DATE) AS date FROM audit", "audit")
@@ -290,6 +338,16 @@ def _(spark, d, sales):
     return table.transform(sales, [{"name": k, "sql": v} for k, v in columns.items()]).select("order_id", "line_no", *columns)
 
 
+@query("t22_generate_sales", "SELECT count(*) AS rows, count(*) AS order_ids, true AS in_range, true AS same_again FROM orders")
+def _(spark, d):
+    n = source(spark, d, "orders").count()
+    made = table.generate_sales(spark, n, 7)
+    again = table.generate_sales(spark, n, 7).repartition(3)
+    fits = "category IS NOT NULL AND region IS NOT NULL AND quantity BETWEEN 1 AND 10 AND unit_price BETWEEN 5 AND 500 AND discount_pct BETWEEN 0 AND 0.2 AND abs(revenue - quantity * unit_price * (1 - discount_pct)) < 0.006 AND year(sale_date) = 2024 AND month = month(sale_date)"
+    whole = F.expr("sum(CAST(xxhash64(*) AS DECIMAL(38,0)))").alias("h")
+    return made.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("order_id").alias("order_ids"), F.bool_and(F.expr(fits)).alias("in_range"), whole).join(again.agg(whole), "h", "left").select("rows", "order_ids", "in_range", F.col("h").isNotNull().alias("same_again"))
+
+
 @query("t23_derived_report", "SELECT category AS product_line, orders, total_revenue / orders AS revenue_per_order FROM (SELECT category, count(*) AS orders, CAST(sum(CAST(revenue AS DECIMAL(18,4))) AS DOUBLE) AS total_revenue FROM sales GROUP BY category) WHERE orders > 10", "sales")
 def _(spark, d, sales):
     table.materialize(table.revenue_by_category(sales), "category_summary")
@@ -565,6 +623,26 @@ METRICS = [
 ]
 
 
+def _definitions(spark, d, text) -> str:
+    """A folder with a definition file of each supplier."""
+    folder = scratch_dir(spark, "definitions")
+    source(spark, d, "supplier").select("s_suppkey", F.expr(text).alias("text")).write.partitionBy("s_suppkey").text(folder)
+    return folder
+
+
+_METRIC = r"""concat('metric_name: "  ', s_name, ' "\nowner: nation ', s_nationkey, CASE WHEN s_acctbal >= 0 THEN concat('\nsql: |\n  SELECT count(*) FROM t', s_nationkey) ELSE '' END)"""
+
+
+@query("m1_load_metrics", "SELECT s_name AS metric_name, CASE WHEN s_acctbal >= 0 THEN 'SELECT count(*) FROM t' || s_nationkey ELSE '' END AS sql, '' AS description, 'nation ' || s_nationkey AS owner, CASE WHEN s_acctbal < 0 THEN 'missing: sql' END AS error FROM supplier")
+def _(spark, d):
+    return checks.load_metrics(spark, _definitions(spark, d, _METRIC)).drop("path")
+
+
+@query("m2_list_metrics", "SELECT s_name AS metric_name, '' AS description, 'nation ' || s_nationkey AS owner FROM supplier WHERE s_acctbal >= 0")
+def _(spark, d):
+    return checks.list_metrics(checks.load_metrics(spark, _definitions(spark, d, _METRIC)))
+
+
 @query("m3_compute_metrics", "SELECT 'orders' AS metric_name, count(*)::DOUBLE AS value, false AS failed FROM sales UNION ALL SELECT 'regions', count(DISTINCT region), false FROM sales UNION ALL SELECT 'nothing', NULL, false UNION ALL SELECT 'no_row', NULL, false UNION ALL SELECT 'broken', NULL, true", "sales")
 def _(spark, d, sales):
     return checks.compute_metrics(spark, METRICS, {"data": sales}).select("metric_name", "value", F.col("error").isNotNull().alias("failed"))
@@ -621,6 +699,17 @@ _NEEDS = """t AS (SELECT pipeline, name, id, list_filter([CASE WHEN n > 0 THEN (
 x AS (SELECT pipeline, name, coalesce(id, name) AS own, unnest(needs) AS alias FROM t), a AS (SELECT pipeline, name AS alias, name FROM t UNION SELECT pipeline, id, name FROM t WHERE id IS NOT NULL)"""
 
 
+_PIPELINE = r"""concat('pipeline_name: ', s_name, '\nteam: team_', s_nationkey, '\ntags: [daily, n', s_nationkey, ']\nschedule: {hour: ', s_nationkey, '}\ntasks:', CASE WHEN s_acctbal >= 0 THEN '\n- {name: load, plugin: csv}\n- {name: check, depends_on: [load]}' WHEN s_nationkey < 12 THEN ' []' ELSE ' [' END)"""
+
+
+@query("p1_pipeline_inventory", """WITH s AS (SELECT *, s_acctbal >= 0 AS good FROM supplier) SELECT s_suppkey::INT AS s_suppkey, CASE WHEN good THEN s_name END AS pipeline_name, CASE WHEN good THEN 'team_' || s_nationkey END AS team, CASE WHEN good THEN 'daily,n' || s_nationkey END AS tags,
+    CASE WHEN good THEN s_nationkey::VARCHAR END AS hour, CASE WHEN good THEN 'load,check' END AS tasks, CASE WHEN good THEN 'load' END AS depends_on, CASE WHEN NOT good THEN CASE WHEN s_nationkey < 12 THEN 'ValueError' ELSE 'ParserError' END END AS error_type, NOT good AS failed FROM s""")
+def _(spark, d):
+    found = definitions.pipeline_inventory(spark, _definitions(spark, d, _PIPELINE))
+    joined = lambda c, a: F.array_join(c, ",").alias(a)
+    return found.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("int").alias("s_suppkey"), "pipeline_name", "team", joined("tags", "tags"), F.col("schedule")["hour"].alias("hour"), joined("tasks.name", "tasks"), joined(F.flatten("tasks.depends_on"), "depends_on"), "error_type", F.col("error").isNotNull().alias("failed"))
+
+
 @query("p2_template_metadata", "SELECT pipeline, count(*) AS task_count, array_to_string(list_sort(list_distinct(list(plugin))), ',') AS plugins, array_to_string(list_sort(list_distinct(list(tag))), ',') AS tags FROM tasks GROUP BY pipeline", "tasks")
 def _(spark, d, tasks):
     return definitions.template_metadata(_tasks(tasks)).withColumns({"plugins": F.array_join("plugins", ","), "tags": F.array_join("tags", ",")})
@@ -647,6 +736,12 @@ def _(spark, d, tasks):
 # --- user functions ----------------------------------------------------------------------------
 
 
+@query("p6_operators_for", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'profile' WHEN 1 THEN 'query' WHEN 2 THEN 'export' ELSE 'none' END AS operation, CASE p_size % 4 WHEN 0 THEN 'tidemill.operators.table' WHEN 1 THEN 'tidemill.operators.table,tidemill.sources.external' WHEN 2 THEN 'tidemill.sources.external,tidemill.sources.files' ELSE '' END AS modules FROM part")
+def _(spark, d):
+    asked = source(spark, d, "part").select("p_partkey", F.expr("CASE p_size % 4 WHEN 0 THEN 'profile' WHEN 1 THEN 'query' WHEN 2 THEN 'export' ELSE 'none' END").alias("operation"))
+    return definitions.operators_for(spark, asked).withColumn("modules", F.array_join("modules", ","))
+
+
 @query("u1_python_step", "SELECT l_orderkey, l_linenumber, l_quantity * 3 AS scaled FROM lineitem WHERE l_quantity > 40")
 def _(spark, d):
     rows = source(spark, d, "lineitem").filter("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_quantity")
@@ -695,11 +790,23 @@ def _(spark, d, events):
     return streams.drain(streams.completion_fires(_stream(spark, d, "runs"), registered).select("run_id", "pipeline_name", "updated_at", "downstream"))
 
 
-@query("st3_tail_lines", "SELECT 'part' AS source, count(*) AS lines FROM part WHERE p_size % 2 = 0")
+@query("st1_file_changes", "SELECT s_suppkey::INT AS s_suppkey, 1 + (s_acctbal < 0)::INT AS fired, length(s_name) + 1 + CASE WHEN s_acctbal < 0 THEN 5 ELSE 0 END AS size FROM supplier")
+def _(spark, d):
+    folder, seen, checkpoint = (scratch_dir(spark, n) for n in ("watched", "seen", "checkpoint"))
+    rows = source(spark, d, "supplier")
+    for text in (rows, rows.filter("s_acctbal < 0").withColumn("s_name", F.concat("s_name", F.lit(" more")))):
+        with settings(spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
+            text.select("s_suppkey", F.col("s_name").alias("text")).write.mode("overwrite").partitionBy("s_suppkey").text(folder)
+        streams.file_changes(spark, folder, "*.txt", existing=True, recursive=True).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(seen).awaitTermination()
+    number = F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("int").alias("s_suppkey")
+    return spark.read.parquet(seen).groupBy(number).agg(F.count(F.lit(1)).cast("int").alias("fired"), F.max("size").alias("size"))
+
+
+@query("st3_tail_lines", "SELECT p_name AS line, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY p_name")
 def _(spark, d):
     folder = scratch_dir(spark, "lines")
     files.write_text(source(spark, d, "part").select(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("  "), "p_name")).otherwise("   ").alias("line")), folder)
-    return streams.drain(streams.tail_lines(spark, folder)).agg(F.first(F.lit("part")).alias("source"), F.count(F.lit(1)).alias("lines"))
+    return streams.drain(streams.tail_lines(spark, folder)).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("st5_run_counts_stream", "SELECT CAST(updated_at AS DATE) AS day, pipeline_name, status, count(*) AS count FROM runs GROUP BY ALL", "runs")
@@ -737,3 +844,8 @@ sql_query("j_functions", "SELECT p_partkey, upper(trim(p_name)) AS name, coalesc
 sql_query("j_dates", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate + INTERVAL '1' DAY AS DATE) AS next_day, datediff(DATE '2030-01-01', CAST(o_orderdate AS DATE)) AS age FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate + INTERVAL 1 DAY AS DATE) AS next_day, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2030-01-01') AS INT) AS age FROM orders", "orders")
 sql_query("j_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", "events")
 sql_query("j_arrays", "SELECT pos, count(*) AS n, count(DISTINCT word) AS words FROM (SELECT posexplode(split(p_name, ' ')) AS (pos, word) FROM part) GROUP BY pos", "SELECT CAST(pos - 1 AS INT) AS pos, count(*) AS n, count(DISTINCT word) AS words FROM (SELECT unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS pos FROM part) GROUP BY pos", "part")
+sql_query("j_right_join", "SELECT s_name, n_name, r_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 9000 RIGHT JOIN region ON n_regionkey = r_regionkey", None, "supplier", "nation", "region")
+sql_query("j_cross_join", "SELECT n_name, r_name FROM nation CROSS JOIN region WHERE n_regionkey <> r_regionkey", None, "nation", "region")
+sql_query("j_cube", "SELECT l_returnflag, l_linestatus, GROUPING(l_returnflag) AS no_flag, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", "SELECT l_returnflag, l_linestatus, CAST(GROUPING(l_returnflag) AS TINYINT) AS no_flag, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", "lineitem")
+sql_query("j_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", None, "orders")
+sql_query("j_maps", "SELECT p_partkey, element_at(m, 'size') AS size, element_at(m, 'brand') AS brand, array_join(array_sort(map_keys(m)), ',') AS keys, CAST(cardinality(m) AS BIGINT) AS n FROM (SELECT p_partkey, map('size', CAST(p_size AS STRING), 'brand', p_brand) AS m FROM part)", "SELECT p_partkey, m['size'] AS size, m['brand'] AS brand, array_to_string(list_sort(map_keys(m)), ',') AS keys, CAST(cardinality(m) AS BIGINT) AS n FROM (SELECT p_partkey, MAP {'size': CAST(p_size AS VARCHAR), 'brand': p_brand} AS m FROM part)", "part")

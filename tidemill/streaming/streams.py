@@ -13,6 +13,7 @@ from tidemill.operators.runs import sla_violations
 from tidemill.sources.external import kafka_decode
 from tidemill.sources.files import append_history
 from tidemill.sources.scratch import scratch_dir
+from tidemill.sources.watch import FileChanges, LogLines
 
 
 def listed(path: str) -> str:
@@ -41,15 +42,26 @@ def file_arrivals(spark: SparkSession, folder: str, schema, fn: Callable[[DataFr
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def file_changes(spark: SparkSession, folder: str, pattern: str = "*", existing: bool = False, recursive: bool = False) -> DataFrame:
+    """path, size and modified of files that are new or were changed in place. Files there at the first start do not fire unless ``existing``."""
+    spark.dataSource.register(FileChanges)
+    flags = {"existing": str(existing).lower(), "recursive": str(recursive).lower()}
+    return spark.readStream.format("file_changes").options(path=folder, pattern=pattern, **flags).load()
+
+
 def completion_fires(runs: DataFrame, registrations: DataFrame) -> DataFrame:
     """Each successful run with every pipeline registered on it (pipeline_name upstream, downstream)."""
     return runs.filter("status = 'completed'").join(registrations, "pipeline_name")
 
 
-def tail_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """New lines that are not blank, stripped, with their file's name as run_id."""
-    rows = spark.readStream.text(folder).select(F.trim("value").alias("line"), F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("run_id"))
-    return rows.filter("line != ''")
+def tail_lines(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """New lines that are not blank, stripped, with their file's name as run_id: those of new files and those added to known ones.
+
+    A line comes once it has ended. Each batch reads only what was added since the batch before, a task for each file.
+    """
+    spark.dataSource.register(LogLines)
+    rows = spark.readStream.format("log_lines").options(path=folder, pattern=pattern).load()
+    return rows.select(F.trim("line").alias("line"), F.regexp_replace("file", r"\.[^.]*$", "").alias("run_id")).filter("line != ''")
 
 
 def kafka_stream(spark: SparkSession, brokers: str, topic: str, schema=None) -> DataFrame:
