@@ -27,6 +27,8 @@ WORD_STEPS, WORD_RATE, WORD_PULL = 6, 0.6, 1.0
 #: Tokens dealt to a part, tokens after one word that are fitted together, and documents whose gains are added up in a part; tasks take several parts
 #: one after the other where there are more parts than tasks.
 DEAL, FIT, ROWS, MOST_TASKS = 400_000, 200_000, 100_000, 20_000
+#: Gains that a task holds before it adds up those of the same document.
+FOLD = 500_000
 END = np.int64(0x7E57AB1E0DD5EED)
 #: Which of the three classes before a token each feature looks at: n-grams, then skips.
 FEATURES = ((1, 0, 0), (1, 1, 0), (1, 1, 1), (0, 1, 0), (0, 1, 1), (1, 0, 1))
@@ -379,20 +381,23 @@ def word_gains(documents: DataFrame, classes: np.ndarray, often: np.ndarray, wit
         for i in range(0, len(ids), 64):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 64], pa.int64()), pa.array(ns[i : i + 64], pa.int64()), pa.array(blobs[i : i + 64], pa.binary())], ["part", "n", "blob"])
 
-    def unpacked(batches, types):
-        """The columns of each part in turn; rows come sorted by part."""
-        width, held, last = 8 + sum(np.dtype(t).itemsize for t in types), [], None
+    def unpacked(batches, types, fold=None):
+        """The columns of each part in turn; rows come sorted by part. ``fold`` makes less of the rows of a part whenever many are held."""
+        width, held, size, last = 8 + sum(np.dtype(t).itemsize for t in types), [], 0, None
         for batch in batches:
             for part, n, blob in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("blob")):
                 if part != last and held:
                     yield [np.concatenate(x) for x in zip(*held)]
-                    held = []
+                    held, size = [], 0
                 last = part
                 raw, at, columns = pa.decompress(blob.as_buffer(), decompressed_size=width * n, codec="zstd", asbytes=True), 8 * n, []
                 for t in types:
                     columns.append(np.frombuffer(raw, t, n, at))
                     at += n * np.dtype(t).itemsize
                 held.append([np.cumsum(np.frombuffer(raw, np.int64, n)), *columns])
+                size += n
+                if fold and size > FOLD:
+                    held, size = [fold(*(np.concatenate(x) for x in zip(*held)))], 0
         if held:
             yield [np.concatenate(x) for x in zip(*held)]
 
@@ -441,15 +446,18 @@ def word_gains(documents: DataFrame, classes: np.ndarray, often: np.ndarray, wit
                 if k == len(starts) or starts[k] - a > 50_000:
                     gain[a:b] = fit_words(key[a:b], w2[a:b], w[a:b], classes[code[a:b]], share[code[a:b]].astype(float), train[a:b])
                     a = b
-            rows, at = np.unique(row, return_inverse=True)
-            yield from packed((mix(rows.view(np.uint64)) % U(back)).astype(np.int64), [rows, np.bincount(at, gain)])
-            del row, w1, w2, w, train, key, by, code, gain, rows, at  # before the next part is read
+            rows, gain = summed(row, gain)
+            yield from packed((mix(rows.view(np.uint64)) % U(back)).astype(np.int64), [rows, gain])
+            del row, w1, w2, w, train, key, by, code, gain, rows  # before the next part is read
             pa.default_memory_pool().release_unused()
 
+    def summed(row, gain):
+        rows, at = np.unique(row, return_inverse=True)
+        return [rows, np.bincount(at, gain)]
+
     def add(batches):
-        for row, gain in unpacked(batches, (np.float64,)):
-            rows, at = np.unique(row, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, gain))], ["row", "gain"])
+        for row, gain in unpacked(batches, (np.float64,), summed):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(row, gain)], ["row", "gain"])
 
     blobs = "part long, n long, blob binary"
     by_part = lambda df, n: df.repartition(min(n, MOST_TASKS), "part").sortWithinPartitions("part")
