@@ -26,13 +26,30 @@ _WORDS = {
     "word": re.compile(f"{_SUFFIX}[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+"),
     "byte": re.compile(f"{_SUFFIX} ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+"),
 }
-#: Words kept in a worker at most, and how many of them stay when there are more: those met first, among which are nearly all frequent ones.
+#: Words kept in a worker at most, and how many of them stay when there are more: those used most.
 CACHE_WORDS, KEPT_WORDS = 150_000, 50_000
 #: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
+def _symbols(word: str) -> str:
+    """A word in the byte-level alphabet, as the model takes it."""
+    if word.isascii() and word.isprintable():
+        return word.replace(" ", "\u0120")
+    return word.encode().decode("latin-1").translate(_ALPHABET)
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of runs of these lengths, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])
+
+
+#: Stands for the end of a text among words; no word holds this character.
+_STOP = "\0end"
+
+
 class _Codes(dict):
     def __missing__(self, word):
         code = self[word] = len(self)
@@ -62,54 +79,59 @@ class Encoder:
 
     def _clear(self) -> None:
         self.codes, self.known = _Codes(), 0
-        self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.lengths, self.ids, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _shrink(self) -> None:
-        self.codes = _Codes(zip(islice(self.codes, KEPT_WORDS), range(KEPT_WORDS)))
-        self.known, self.lengths = KEPT_WORDS, self.lengths[:KEPT_WORDS].copy()
-        self.ids = self.ids[: int(self.lengths.sum())].copy()
+        """Keep the words used most, the end mark among them in its place; older uses count half."""
+        self.uses[0] = self.uses.max()
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[:KEPT_WORDS])
+        words = list(self.codes)
+        self.codes, self.known = _Codes(zip(map(words.__getitem__, stay.tolist()), range(len(stay)))), len(stay)
+        self.ids = self.ids[_runs((np.cumsum(self.lengths) - self.lengths)[stay], self.lengths[stay])]
+        self.lengths, self.uses = self.lengths[stay], self.uses[stay] >> 1
 
     def _learn(self, words: list[str]) -> None:
         """Let the library's model merge words that were not seen before."""
-        merge = self.tokenizer.model.tokenize
-        found = [[x.id for x in merge(w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(_ALPHABET))] for w in words]
+        found = [[x.id for x in merged] for merged in map(self.tokenizer.model.tokenize, map(_symbols, words))]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
         self.known += len(words)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text followed by ``end``, and the number of ids of each text."""
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         if self.known > CACHE_WORDS:
             self._shrink()
         look, split = self.codes.__getitem__, self.words.findall
-        stop = look("\0end")
+        look(_STOP)
         per_text, whole = [], {}
         for k, text in enumerate(texts):
             if _PLAIN.fullmatch(text) and (self.added is None or self.added not in text):
                 words = split(text.lower() if self.lower else text)
             else:
-                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-                words = ()
+                whole[k] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, end], np.int32)
+                words = []
+            words.append(_STOP)
             per_text.append(np.fromiter(map(look, words), np.int64, len(words)))
+        if self.known == 0:  # code 0 is the end mark
+            self.lengths, self.ids, self.uses, self.known = np.ones(1, np.int64), np.array([end], np.int32), np.zeros(1, np.int64), 1
         if len(self.codes) > self.known:
-            if self.known == 0:  # code 0 is the end mark
-                self.lengths, self.ids, self.known = np.ones(1, np.int64), np.array([end], np.int32), 1
             self._learn(list(islice(self.codes, self.known, None)))
-        starts = np.cumsum(self.lengths) - self.lengths
-        out, counts = [], np.empty(len(texts), np.int64)
-        mark = np.array([stop], np.int64)
-        for k, codes in enumerate(per_text):
-            if k in whole:
-                out.append(np.append(whole[k], np.int32(end)))
-                counts[k] = len(out[-1])
-                continue
-            codes = np.concatenate([codes, mark])
-            n = self.lengths[codes]
-            at = np.cumsum(n)
-            counts[k] = at[-1]
-            out.append(self.ids[np.repeat(starts[codes] - at + n, n) + np.arange(at[-1])])
-        return (np.concatenate(out) if out else np.zeros(0, np.int32)), counts
+        codes = np.concatenate(per_text)
+        self.uses += np.bincount(codes, minlength=self.known)
+        n = self.lengths[codes]
+        ids = self.ids[_runs((np.cumsum(self.lengths) - self.lengths)[codes], n)]
+        ends = np.cumsum(n)[np.cumsum(np.fromiter(map(len, per_text), np.int64, len(texts))) - 1]
+        counts = np.diff(ends, prepend=0)
+        if whole:
+            parts = np.split(ids, ends[:-1])
+            for k, found in whole.items():
+                parts[k], counts[k] = found, len(found)
+            ids = np.concatenate(parts)
+        return ids, counts
 
 
 def crc32_of(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
