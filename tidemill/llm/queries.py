@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from .embedding_dedup import op6_embedding_dedup
+from .fill_middle import op13_fill_in_middle
 from .html_text import op8_html_text
 from .jaccard_join import op5_jaccard_join
 from .language_model import op7_maxent_score
 from .mixing import ORACLE as OP2_SQL
 from .mixing import op2_mix_to_weights
-from .oracles import OP5, OP6, OP9
+from .oracles import OP5, OP6, OP9, OP13
 from .packing import op4_best_fit_packing
 from .quality_model import op1_site_quality
 from .quality_rules import op9_host_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_host_rules": op9_host_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_to_weights": OP2_SQL, "op5_jaccard_join": OP5, "op6_embedding_dedup": OP6, "op9_host_rules": OP9}
+ORACLE_SQL: dict[str, str] = {"op2_mix_to_weights": OP2_SQL, "op5_jaccard_join": OP5, "op6_embedding_dedup": OP6, "op9_host_rules": OP9, "op13_fill_in_middle": OP13}
