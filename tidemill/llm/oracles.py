@@ -45,3 +45,32 @@ c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h
 p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
 SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+_LOW = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, {_LOW} AS w FROM documents), b AS (SELECT item_id, {_LOW} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, l, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i + l - 1], ' '))) AS g FROM (SELECT *, least(len(w), 10) AS l FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS g FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM bw))),
+h AS (SELECT doc_id, i, dw.l, item_id FROM dw JOIN bw ON dw.l = bw.l AND dw.g = bw.g),
+n AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS at FROM (SELECT DISTINCT doc_id, i, l FROM h)) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """SQL of op11: codebooks c0, c1, ... (part, entry, e) and assignments a0, a1, ... after each round."""
+    part = "SELECT vec_id, label, p, x[16 * p + 1:16 * p + 16] AS x FROM v, (SELECT unnest(range(4)) AS p)"
+    steps = ["v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda c: CAST(floor(1024 * c) AS BIGINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)", f"q AS MATERIALIZED ({part})"]
+    steps.append("c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x AS e FROM q QUALIFY k < 256)")
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, label, p, x, min(list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 256 + k) AS best FROM q JOIN c{r} USING (p) GROUP BY ALL)")
+        if r < rounds:
+            mean = f"SELECT p, best % 256 AS k, list(m ORDER BY i) AS e FROM (SELECT p, best % 256 AS best, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM a{r}, (SELECT unnest(range(1, 17)) AS i) GROUP BY ALL) GROUP BY ALL"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.p, o.k, coalesce(n.e, o.e) AS e FROM c{r} o LEFT JOIN ({mean}) n ON n.p = o.p AND n.k = o.k)")
+    out = f"SELECT vec_id, label, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label"
+    digest = f"(SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) FROM c{rounds})"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, {digest} AS codebooks_sha256 FROM ({out})"
+
+
+OP11 = _codes_sql()
