@@ -4,6 +4,8 @@ import re
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemill.llm.decontaminate import clean_documents, decontaminate, fingerprints, op12_winnow_decontaminate
 
 
@@ -73,8 +75,11 @@ def test_equal_spans_keep_equal_fingerprints(spark, length):
     rng = random.Random(length)
     spans = [[rng.choice("abcd") for _ in range(length)] for _ in range(50)]
     rows = [(k, ["x"] * rng.randint(0, 5) + s + [rng.choice("ab")] * rng.randint(0, 7)) for k, s in enumerate(spans) for _ in range(4)]
-    got = fingerprints(spark.createDataFrame(rows, "k int, _w array<string>"), length, "f").select("k", "f.m").collect()
-    alone = {r["k"]: set(r["m"]) for r in fingerprints(spark.createDataFrame(list(enumerate(spans)), "k int, _w array<string>"), length, "f").select("k", "f.m").collect()}
+    def prints(rows):
+        df = spark.createDataFrame(rows, "k int, w array<string>").withColumn("_h", F.transform("w", lambda x: F.xxhash64(x)))
+        return fingerprints(df, length, "f").select("k", "f.m").collect()
+
+    got, alone = prints(rows), {r["k"]: set(r["m"]) for r in prints(list(enumerate(spans)))}
     assert all(len(alone[k]) == 1 for k in alone) and all(alone[r["k"]] <= set(r["m"]) for r in got)
 
 

@@ -23,8 +23,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, OUTSIDE), "")
 
 
-def fingerprints(rows: DataFrame, length: int, out: str, words: str = "_w") -> DataFrame:
-    """``rows`` with the winnowed fingerprints of an array of words, for spans of ``length`` words, as the array column ``out``.
+def hashes_of(text: Column) -> Column:
+    return F.transform(words_of(text), lambda x: F.xxhash64(x))
+
+
+# Arrays that are unfolded here are never empty. The outer form of ``inline`` says so to the planner too: for the inner one it would add a filter on
+# the array's size below the columns it is made of, and there compute each of them anew for every element.
+
+
+def fingerprints(rows: DataFrame, length: int, out: str, words: str = "_h") -> DataFrame:
+    """``rows`` with the winnowed fingerprints of an array of word hashes, for spans of ``length`` words, as the array column ``out``.
 
     Grams of k = (length + 1) div 2 words are hashed; of each ``length`` words in sequence, a window, the least hash of a gram is kept, so equal
     spans of ``length`` words keep equal hashes. Windows in sequence with one least hash are one fingerprint: {length, m: the hash,
@@ -33,12 +41,13 @@ def fingerprints(rows: DataFrame, length: int, out: str, words: str = "_w") -> D
     """
     k = (length + 1) // 2
     n, wide = F.size(words), length - k + 1
-    place = lambda count: F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_g", F.transform(place(n - (k - 1)), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])))
-    least = lambda i: F.least(*[F.get("_g", i + j) for j in range(wide)]) if wide > 1 else F.get("_g", i)
-    rows = rows.withColumn("_m", F.transform(place(n - (length - 1)), least))
-    rows = rows.withColumn("_s", F.filter(place(F.size("_m")), lambda i: (i == 0) | (F.get("_m", i) != F.get("_m", i - 1))))
-    one = lambda s, e: F.struct(F.lit(length).alias("length"), F.get("_m", s).alias("m"), s.alias("s"), F.slice("_g", s + 1, F.coalesce(e, F.size("_m")) - s + (length - k)).alias("grams"))
+    span = lambda first, end: F.when(end > first, F.sequence(first, end - 1)).otherwise(F.array().cast("array<int>"))
+    # places after the last gram or window hold what is never looked at
+    rows = rows.withColumn("_g", F.transform(words, lambda x, i: F.xxhash64(x, *[F.get(words, i + j) for j in range(1, k)])))
+    rows = rows.withColumn("_m", F.transform("_g", lambda x, i: F.least(x, *[F.get("_g", i + j) for j in range(1, wide)]) if wide > 1 else x))
+    rows = rows.withColumn("_s", F.filter(span(F.lit(0), n - (length - 1)), lambda i: (i == 0) | (F.get("_m", i) != F.get("_m", i - 1))))
+    grams = lambda s, e: F.transform(span(s, F.coalesce(e, n - (length - 1)) + (length - k)), lambda j: F.get("_g", j))
+    one = lambda s, e: F.struct(F.lit(length).alias("length"), F.get("_m", s).alias("m"), s.alias("s"), grams(s, e).alias("grams"))
     runs = F.zip_with("_s", F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), one)
     return rows.withColumn(out, runs).drop("_g", "_m", "_s")
 
@@ -51,11 +60,11 @@ def windows(grams: str = "grams", length: str = "length", start: str = "s") -> C
 
 def item_windows(items: DataFrame, span: int, item_id: str, text: str) -> tuple[list[int], DataFrame, DataFrame, DataFrame]:
     """Lengths of windows, and tables: fingerprints (length, m), windows (length, a, b, set_id) and sets of items (set_id, items)."""
-    rows = keep(items.select(items[item_id].cast("string").alias("item"), words_of(text_of(items, text)).alias("_w")).withColumn("length", F.least(F.size("_w"), F.lit(span))), "items")
+    rows = keep(items.select(items[item_id].cast("string").alias("item"), hashes_of(text_of(items, text)).alias("_h")).withColumn("length", F.least(F.size("_h"), F.lit(span))), "items")
     lengths = sorted(r["length"] for r in rows.filter("length > 0").select("length").distinct().collect())
-    parts = [fingerprints(rows.filter(F.col("length") == n).drop("length"), n, "_f").select("item", F.inline("_f")) for n in lengths]
-    prints = reduce(DataFrame.unionByName, parts) if parts else fingerprints(rows.drop("length"), span, "_f").select("item", F.inline("_f"))
-    found = prints.select("length", "m", "item", F.inline(windows()))
+    parts = [fingerprints(rows.filter(F.col("length") == n).drop("length"), n, "_f").select("item", F.inline_outer("_f")) for n in lengths]
+    prints = reduce(DataFrame.unionByName, parts) if parts else fingerprints(rows.filter("length > 0").drop("length"), span, "_f").select("item", F.inline_outer("_f"))
+    found = prints.select("length", "m", "item", F.inline_outer(windows()))
     found = keep(found.groupBy("length", "m", "a", "b").agg(F.array_sort(F.collect_set("item")).alias("items")), "item-windows")
     sets = keep(found.select("items").distinct().withColumn("set_id", F.monotonically_increasing_id()), "item-sets")
     return lengths, found.select("length", "m").distinct(), keep(found.join(send_if_small(sets), "items").select("length", "a", "b", "set_id"), "window-sets"), sets
@@ -76,15 +85,15 @@ def _merged(hits: Column) -> Column:
 
 
 def _shared(rows: DataFrame, items: DataFrame, span: int, item_id: str, text: str) -> DataFrame:
-    """row, doc_id, n_words, n_hit, spans and items for rows (row, doc_id, _w); see :func:`decontaminate`."""
+    """row, doc_id, n_words, n_hit, spans and items for rows (row, doc_id, _h); see :func:`decontaminate`."""
     lengths, prints, known, sets = item_windows(items, span, item_id, text)
     for n in lengths:
         rows = fingerprints(rows, n, f"_f{n}")
     # each document also sends a row of its own, with a hash of its own, so that it stays if nothing is found and no task gets all of these
     own = F.struct(F.lit(0).alias("length"), F.xxhash64("row").alias("m"), F.lit(0).alias("s"), F.array(F.xxhash64("row")).alias("grams"))
-    sent = rows.select("row", "doc_id", F.size("_w").alias("n_words"), F.inline(F.concat(F.array(own), *[f"_f{n}" for n in lengths])))
+    sent = rows.select("row", "doc_id", F.size("_h").alias("n_words"), F.inline_outer(F.concat(F.array(own), *[f"_f{n}" for n in lengths])))
     met = sent.join(send_if_small(keep(prints.withColumn("known", F.lit(True)), "item-prints")), ["length", "m"], "left").filter("known OR length = 0")
-    ends = met.select("row", "doc_id", "n_words", "length", F.inline(windows()))
+    ends = met.select("row", "doc_id", "n_words", "length", F.inline_outer(windows()))
     ends = ends.join(send_if_small(known), ["length", "a", "b"], "left").filter("set_id IS NOT NULL OR length = 0")
     hit = F.when(F.col("set_id").isNotNull(), F.struct("s", "length"))
     by_row = ends.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("hits"), F.sort_array(F.collect_set("set_id")).alias("sets"))
@@ -111,7 +120,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, item_id:
     contaminated but are not listed; equal ids are listed once. Repeated rows: a row each. Very long texts are compared whole. Empty tables: no rows, or nothing found. Other
     columns are ignored.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), words_of(text_of(docs)).alias("_w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), hashes_of(text_of(docs)).alias("_h"))
     return _shared(rows, items, span, item_id, text).drop("row").withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -119,7 +128,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, span: int = SPAN) -> Data
     """The documents that share no window with an item, with their own columns of any name; odd rows as in :func:`decontaminate`."""
     name = free_name(docs, "row")
     rows = numbered(docs, name)
-    found = _shared(rows.select(rows[name].alias("row"), F.lit(None).cast("long").alias("doc_id"), words_of(text_of(rows)).alias("_w")), items, span, "item_id", "text")
+    found = _shared(rows.select(rows[name].alias("row"), F.lit(None).cast("long").alias("doc_id"), hashes_of(text_of(rows)).alias("_h")), items, span, "item_id", "text")
     return rows.join(found.filter("n_hit > 0").select(F.col("row").alias(name)), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
