@@ -1,6 +1,7 @@
 """Edge semantics of the operators on small tables."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,14 +16,22 @@ def values(df, *columns):
 
 # --- table ---------------------------------------------------------------------------------------
 
-ORDERS = [(1, "Ann", "north", 1200.50), (2, "Bob", "south", 1500.0), (3, "Cy", "east", 1575.75), (4, "Di", "west", 2200.0), (5, "Ed", "north", 460.25), (6, "Flo", "south", 120.0)]
+#: The six demo orders, whose summary is known.
+ORDERS = [
+    (1001, "Acme Retail", "north", 1250.50, "paid"),
+    (1002, "Blue Ocean", "south", 980.00, "paid"),
+    (1003, "Acme Retail", "north", 410.25, "pending"),
+    (1004, "Summit Foods", "west", 2200.00, "paid"),
+    (1005, "Delta Stores", "east", 1575.75, "paid"),
+    (1006, "Blue Ocean", "south", 640.00, "paid"),
+]
 
 
 def test_demo_orders_give_the_known_summary(spark):
-    df = spark.createDataFrame(ORDERS, "order_id int, customer string, region string, amount double")
+    df = spark.createDataFrame(ORDERS, "order_id int, customer string, region string, amount double, status string")
     curated = table.curate_orders(df)
     got = {(r["scope"], r["name"]): r["value"] for r in table.sales_summary(curated).collect()}
-    assert got == {("total", "row_count"): 6, ("total", "total_revenue"): 7056.5, ("total", "high_priority_orders"): 3, ("region", "North"): 1660.75, ("region", "South"): 1620.0, ("region", "East"): 1575.75, ("region", "West"): 2200.0}
+    assert got == {("total", "row_count"): 6, ("total", "total_revenue"): 7056.5, ("total", "high_priority_orders"): 2, ("region", "North"): 1660.75, ("region", "South"): 1620.0, ("region", "East"): 1575.75, ("region", "West"): 2200.0}
     assert table.reconcile_counts(df, curated).first()["status"] == "ok" and table.reconcile_counts(df, df.limit(2)).first()["status"] == "mismatch"
 
 
@@ -47,6 +56,13 @@ def test_transform_sees_input_columns_only(spark):
 def test_profile_and_generated_sales(spark):
     a, b = table.generate_sales(spark, 500), table.generate_sales(spark, 500).repartition(7)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.filter("quantity NOT BETWEEN 1 AND 10 OR revenue < 0 OR year(sale_date) <> 2024").isEmpty()
+    many = table.generate_sales(spark, 20_000)
+    assert {(r["category"], r["product"]) for r in many.select("category", "product").distinct().collect()} == {(c, x) for c, own in table.PRODUCTS.items() for x in own}
+    for c, low, high in values(many.groupBy("category").agg(F.min("unit_price").alias("low"), F.max("unit_price").alias("high")), "category", "low", "high"):
+        least, most = table.PRICES[c]
+        assert least <= low < least + 0.02 * (most - least) and most - 0.02 * (most - least) < high <= most
+    shares = {d: n / 20_000 for d, n in values(many.groupBy("discount_pct").count(), "discount_pct", "count")}
+    assert set(shares) == {0.0, 0.05, 0.1, 0.15, 0.2} and all(abs(x - (3 / 7 if d == 0 else 1 / 7)) < 0.02 for d, x in shares.items())
     assert sorted(map(tuple, table.generate_sales(spark, 500, 7).collect())) != sorted(map(tuple, a.collect()))
     p = table.profile(a, 3)
     assert p["row_count"] == 500 and len(p["sample"]) == 3 and ("revenue", "double") in p["columns"]
@@ -72,6 +88,34 @@ def test_validate_is_strict_and_isolates_errors(spark):
     assert tuple(checks.totals(checks.validate(spark, rules, {"d": df})).first()) == (3, 8, 11)
 
 
+def test_errors_are_found_without_running_all_again(spark, tmp_path, monkeypatch):
+    """Statements that fail when analysed are set apart before anything runs; those that fail at run time are found by halving."""
+    spark.range(1000).selectExpr("id", "id % 7 AS k").write.parquet(f"{tmp_path}/t")
+    spark.read.parquet(f"{tmp_path}/t").createOrReplaceTempView("scanned")
+    ran, made = [], checks.at_once
+
+    def recorded(session, subqueries):
+        df = made(session, subqueries)
+        ran.append((len(subqueries), df))
+        return df
+
+    monkeypatch.setattr(checks, "at_once", recorded)
+    good = {f"m{k}": f"SELECT count_if(k = {k}) FROM scanned" for k in range(7)}
+    odd = {"broken": "SELECT nope FROM scanned", "no_table": "SELECT 1 FROM nowhere", "syntax": "SELECT FROM WHERE", "last": "SELECT id FROM scanned ORDER BY id DESC", "literal": "SELECT count(*) FROM scanned WHERE 'order by' = 'order by'", "none": "SELECT id FROM scanned WHERE id < 0 ORDER BY id"}
+    got = checks.scalars_of(spark, {**good, **odd})
+    assert [n for n, _ in ran] == [len(good) + 3] and all(got[n][2] for n in ("broken", "no_table", "syntax"))
+    assert [got[f"m{k}"][0] for k in range(7)] == [143] * 6 + [142] and got["last"][:2] == (999, True) and got["literal"][0] == 1000 and got["none"] == (None, False, None)
+    ran.clear()
+    metrics = checks.compute_metrics(spark, [{"metric_name": n, "sql": q} for n, q in [*good.items(), ("broken", odd["broken"])]])
+    assert sum(r["error"] is None for r in metrics.collect()) == 7 and len(ran) == 1
+    plan = ran[0][1]._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= len(set(re.findall(r"FileScan parquet \[(.*?)\]", plan))) <= 2
+    ran.clear()
+    got = checks.scalars_of(spark, {**good, "run_time": "SELECT 1 / max(id - id) FROM scanned"})
+    assert got["run_time"][2] and not any(got[n][2] for n in good) and len(ran) <= 2 * 3 + 1 and sum(n for n, _ in ran[1:]) <= 2 * 8
+    assert checks.scalars(spark, [{"name": "a", "table": "scanned", "where": "id > 1"}, {"name": "b", "table": "scanned", "where": "1 / (id - id) > 0"}])["a"] == (998, True, None)
+
+
 def test_gate_coerces_and_bounds_are_inclusive(spark):
     assert checks.meets(5, "5.0") and checks.meets("a", "a") and not checks.meets(None, 5) and checks.meets(5, None, 5, 5)
     assert not checks.meets("x", None, 1) and not checks.meets(None, None, None, 3) and checks.meets(None) and checks.meets(5, 5, 9, 9)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.sources.addresses import with_files
 from tidemill.sources.files import bind_inputs
 
 VALIDATION = "check string, actual string, status string, error string"
@@ -15,35 +17,70 @@ QUALITY = "run_id string, pipeline_name string, task_name string, check_name str
 METRICS = "metric_name string, value double, error string, computed_at timestamp"
 
 
-def scalar(spark: SparkSession, sql: str):
-    """First value of the first row, and whether there was a row."""
-    row = spark.sql(sql).limit(1).first()
-    return (None, False) if row is None else (row[0], True)
+#: Statements that one query computes at once.
+FUSED = 100
 
 
-def _single(spark: SparkSession, sql: str) -> tuple:
+#: What a statement can fail with; an error within a subquery comes as the JVM's own, wrapped.
+FAILURES = (PySparkException, Py4JJavaError)
+
+
+def _message(e: Exception) -> str:
+    if isinstance(e, Py4JJavaError):
+        cause = e.java_exception
+        while cause.getCause() is not None:
+            cause = cause.getCause()
+        return (cause.getMessage() or cause.toString()).splitlines()[0]
+    return (str(e).splitlines() or [type(e).__name__])[0]
+
+
+def halved(names: list[str], run: Callable[[list[str]], dict[str, tuple]]) -> dict[str, tuple]:
+    """What ``run`` finds for all names at once. If it fails, for each half of them, until the names that fail stand alone: their error is the result.
+
+    One failing name among n costs about twice the logarithm of n runs, of ever fewer names.
+    """
+    if not names:
+        return {}
     try:
-        return (*scalar(spark, sql), None)
-    except PySparkException as e:
-        return None, False, str(e).splitlines()[0]
+        return run(names)
+    except FAILURES as e:
+        if len(names) == 1:
+            return {names[0]: (None, False, _message(e))}
+    half = len(names) // 2
+    return halved(names[:half], run) | halved(names[half:], run)
+
+
+def at_once(spark: SparkSession, subqueries: list[str]) -> DataFrame:
+    """One row of all scalar subqueries."""
+    return spark.sql(f"SELECT {', '.join(subqueries)}")
 
 
 def scalars_of(spark: SparkSession, queries: Mapping[str, str]) -> dict[str, tuple]:
-    """(value, found, error) by name of each SQL query: its first value.
+    """(value, found, error) by name of each SQL query: the first value of its first row, in its own order if it has one.
 
-    Queries are subqueries of one query, so that Catalyst can merge those that aggregate one view alike and reuse what they share. Where
-    that query fails, each runs by itself, so that an error concerns its own check alone; so do queries with an order of their own.
+    Each query is analysed first, which reads no table; those that fail there are set apart. The others are subqueries of one query, so
+    that Catalyst can merge those that aggregate one view alike and reuse what they share. An error while that query runs is
+    found by halving, so it concerns its own query alone. Queries may address files (:func:`with_files`).
     """
-    names = [n for n, sql in queries.items() if "order by" not in sql.lower()]
-    if len(names) < len(queries):
-        ordered = {n: sql for n, sql in queries.items() if n not in names}
-        return scalars_of(spark, {n: queries[n] for n in names}) | {n: x for n, sql in ordered.items() for x in [_single(spark, sql)]}
-    try:
-        firsts = [f"(SELECT first(struct(*)) FROM ({queries[n].strip().rstrip(';')}\n) LIMIT 1)" for n in names]
-        row = spark.sql(f"SELECT {', '.join(firsts)}").first() if names else ()
+    out, subqueries = {}, {}
+    for name, sql in queries.items():
+        try:
+            text = with_files(spark, sql).strip().rstrip(";")
+            rows = spark.sql(text)._jdf.queryExecution().analyzed().maxRows()
+            # of a single row any is the first, and an aggregate over it can be merged with others; a limit keeps the order of several
+            single = rows.isDefined() and rows.get() <= 1
+            subqueries[name] = f"(SELECT first(struct(*)) FROM ({text}\n))" if single else f"(SELECT struct(*) FROM ({text}\n) LIMIT 1)"
+        except (PySparkException, ValueError) as e:
+            out[name] = (None, False, _message(e))
+
+    def run(names: list[str]) -> dict[str, tuple]:
+        row = at_once(spark, [subqueries[n] for n in names]).first()
         return {n: (None, False, None) if x is None else (x[0], True, None) for n, x in zip(names, row)}
-    except PySparkException:
-        return {n: _single(spark, queries[n]) for n in names}
+
+    good = list(subqueries)
+    for k in range(0, len(good), FUSED):
+        out |= halved(good[k : k + FUSED], run)
+    return out
 
 
 def scalars(spark: SparkSession, checks: Iterable[Mapping]) -> dict[str, tuple]:
@@ -54,20 +91,24 @@ def scalars(spark: SparkSession, checks: Iterable[Mapping]) -> dict[str, tuple]:
     out, by_table, by_sql = {}, {}, {}
     for c in checks:
         if c.get("where") and c.get("table"):
-            by_table.setdefault(c["table"], []).append(c)
+            by_table.setdefault(c["table"], {})[c["name"]] = c["where"]
         else:
             by_sql[c["name"]] = c["sql"]
     out |= scalars_of(spark, by_sql)
     for table, own in by_table.items():
         good = []
-        for c in own:
+        for name, where in own.items():
             try:
-                good.append((c, spark.table(table).select(F.expr(c["where"])) and F.count_if(F.expr(c["where"]))))
+                spark.table(table).filter(where)
+                good.append(name)
             except PySparkException as e:
-                out[c["name"]] = (None, False, str(e).splitlines()[0])
-        if good:
-            row = spark.table(table).agg(*[x.alias(str(k)) for k, (_, x) in enumerate(good)]).first()
-            out |= {c["name"]: (row[k], True, None) for k, (c, _) in enumerate(good)}
+                out[name] = (None, False, _message(e))
+
+        def run(names: list[str], table=table, own=own) -> dict[str, tuple]:
+            row = spark.table(table).agg(*[F.count_if(F.expr(own[n])).alias(str(k)) for k, n in enumerate(names)]).first()
+            return {n: (x, True, None) for n, x in zip(names, row)}
+
+        out |= halved(good, run)
     return out
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.sources.addresses import with_files
 from tidemill.sources.files import bind_inputs, read_source, write_sink
 
 
@@ -28,9 +29,9 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 
 def run_query(spark: SparkSession, sql: str, views: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """SQL over named tables."""
+    """SQL over named tables, and over files addressed in it (see :func:`with_files`)."""
     bind_inputs(spark, views or {})
-    return spark.sql(sql)
+    return spark.sql(with_files(spark, sql))
 
 
 def sql_summary(spark: SparkSession, sql: str, views: Mapping[str, DataFrame] | None = None) -> dict:
@@ -194,19 +195,34 @@ def executive_report(df: DataFrame, n: int = 10) -> DataFrame:
     return out
 
 
-#: Fixed values of generated sales.
-CATEGORIES = ("Electronics", "Clothing", "Home", "Sports", "Books", "Beauty")
+#: Fixed values of generated sales: products and least and greatest price of each category, regions, and discounts in per cent as often as they stand here.
+PRODUCTS = {
+    "Electronics": ("Laptop Pro", "Wireless Headphones", "Smart Watch", 'Tablet 10"', "USB-C Hub"),
+    "Apparel": ("Running Shoes", "Winter Jacket", "Yoga Pants", "Classic T-Shirt", "Denim Jeans"),
+    "Home & Garden": ("Coffee Maker", "Plant Pot Set", "LED Desk Lamp", "Kitchen Scale", "Air Purifier"),
+    "Sports": ("Yoga Mat", "Resistance Bands", "Water Bottle", "Gym Gloves", "Jump Rope"),
+    "Books": ("Data Science Guide", "Python Cookbook", "Business Strategy", "Sci-Fi Novel", "History Atlas"),
+    "Beauty": ("Face Serum", "Moisturizer SPF", "Lip Balm Kit", "Hair Mask", "Eye Cream"),
+}
+PRICES = {"Electronics": (49.99, 1299.99), "Apparel": (19.99, 249.99), "Home & Garden": (15.99, 199.99), "Sports": (9.99, 89.99), "Books": (9.99, 49.99), "Beauty": (12.99, 89.99)}
 REGIONS = ("North", "South", "East", "West", "Central")
-DISCOUNTS = (0.0, 0.05, 0.10, 0.15, 0.20)
+DISCOUNTS = (0, 0, 0, 5, 10, 15, 20)
 
 
 def generate_sales(spark: SparkSession, n: int = 1000, seed: int = 42) -> DataFrame:
-    """Seeded sales rows; equal seeds give equal rows, whatever the number of partitions."""
-    draw = lambda salt, most: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(most))
-    pick = lambda values, salt: F.element_at(F.array(*[F.lit(v) for v in values]), (draw(salt, len(values)) + 1).cast("int"))
-    rows = spark.range(n).select(
-        F.format_string("ORD-%05d", F.col("id") + 1).alias("order_id"), F.concat(F.lit("Product "), (draw(1, 40) + 1).cast("string")).alias("product"), pick(CATEGORIES, 2).alias("category"), pick(REGIONS, 3).alias("region"),
-        (draw(4, 10) + 1).cast("int").alias("quantity"), ((draw(5, 49_500) + 500) / 100).alias("unit_price"), pick(DISCOUNTS, 6).alias("discount_pct"), F.date_add(F.lit("2024-01-01").cast("date"), draw(7, 366).cast("int")).alias("sale_date"),
+    """Seeded sales rows: category, product of it, price within its range, quantity, discount, region and day are drawn evenly.
+
+    Draws are hashes of row number and seed, so equal seeds give equal rows, whatever the number of partitions.
+    """
+    draw = lambda salt, most: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), most)
+    pick = lambda values, salt: F.get(F.array(*values), draw(salt, F.lit(len(values))).cast("int"))
+    cents = lambda x: round(x * 100)
+    offers = [F.struct(F.lit(c).alias("category"), F.array(*map(F.lit, own)).alias("products"), F.lit(cents(PRICES[c][0])).alias("low"), F.lit(cents(PRICES[c][1])).alias("high")) for c, own in PRODUCTS.items()]
+    rows = spark.range(n).withColumn("offer", pick(offers, 2))
+    rows = rows.select(
+        F.format_string("ORD-%05d", F.col("id") + 1).alias("order_id"), F.get("offer.products", draw(1, F.size("offer.products")).cast("int")).alias("product"), F.col("offer.category").alias("category"), pick([F.lit(r) for r in REGIONS], 3).alias("region"),
+        (draw(4, F.lit(10)) + 1).cast("int").alias("quantity"), ((draw(5, F.col("offer.high") - F.col("offer.low") + 1) + F.col("offer.low")) / 100).alias("unit_price"),
+        (pick([F.lit(x) for x in DISCOUNTS], 6) / 100).alias("discount_pct"), F.date_add(F.lit("2024-01-01").cast("date"), draw(7, F.lit(365)).cast("int")).alias("sale_date"),
     )
     revenue = F.round(F.col("quantity") * F.col("unit_price") * (1 - F.col("discount_pct")), 2)
     return rows.select("order_id", "product", "category", "region", "quantity", "unit_price", "discount_pct", revenue.alias("revenue"), "sale_date", F.month("sale_date").alias("month"), F.quarter("sale_date").alias("quarter"))

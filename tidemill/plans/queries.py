@@ -56,9 +56,35 @@ def _(spark, d):
     return spark.sql("SELECT n_name, r_name FROM src_nation JOIN src_region ON n_regionkey = r_regionkey")
 
 
-@query("s3_generic_scan", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def _nations_as_files(spark, d) -> tuple[str, str]:
+    folder = scratch_dir(spark, "addressed")
+    files.write_sink(source(spark, d, "supplier"), f"{folder}/suppliers.csv", "csv")
+    files.write_sink(source(spark, d, "nation"), f"{folder}/nations.json", "json")
+    return f"{folder}/suppliers.csv", f"{folder}/nations.json"
+
+
+@query("s2_files_in_sql", "SELECT n_name, count(*) AS suppliers, CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+def _(spark, d):
+    csv, json = _nations_as_files(spark, d)
+    sql = f"SELECT n.n_name, count(*) AS suppliers, CAST(sum(CAST(suppliers.s_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance FROM '{csv}', read_json_auto('{json}') n WHERE s_nationkey = n_nationkey AND s_name IS DISTINCT FROM 'a.csv' GROUP BY n.n_name"
+    return table.run_query(spark, sql)
+
+
+@query("t9_files_in_sql", "SELECT 'not_empty' AS check_name, count(*) > 0 AS passed, count(*)::VARCHAR AS actual_value, NULL AS error FROM supplier UNION ALL SELECT 'no_null_ids', count(*) FILTER (s_suppkey IS NULL) = 0, count(*) FILTER (s_suppkey IS NULL)::VARCHAR, NULL FROM supplier UNION ALL SELECT 'nations', count(*) = 25, count(*)::VARCHAR, NULL FROM nation UNION ALL SELECT 'missing_file', false, NULL, 'PATH_NOT_FOUND'")
 def _(spark, d):
-    return files.read_source(spark, f"{d}/supplier.parquet").filter("s_acctbal > 0")
+    csv, json = _nations_as_files(spark, d)
+    gate = [
+        {"name": "not_empty", "sql": f"SELECT COUNT(*) FROM '{csv}'", "expect_min": 1},
+        {"name": "no_null_ids", "sql": f"SELECT COUNT(*) FROM '{csv}' WHERE s_suppkey IS NULL", "expect": 0},
+        {"name": "nations", "sql": f"SELECT COUNT(*) FROM read_json_auto('{json}')", "expect": 25},
+        {"name": "missing_file", "sql": f"SELECT COUNT(*) FROM '{csv}-none.parquet'", "expect_min": 0},
+    ]
+    return checks.quality_gate(spark, gate).select("check_name", "passed", "actual_value", F.nullif(F.regexp_extract("error", r"\[(\w+)\]", 1), F.lit("")).alias("error"))
+
+
+@query("s3_generic_scan", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def _(spark, d):
+    return files.read_source(spark, f"{d}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
 
 
 @query("s4_write_sink", "SELECT (SELECT count(*) FROM orders) AS rows_written, o_orderkey, o_orderstatus, o_totalprice FROM orders")
@@ -338,14 +364,20 @@ def _(spark, d, sales):
     return table.transform(sales, [{"name": k, "sql": v} for k, v in columns.items()]).select("order_id", "line_no", *columns)
 
 
-@query("t22_generate_sales", "SELECT count(*) AS rows, count(*) AS order_ids, true AS in_range, true AS same_again FROM orders")
+_PRICED = " OR ".join(f"category = '{c}' AND unit_price BETWEEN {low} AND {high}" for c, (low, high) in table.PRICES.items())
+
+
+@query("t22_generate_sales", "SELECT count(*) AS rows, count(*) AS order_ids, true AS in_range, true AS shares_fit, 30 AS products, true AS same_again FROM orders")
 def _(spark, d):
     n = source(spark, d, "orders").count()
     made = table.generate_sales(spark, n, 7)
     again = table.generate_sales(spark, n, 7).repartition(3)
-    fits = "category IS NOT NULL AND region IS NOT NULL AND quantity BETWEEN 1 AND 10 AND unit_price BETWEEN 5 AND 500 AND discount_pct BETWEEN 0 AND 0.2 AND abs(revenue - quantity * unit_price * (1 - discount_pct)) < 0.006 AND year(sale_date) = 2024 AND month = month(sale_date)"
+    fits = f"({_PRICED}) AND region IS NOT NULL AND quantity BETWEEN 1 AND 10 AND discount_pct BETWEEN 0 AND 0.2 AND abs(revenue - quantity * unit_price * (1 - discount_pct)) < 0.006 AND year(sale_date) = 2024 AND month = month(sale_date)"
+    # five standard deviations of a share, so that any number of rows fits
+    near = lambda x, share: F.abs(F.count_if(x) / F.count(F.lit(1)) - share) < 5 * F.sqrt(F.lit(share * (1 - share)) / F.count(F.lit(1)))
+    shares = near(F.col("discount_pct") == 0, 3 / 7) & near(F.col("category") == "Books", 1 / 6) & near(F.col("region") == "West", 1 / 5)
     whole = F.expr("sum(CAST(xxhash64(*) AS DECIMAL(38,0)))").alias("h")
-    return made.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("order_id").alias("order_ids"), F.bool_and(F.expr(fits)).alias("in_range"), whole).join(again.agg(whole), "h", "left").select("rows", "order_ids", "in_range", F.col("h").isNotNull().alias("same_again"))
+    return made.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("order_id").alias("order_ids"), F.bool_and(F.expr(fits)).alias("in_range"), shares.alias("shares_fit"), F.count_distinct("category", "product").cast("int").alias("products"), whole).join(again.agg(whole), "h", "left").select("rows", "order_ids", "in_range", "shares_fit", "products", F.col("h").isNotNull().alias("same_again"))
 
 
 @query("t23_derived_report", "SELECT category AS product_line, orders, total_revenue / orders AS revenue_per_order FROM (SELECT category, count(*) AS orders, CAST(sum(CAST(revenue AS DECIMAL(18,4))) AS DOUBLE) AS total_revenue FROM sales GROUP BY category) WHERE orders > 10", "sales")

@@ -26,7 +26,7 @@ VIEWS = {
         event_type AS check_name, value < 100 AS passed, value AS actual_value, ts AS checked_at FROM events""",
     "costs": """SELECT concat('run_', CAST(o_orderkey AS STRING)) AS run_id, concat('pipe_', CAST(o_custkey % 100 AS STRING)) AS pipeline_name, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE concat('team_', CAST(o_custkey % 7 AS STRING)) END AS team,
         CAST(1 + o_orderkey % 8 AS INT) AS task_count, o_totalprice / 1000 AS duration_seconds, CAST(CAST((1 + o_orderkey % 8) * CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS DOUBLE) AS estimated_cost_usd, o_orderdate AS recorded_at FROM orders""",
-    "slas": """SELECT concat('pipe_', CAST(n_nationkey AS STRING)) AS pipeline_name, CAST(1 + n_nationkey % 4 AS DOUBLE) AS max_duration_minutes FROM nation WHERE n_nationkey < 20""",
+    "slas": """SELECT concat('pipe_', CAST(n_nationkey AS STRING)) AS pipeline_name, CAST(1 + n_nationkey % 4 AS DOUBLE) AS max_duration_minutes FROM nation""",
     "versions": """SELECT doc_id AS version_id, lang AS pipeline_name, text AS content, doc_id AS saved_seq FROM documents""",
     "audit": """SELECT event_id, event_type, concat('user_', CAST(user_id AS STRING)) AS actor, concat('pipe_', CAST(DIV(event_id,3) % 20 AS STRING)) AS resource, props AS details, ts AS occurred_at FROM events""",
     "edges": """SELECT DIV(p_partkey,20) AS pipeline, p_partkey % 20 AS task, p_partkey % 20 - 1 - p_size % 3 AS depends_on FROM part WHERE p_partkey % 20 - 1 - p_size % 3 >= 0

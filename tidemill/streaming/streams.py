@@ -61,7 +61,7 @@ def tail_lines(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     """
     spark.dataSource.register(LogLines)
     rows = spark.readStream.format("log_lines").options(path=folder, pattern=pattern).load()
-    return rows.select(F.trim("line").alias("line"), F.regexp_replace("file", r"\.[^.]*$", "").alias("run_id")).filter("line != ''")
+    return rows.select(F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"), F.regexp_replace("file", r"\.[^.]*$", "").alias("run_id")).filter("line != ''")
 
 
 def kafka_stream(spark: SparkSession, brokers: str, topic: str, schema=None) -> DataFrame:
