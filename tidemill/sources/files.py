@@ -85,6 +85,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder; false if there was none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
     """path, size and modified of matching files. Contents are not read."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemill.operators.checks import quality_gate
 from tidemill.operators.runs import sla_violations
 from tidemill.sources.external import kafka_decode
-from tidemill.sources.files import append_history
+from tidemill.sources.history import append_once, landed, query_of
 from tidemill.sources.scratch import scratch_dir
 from tidemill.sources.watch import FileChanges, LogLines
 
@@ -82,13 +82,15 @@ def sla_stream(runs: DataFrame, slas: DataFrame) -> DataFrame:
 
 
 def quality_stream(rows: DataFrame, checks: Iterable[Mapping], folder: str, checkpoint: str, view: str = "data", pipeline: str = "", every: str | None = None) -> StreamingQuery:
-    """Run a quality gate on every batch (as ``view``), and append its results to the history."""
-    checks = list(checks)
+    """Run a quality gate on every batch (as ``view``), and append its results to the history, once also if a batch is sent again."""
+    checks, query = list(checks), query_of(checkpoint)
 
     def gate(batch: DataFrame, number: int) -> None:
+        if landed(batch.sparkSession, folder, "quality_results", query, number):
+            return
         held = batch.persist()
         try:
-            append_history(quality_gate(held.sparkSession, checks, {view: held}, f"batch_{number}", pipeline, view), folder, "quality_results")
+            append_once(quality_gate(held.sparkSession, checks, {view: held}, f"batch_{number}", pipeline, view), folder, "quality_results", query, number)
         finally:
             held.unpersist()
 
