@@ -1,6 +1,7 @@
 """Edge semantics of the operators on small tables."""
 
 import datetime as dt
+import random
 import re
 
 import pytest
@@ -226,6 +227,48 @@ def test_levels_and_cycles(spark):
     assert got[3, 0] == (0, False) and all(got[3, k] == (None, True) for k in (1, 2, 3))
 
 
+def levels(df):
+    return {(r["pipeline"], r["task"]): (r["level"], r["cyclic"]) for r in df.collect()}
+
+
+def brute_levels(edges):
+    """Longest path by walking: by graph and task."""
+    nodes = {(p, t) for p, a, b in edges for t in (a, b) if t is not None}
+    before = {n: {(p, b) for p, a, b in edges if (p, a) == n and b is not None} for n in nodes}
+    found = {}
+    for _ in range(len(nodes) + 1):
+        found |= {n: max((found[b] + 1 for b in before[n]), default=0) for n in nodes if n not in found and all(b in found for b in before[n])}
+    return {n: (found.get(n), n not in found) for n in nodes}
+
+
+def test_all_ways_give_the_same_levels(spark):
+    rng = random.Random(4)
+    edges = [("chain", f"t{k + 1}", f"t{k}") for k in range(40)] + [(None, "x", "y"), (None, None, "z"), ("loop", "s", "s"), ("loop", "after", "s"), ("only", "one", None), ("twice", "b", "a"), ("twice", "b", "a")]
+    for g in range(12):
+        n = rng.randint(2, 14)
+        edges += [(f"g{g}", f"t{b}", f"t{a}") for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(2 * n)) if g % 3 == 0 or a < b]
+    df = spark.createDataFrame(edges, "pipeline string, task string, depends_on string")
+    want = brute_levels(edges)
+    assert levels(definitions.levels_within(df)) == want
+    named = {k: v for k, v in want.items() if k[0] is not None}
+    for way in (definitions.doubled_levels, definitions.peeled_levels):
+        assert levels(way(df.filter("pipeline IS NOT NULL"))) == named
+    assert levels(definitions.topo_levels(df, small=20)) == want and levels(definitions.topo_levels(df.limit(0))) == {}
+
+
+def test_deep_graphs_take_few_rounds_and_hubs_are_peeled(spark, monkeypatch):
+    rounds, real = [], definitions.stored
+    monkeypatch.setattr(definitions, "stored", lambda df, name: rounds.append(name) or real(df, name))
+    chain = spark.range(100_000).selectExpr("1 AS pipeline", "id + 1 AS task", "id AS depends_on")
+    got = definitions.topo_levels(chain)
+    assert got.filter("cyclic OR level <> task").isEmpty() and got.count() == 100_001 and rounds.count("paths") - 1 <= 20
+    monkeypatch.setattr(definitions, "WIDEST", 2)
+    hub = spark.range(300).selectExpr("1 AS pipeline", "1000 AS task", "id AS depends_on").unionByName(spark.range(300).selectExpr("1 AS pipeline", "id + 2000 AS task", "1000 AS depends_on"))
+    called, peeled = [], definitions.peeled_levels
+    monkeypatch.setattr(definitions, "peeled_levels", lambda df: called.append(1) or peeled(df))
+    assert {r["level"]: r["count"] for r in definitions.topo_levels(hub, small=10).groupBy("level").count().collect()} == {0: 300, 1: 1, 2: 300} and called
+
+
 def test_inventory_and_errors(spark, tmp_path):
     (tmp_path / "good.yaml").write_text("pipeline_name: p\ntags: [x]\nschedule: {minute: 5, week: 1}\ntasks:\n- {name: a, id: i1, plugin: duckdb}\n- {name: b, plugin: python, depends_on: [i1, zz, b]}\n- {name: b, plugin: python}\n")
     (tmp_path / "bad.yaml").write_text("tasks: []")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,12 +76,121 @@ def task_edges(tasks: DataFrame) -> DataFrame:
     return needs.join(task_names(tasks), ["pipeline", "alias"]).select("pipeline", F.col("name").alias("source"), "target").distinct()
 
 
-def topo_levels(edges: DataFrame, rounds_per_write: int = 6) -> DataFrame:
+#: Graphs of at most so many edges are levelled by the task that holds them, several at once. Growth of paths over edges beyond which doubling stops.
+SMALL, WIDEST = 10_000, 16
+
+
+def topo_levels(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """pipeline, task, level and cyclic for edges (pipeline, task, depends_on) of any number of graphs at once.
 
-    A level is the longest path from a task without dependencies. Tasks without open dependencies are peeled off level by level: in a round those
-    of the last level tell the tasks that need them, and what then needs nothing more is the next level. Rounds are as many as the deepest graph has
-    levels, whatever cycles there are: when some rounds peel nothing, the tasks that stay are on or behind a cycle and get no level.
+    A level is the longest path from a task without dependencies; tasks on or behind a cycle get none. Null tasks are left out, tasks with null
+    dependencies stay. Graphs of at most ``small`` edges are brought together by one shuffle and levelled within tasks; larger ones, of any size, by doubling
+    (:func:`doubled_levels`).
+    """
+    counts = edges.groupBy("pipeline").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small)
+    large = [r["pipeline"] for r in counts.limit(1).collect()]
+    if not large:
+        return levels_within(edges)
+    sizes = stored(counts.select(F.col("pipeline").alias("key"), F.lit(True).alias("big")), "large-graphs")
+    marked = edges.join(sizes, F.col("pipeline").eqNullSafe(F.col("key")), "left")
+    rest = marked.filter("big IS NULL").select("pipeline", "task", "depends_on")
+    return levels_within(rest).unionByName(doubled_levels(marked.filter("big").select("pipeline", "task", "depends_on")))
+
+
+def frontier_levels(source: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
+    """Levels of n tasks by edges between their numbers; -1 on or behind a cycle."""
+    need, level = np.bincount(target, minlength=n), np.full(n, -1)
+    order = np.argsort(source, kind="stable")
+    target, starts = target[order], np.searchsorted(source[order], np.arange(n + 1))
+    now, at = np.flatnonzero(need == 0), 0
+    while len(now):
+        level[now] = at
+        out = np.diff(starts)[now]
+        told = target[np.repeat(starts[now] - np.cumsum(out) + out, out) + np.arange(out.sum())]
+        np.subtract.at(need, told, 1)
+        told = np.unique(told)
+        now, at = told[need[told] == 0], at + 1
+    return level
+
+
+def levels_within(edges: DataFrame) -> DataFrame:
+    """Levels of graphs that each fit a task: those of a task are levelled together, some rows at a time."""
+    types = dict(edges.dtypes)
+
+    def levelled(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        n, graphs = rows.num_rows, rows.column("pipeline").combine_chunks().dictionary_encode(null_encoding="encode")
+        tasks = pa.concat_arrays([rows.column(c).combine_chunks() for c in ("task", "depends_on")]).dictionary_encode()
+        number, wide = tasks.indices.fill_null(-1).to_numpy().astype(np.int64), len(tasks.dictionary)
+        graph = np.tile(graphs.indices.to_numpy().astype(np.int64), 2)
+        known = number >= 0
+        nodes, place = np.unique((graph * wide + number)[known], return_inverse=True)
+        at = np.full(2 * n, -1)
+        at[known] = place
+        both = (at[:n] >= 0) & (at[n:] >= 0)
+        links = np.unique(at[n:][both] * np.int64(len(nodes)) + at[:n][both])
+        level = frontier_levels(links // max(1, len(nodes)), links % max(1, len(nodes)), len(nodes))
+        take = lambda values, index: values.take(pa.array(index))
+        return pa.RecordBatch.from_arrays([take(graphs.dictionary, nodes // max(1, wide)), take(tasks.dictionary, nodes % max(1, wide)), pa.array(level, mask=level < 0), pa.array(level < 0)], ["pipeline", "task", "level", "cyclic"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            graph = held.column("pipeline")
+            last = graph[held.num_rows - 1] if held.num_rows else None
+            whole = held.num_rows
+            # the last graph of a batch may go on in the next one
+            while whole and graph[whole - 1].as_py() == last.as_py():
+                whole -= 1
+            if whole:
+                yield levelled(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield levelled(held)
+
+    rows = edges.select("pipeline", "task", F.col("depends_on").cast(types["task"]).alias("depends_on")).repartition("pipeline").sortWithinPartitions("pipeline")
+    return rows.mapInArrow(run, f"pipeline {types['pipeline']}, task {types['task']}, level long, cyclic boolean")
+
+
+def doubled_levels(edges: DataFrame) -> DataFrame:
+    """Levels by doubling: after round k, a task has its level if that is under 2^k, or else the tasks from which 2^k edges lead to it.
+
+    A round joins these pairs with what is known of their beginnings: a pair met by pairs gives pairs twice as long; a task whose
+    beginnings all have levels gets 2^k plus the greatest of them. So rounds are the logarithm of the depth. Tasks that still have pairs when 2^k reaches the number
+    of tasks of the largest graph are on or behind a cycle. Where pairs outgrow the edges :data:`WIDEST` times, which wide and shallow graphs do, levels are peeled
+    off one by one instead (:func:`peeled_levels`).
+    """
+    known = stored(edges.select("pipeline", "task", "depends_on").distinct(), "known")
+    links = known.filter("task IS NOT NULL AND depends_on IS NOT NULL")
+    nodes = known.select("pipeline", F.explode(F.array("task", "depends_on")).alias("task")).filter("task IS NOT NULL").distinct()
+    roots = nodes.join(links.select("pipeline", "task").distinct(), ["pipeline", "task"], "left_anti").withColumn("level", F.lit(0).cast("long"))
+    done = [stored(roots, "levels")]
+    pairs = stored(links.select("pipeline", "task", F.col("depends_on").alias("start")), "paths")
+    n_edges, most = pairs.count(), nodes.groupBy("pipeline").count().agg(F.max("count")).first()[0] or 0
+    step, n_pairs = 1, n_edges
+    while n_pairs and step < most:
+        # how many pairs the next ones are made of, by the numbers of pairs that end and begin at each task
+        ends, begins = (pairs.groupBy("pipeline", F.col(c).alias("at")).agg(F.count(F.lit(1)).cast("double").alias(c)) for c in ("task", "start"))
+        if (ends.join(begins, ["pipeline", "at"]).agg(F.sum(F.col("task") * F.col("start"))).first()[0] or 0) > WIDEST * n_edges:
+            return peeled_levels(known)
+        begun = reduce(DataFrame.unionByName, done).select("pipeline", F.col("task").alias("start"), "level", F.lit(None).cast(dict(pairs.dtypes)["start"]).alias("before"))
+        begun = begun.unionByName(pairs.select("pipeline", F.col("task").alias("start"), F.lit(None).cast("long").alias("level"), F.col("start").alias("before")))
+        met = stored(pairs.join(begun, ["pipeline", "start"]).groupBy("pipeline", "task", "before").agg((F.max("level") + step).alias("level")), "paths")
+        drop(pairs)
+        pairs = met.filter("before IS NOT NULL").select("pipeline", "task", F.col("before").alias("start"))
+        pairs.stored_path = met.stored_path
+        ended = met.groupBy("pipeline", "task").agg(F.max("level").alias("level"), F.count("before").alias("n")).filter("n = 0").drop("n")
+        done.append(stored(ended, "levels"))
+        step, n_pairs = 2 * step, pairs.count()
+    return reduce(DataFrame.unionByName, done).withColumn("cyclic", F.lit(False)).unionByName(pairs.select("pipeline", "task", F.lit(None).cast("long").alias("level"), F.lit(True).alias("cyclic")).distinct())
+
+
+def peeled_levels(edges: DataFrame, rounds_per_write: int = 6) -> DataFrame:
+    """Levels peeled off one by one: in a round the tasks of the last level tell those that need them, and what then needs nothing more is the next.
+
+    Rounds are as many as the deepest graph has levels, whatever cycles there are: when some rounds peel nothing, the tasks that stay are on or behind a cycle.
     A round is one join and one aggregation, both by task, so it shuffles once; some rounds are planned together before levels are written.
     """
     known = edges.select("pipeline", "task", "depends_on").distinct()

@@ -121,6 +121,17 @@ def _(spark, d):
     return external.jdbc_query(spark, conn, sql, "c_nationkey", 0, 25, 4).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
 
 
+@query("s6_balanced_splits", "SELECT o_orderpriority, count(*) AS orders, true AS balanced FROM orders GROUP BY 1")
+def _(spark, d):
+    """Splits planned by rows of a skewed key: none holds over twice the mean."""
+    conn = _database("s6b")
+    external.jdbc_load(source(spark, d, "orders").select(F.pow(F.col("o_orderkey").cast("double"), 4).alias("k"), "o_orderpriority"), conn, "orders", "overwrite", createTableColumnTypes="o_orderpriority VARCHAR(20)")
+    read = external.jdbc_query(spark, conn, 'SELECT * FROM "orders"', "k", partitions=8)
+    parts = stored(read.groupBy("o_orderpriority", F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")))
+    balance = parts.groupBy("part").agg(F.sum("n").alias("n")).agg((F.max("n") <= 2 * F.sum("n") / 8).alias("balanced"), F.lit(1).alias("one"))
+    return parts.groupBy("o_orderpriority").agg(F.sum("n").alias("orders"), F.lit(1).alias("one")).join(balance, "one").drop("one")
+
+
 @query("s7_jdbc_load", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal < 0")
 def _(spark, d):
     conn, path, rows = _database("s7"), scratch_dir(spark, "csv"), source(spark, d, "supplier")
