@@ -137,7 +137,7 @@ def test_file_sensor_skips_old_files(spark, tmp_path):
 
 def test_log_tail_and_completions(spark, tmp_path):
     (tmp_path / "logs").mkdir()
-    (tmp_path / "logs" / "run_1.log").write_text("  a \n\n b\n   \n")
+    (tmp_path / "logs" / "run_1.log").write_text("  a \t\r\n\n\t b\n \t \r\n")
     assert rows(streams.drain(streams.tail_lines(spark, f"{tmp_path}/logs"))) == [("a", "run_1"), ("b", "run_1")]
     spark.createDataFrame([("r1", "p", "completed"), ("r2", "p", "failed"), ("r3", "q", "completed")], "run_id string, pipeline_name string, status string").write.parquet(f"{tmp_path}/runs")
     asked = spark.createDataFrame([("p", "x"), ("p", "y")], "pipeline_name string, downstream string")
@@ -191,6 +191,38 @@ def test_file_sensor_fires_on_changes(spark, tmp_path):
     assert poll() == []
 
 
+def test_positions_do_not_grow_with_the_files(spark, tmp_path):
+    """100,000 watched files: a position is a few bytes, and a batch finds the few that changed."""
+    folder, seen = tmp_path / "many", []
+    for k in range(100):
+        (folder / f"d{k}").mkdir(parents=True)
+        for j in range(1000):
+            (folder / f"d{k}" / f"{j}.log").write_bytes(b"")
+
+    def poll():
+        seen.clear()
+        watched = streams.file_changes(spark, str(folder), "*.log", existing=True, recursive=True, settle=0.2)
+        count = lambda df, n: seen.extend(df.agg(F.count(F.lit(1)), F.sum("size")).collect())
+        watched.writeStream.option("checkpointLocation", f"{tmp_path}/c").foreachBatch(count).trigger(availableNow=True).start().awaitTermination()
+        return [sum(x or 0 for x in column) for column in zip(*seen)]
+
+    assert poll() == [100_000, 0] and poll() == [0, 0]
+    for k in (3, 50, 99):
+        (folder / f"d{k}" / "7.log").write_text("grown")
+    (folder / "new.log").write_text("n")
+    assert poll() == [4, 16]
+    assert max(f.stat().st_size for f in (tmp_path / "c" / "offsets").iterdir() if f.name.isdigit()) < 2000
+
+
+def test_a_run_fires_once(spark, tmp_path):
+    asked = spark.createDataFrame([("p", "x"), ("p", "y")], "pipeline_name string, downstream string")
+    for day, run in ((1, "r1"), (1, "r2"), (2, "r1"), (30, "r3"), (31, "r3")):
+        spark.createDataFrame([(run, "p", "completed", f"2024-01-{day:02d}")] * 2 + [("r9", "p", "failed", "2024-01-01")], "run_id string, pipeline_name string, status string, updated_at string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    fired = streams.drain(streams.completion_fires(streams.table_stream(spark, f"{tmp_path}/in", per_trigger=1), asked, "5 days"))
+    assert rows(fired.select("run_id", "downstream")) == [(r, d) for r in ("r1", "r2", "r3") for d in ("x", "y")]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     make = lambda *days: spark.createDataFrame([(d, "p", "ok") for d in days], "updated_at string, pipeline_name string, status string").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
     for batch in (make("2024-01-01", "2024-01-02"), make("2024-01-10"), make("2024-01-11"), make("2024-01-01", "2024-01-11")):

@@ -858,6 +858,17 @@ def _(spark, d, events):
     return streams.drain(streams.completion_fires(_stream(spark, d, "runs"), registered).select("run_id", "pipeline_name", "updated_at", "downstream"))
 
 
+@query("st2_completion_once", "SELECT DISTINCT r.run_id, r.pipeline_name, 'pipe_' || (n_nationkey + 1) AS downstream FROM runs r JOIN nation ON r.pipeline_name = 'pipe_' || n_nationkey WHERE status = 'completed'", "runs")
+def _(spark, d, events):
+    """Every completion arrives twice, in two batches, and each run has several of its own."""
+    sent, name = scratch_dir(spark, "sent"), F.concat(F.lit("pipe_"), F.col("n_nationkey").cast("string"))
+    for _ in range(2):
+        events.coalesce(1).write.mode("append").parquet(sent)
+    registered = stored(source(spark, d, "nation").select(name.alias("pipeline_name"), F.concat(F.lit("pipe_"), (F.col("n_nationkey") + 1).cast("string")).alias("downstream")))
+    stream = streams.table_stream(spark, sent, schema=events.schema, per_trigger=1)
+    return streams.drain(streams.completion_fires(stream, registered, "1000 days").select("run_id", "pipeline_name", "downstream"))
+
+
 @query("st1_file_changes", "SELECT s_suppkey::INT AS s_suppkey, 1 + (s_acctbal < 0)::INT AS fired, length(s_name) + 1 + CASE WHEN s_acctbal < 0 THEN 5 ELSE 0 END AS size FROM supplier")
 def _(spark, d):
     folder, seen, checkpoint = (scratch_dir(spark, n) for n in ("watched", "seen", "checkpoint"))
@@ -873,7 +884,7 @@ def _(spark, d):
 @query("st3_tail_lines", "SELECT p_name AS line, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY p_name")
 def _(spark, d):
     folder = scratch_dir(spark, "lines")
-    files.write_text(source(spark, d, "part").select(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("  "), "p_name")).otherwise("   ").alias("line")), folder)
+    files.write_text(source(spark, d, "part").select(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" \t"), "p_name", F.lit("\t\r"))).otherwise("\t \r").alias("line")), folder)
     return streams.drain(streams.tail_lines(spark, folder)).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -13,7 +13,7 @@ from tidemill.operators.runs import sla_violations
 from tidemill.sources.external import kafka_decode
 from tidemill.sources.history import append_once, landed, query_of
 from tidemill.sources.scratch import scratch_dir
-from tidemill.sources.watch import FileChanges, LogLines
+from tidemill.sources.watch import FileChanges, added_lines
 
 
 def listed(path: str) -> str:
@@ -42,25 +42,36 @@ def file_arrivals(spark: SparkSession, folder: str, schema, fn: Callable[[DataFr
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def file_changes(spark: SparkSession, folder: str, pattern: str = "*", existing: bool = False, recursive: bool = False) -> DataFrame:
-    """path, size and modified of files that are new or were changed in place. Files there at the first start do not fire unless ``existing``."""
+def file_changes(spark: SparkSession, folder: str, pattern: str = "*", existing: bool = False, recursive: bool = False, settle: float = 1) -> DataFrame:
+    """path, size and modified of files that are new or were changed in place. Files there at the first start do not fire unless ``existing``.
+
+    The position is a time, whatever the number of files; tasks list the folders. See :class:`FileChanges`.
+    """
     spark.dataSource.register(FileChanges)
-    flags = {"existing": str(existing).lower(), "recursive": str(recursive).lower()}
+    flags = {"existing": str(existing).lower(), "recursive": str(recursive).lower(), "settle": str(settle)}
     return spark.readStream.format("file_changes").options(path=folder, pattern=pattern, **flags).load()
 
 
-def completion_fires(runs: DataFrame, registrations: DataFrame) -> DataFrame:
-    """Each successful run with every pipeline registered on it (pipeline_name upstream, downstream)."""
-    return runs.filter("status = 'completed'").join(registrations, "pipeline_name")
+def completion_fires(runs: DataFrame, registrations: DataFrame, within: str | None = None, time: str = "updated_at") -> DataFrame:
+    """Each successful run with every pipeline registered on it (pipeline_name upstream, downstream).
+
+    ``within``: a run fires once, however often its completion arrives in that span of time: later ones are dropped by keyed state, which
+    goes when the span has passed. Rows later than that are dropped too.
+    """
+    completed = runs.filter("status = 'completed'")
+    if within is not None:
+        timed = completed.withColumn(time, F.col(time).cast("timestamp"))
+        completed = timed.withWatermark(time, within).dropDuplicatesWithinWatermark(["pipeline_name", "run_id"])
+    return completed.join(registrations, "pipeline_name")
 
 
-def tail_lines(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+def tail_lines(spark: SparkSession, folder: str, pattern: str = "*", settle: float = 1) -> DataFrame:
     """New lines that are not blank, stripped, with their file's name as run_id: those of new files and those added to known ones.
 
-    A line comes once it has ended. Each batch reads only what was added since the batch before, a task for each file.
+    A line comes once it has ended. Changed files come from :func:`file_changes`; how far each was read is keyed state, so a batch reads only
+    what was added, and neither position nor driver grows with the files. If a batch fails after its lines are written and a file grows before it is sent again, that file's lines may come twice.
     """
-    spark.dataSource.register(LogLines)
-    rows = spark.readStream.format("log_lines").options(path=folder, pattern=pattern).load()
+    rows = added_lines(file_changes(spark, folder, pattern, True, False, settle), folder)
     return rows.select(F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"), F.regexp_replace("file", r"\.[^.]*$", "").alias("run_id")).filter("line != ''")
 
 
