@@ -12,7 +12,8 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemill.sources import external, files, watch
+from tidemill.plans.server import rows_served
+from tidemill.sources import external, files, requests, watch
 from tidemill.streaming import streams
 
 
@@ -121,6 +122,20 @@ def test_http_pages(spark):
         server.shutdown()
 
 
+def test_requests_are_answered_once(spark, tmp_path):
+    with rows_served({k: (f"n{k}", -1.0 if k in (3, 30) else 1.0) for k in range(1, 41)}) as (base, served):
+        asked = spark.createDataFrame([(f"{base}/x", {"key": str(k)}) for k in [*range(1, 41), 5, 5]] + [(None, None), ("http://127.0.0.1:9/none", None)], "url string, params map<string,string>")
+        first = requests.fetch_all(spark, asked, f"{tmp_path}/a", tries=1, per_task=7)
+        assert first.count() == 41 and first.filter("status = 500").count() == 3 and set(served.values()) == {1}
+        got = {r["url"].rsplit("=", 1)[-1]: r for r in requests.fetch_all(spark, asked, f"{tmp_path}/a", tries=3, per_task=7, wait=0.1).collect()}
+        assert len(got) == 41 and {k: n for k, n in served.items() if n > 1} == {10: 2, 20: 2, 40: 2}
+        assert got["3"]["status"] == got["30"]["status"] == 404 and got["3"]["error"] and got["10"]["attempts"] == 2 and got["10"]["body"]
+        assert got["http://127.0.0.1:9/none"]["attempts"] == 3 and got["http://127.0.0.1:9/none"]["error"]
+        requests.fetch_all(spark, asked, f"{tmp_path}/a", tries=3)
+        assert sum(served.values()) == 43
+    assert requests.fetch_all(spark, asked.limit(0), f"{tmp_path}/b").count() == 0
+
+
 def test_file_sensor_skips_old_files(spark, tmp_path):
     folder, seen = tmp_path / "in", []
     folder.mkdir()

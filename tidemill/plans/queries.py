@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import registry
 from tidemill.operators import checks, definitions, lineage, runs, table, versions
+from tidemill.plans.server import rows_served
 from tidemill.plans.views import oracle, spark_text, view
 from tidemill.plans.views import table as source
-from tidemill.sources import external, files, history, loads
+from tidemill.sources import external, files, history, loads, requests
 from tidemill.sources.scratch import scratch_dir, settings, stored
 from tidemill.streaming import streams
 
@@ -182,6 +183,18 @@ def _(spark, d):
     return external.kafka_decode(sent, "o_orderkey long, o_orderstatus string, o_totalprice double").select("value.*")
 
 
+@query("s18_http_requests", "SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN s_name END AS s_name, CASE WHEN s_acctbal >= 0 THEN 200 ELSE 404 END AS status, CASE WHEN s_acctbal >= 0 AND s_suppkey % 10 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN s_acctbal >= 0 AND s_suppkey % 10 = 0 THEN 2 ELSE 1 END AS served FROM supplier")
+def _(spark, d):
+    """Rows of a table from a server in the driver, so for local sessions: a tenth fails at first, those of negative balance are not found."""
+    rows = source(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    with rows_served({r["s_suppkey"]: (r["s_name"], r["s_acctbal"]) for r in rows.toLocalIterator()}) as (base, served):
+        asked = rows.select(F.lit(f"{base}/supplier").alias("url"), F.create_map(F.lit("key"), F.col("s_suppkey").cast("string")).alias("params"))
+        got = stored(requests.fetch_all(spark, asked.unionByName(asked), scratch_dir(spark, "answers"), per_task=200, wait=0.1))
+        counted = spark.createDataFrame(list(served.items()), "s_suppkey long, served int")
+    key = F.regexp_extract("url", r"key=(\d+)", 1).cast("long").alias("s_suppkey")
+    return got.select(key, F.get_json_object("body", "$.s_name").alias("s_name"), "status", "attempts").join(counted, "s_suppkey")
+
+
 @query("s19_read_text_files", "SELECT s_suppkey::INT AS s_suppkey, s_name || chr(10) || s_nationkey || chr(10) AS content, length(s_name) + length(s_nationkey::VARCHAR) + 2 AS size FROM supplier")
 def _(spark, d):
     folder = scratch_dir(spark, "whole")

@@ -72,7 +72,7 @@ def read_text_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def merge_files(spark: SparkSession, paths: list[str], dest: str, mode: str = "overwrite") -> DataFrame:
     """Write the lines of all files that exist to one dataset; returns path and lines of each file."""
-    held = [p for p in paths if _exists(spark, p)]
+    held = [p for p in paths if exists(spark, p)]
     if not held:
         return spark.createDataFrame([], "path string, lines long")
     rows = spark.read.option("ignoreMissingFiles", True).text(held).select("value", F.col("_metadata.file_path").alias("path"))
@@ -80,7 +80,8 @@ def merge_files(spark: SparkSession, paths: list[str], dest: str, mode: str = "o
     return rows.groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file or folder matches a path."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
 
