@@ -4,7 +4,7 @@ from collections import Counter
 
 import pyarrow.parquet as pq
 
-from tidemill.llm.html_text import extract_main_text, main_text, op8_html_text
+from tidemill.llm.html_text import _key, extract_main_text, main_text, op8_html_text, parse, templates
 
 
 def plain(page):
@@ -87,3 +87,58 @@ def test_classes_of_two_layouts_and_copies(spark):
     by = {r["page_id"]: r["text"] for r in extract_main_text(df).collect()}
     assert all(by[k] == f"{words(k)}\n{words(k + 100)}" for k in range(1, 40, 2))
     assert all(by[100 + k] == "\n".join([f"Copy {k}", *(words(500 + j) for j in range(4))]) for k in range(12))
+
+
+def test_no_article_text_is_lost(spark):
+    """Short blocks in slots of their own stay if their texts differ; names of the page's or the article's state, or ones that only begin like noise, say nothing."""
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(120))
+    pages = [(k, "http://h/", f"<body><h3>Site name</h3><div class='a'><p>{words(k)}</p></div><div class='b'><p>Closing remark number {k} of the author</p></div><div class='c'><p>Read on {k % 3}</p></div><h5>Foot</h5>") for k in range(20)]
+    pages += [(100 + k, "http://h/", pages[3][2]) for k in range(30)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"{words(k)}\nClosing remark number {k} of the author" for k in range(20)) and got[110] == got[3]
+    for page in ('<body class="nav-open"><article><p>Text</p></article></body>', '<article class="post comment-enabled"><p>Text</p></article>', '<article id="comment-policy"><p>Text</p></article>', '<body class="header"><p>Text</p>', '<article><p class="ad-hoc">Text</p><p class="ad-slot-2">Buy</p></article>', '<html class="menu-open"><main id=search><p>Text</p></main>', '<div class="sidebar-right">Side</div><p>Text', "<p><span class=ad>Buy</span> Text</p>"):
+        assert main_text(page) == "Text", page
+
+
+def test_deeply_nested_pages():
+    deep = "<div>" * 100_000
+    assert main_text(deep + "core" + "</div>" * 100_000 + "<p>after</p>") == "core\nafter"
+    assert main_text(deep + "</section></b>x</td>" * 1000) == "x" * 1000
+    assert main_text("<div><b>" * 50_000 + "a" + "</i></p>" * 50_000) == "a"
+    assert len(parse(deep)[1]) == 100_000
+
+
+def brute_template(pages):
+    """Classes of one host's different pages, held as whole vectors of counts."""
+    pages, tokens = list(dict.fromkeys(pages)), {}
+    orders, sizes = [], []
+    for k, page in enumerate(pages):
+        blocks, tags = parse(page)
+        found = [(t, None) for t in tags] + [(_key(b[0], b[1]), len(b[1])) for b in blocks]
+        orders.append(list(dict.fromkeys(t for t, _ in found)))
+        sizes.append(sum(len(b[1]) for b in blocks))
+        for t, n in found:
+            tokens.setdefault(t, (n, Counter()))[1][k] += 1
+    classes = {}
+    for t, (n, count) in tokens.items():
+        if len(count) >= 8 and len(count) >= 0.4 * len(pages):
+            classes.setdefault(tuple(sorted(count.items())), []).append((t, n))
+    texts, tags = set(), set()
+    for vector, own in classes.items():
+        names, on = {t for t, _ in own}, [k for k, _ in vector]
+        one_order = len({tuple(t for t in orders[k] if t in names) for k in on}) == 1
+        if len(own) >= 2 and one_order and sum((n or 0) * len(on) for _, n in own) <= 0.5 * sum(sizes[k] for k in on):
+            texts |= {t for t, n in own if n is not None}
+            tags |= {t for t, n in own if n is None}
+    return texts, tags
+
+
+def test_templates_agree_with_whole_vectors(spark, sf):
+    t = pq.read_table(f"{sf}/pages.parquet")
+    html_of = [re.sub("</?article>", "", h.replace(' class="ad"', "")) for h in t.column("html").to_pylist()]
+    rows = [(f"host{k % 4}", h) for k, h in enumerate(html_of)]
+    rows += [("rows", f"<table>{''.join(f'<tr><td>Label {j}<td>{k * j}' for j in range(k % 4))}</table><p>All of us</p><h6>End</h6><p>{'own words ' * 20}{k}") for k in range(30)] + [("rows", "<h6>End</h6><p>All of us</p>")] * 5
+    got = {r["host"]: (set(r["texts"]), set(r["tags"])) for r in templates(spark.createDataFrame(rows, "host string, html string")).collect()}
+    for host in {h for h, _ in rows}:
+        assert got.get(host, (set(), set())) == brute_template([h for name, h in rows if name == host]), host
+    assert got["rows"][0]
