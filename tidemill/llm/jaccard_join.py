@@ -308,8 +308,11 @@ def matrix(bits: list[bytes], sizes: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def bitmap_pairs(rows: dict, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents of all row pairs of different components, and of different blocks where there are two, whose bitmaps allow a link."""
+def bitmap_pairs(rows: dict, bits: np.ndarray, percent: int, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of all row pairs of different components, and of different blocks where there are two, whose bitmaps allow a link.
+
+    ``best``: of each document the pair alone that shares most by its bound.
+    """
     m, n = len(bits), rows["n"]
     lacks = np.empty((m, m), np.int64)
     step = max(1, 1_000_000 // (m * bits.shape[1]))
@@ -319,12 +322,16 @@ def bitmap_pairs(rows: dict, bits: np.ndarray, percent: int) -> tuple[np.ndarray
     ok = linked(bound, n[:, None], n[None], percent) & (rows["component"][:, None] != rows["component"][None])
     if rows["lo"][0] != rows["hi"][0]:
         ok &= rows["own"][:, None] != rows["own"][None]
-    i, j = np.nonzero(np.triu(ok, 1))
+    if best:
+        i = np.flatnonzero(ok.any(1))
+        j = np.where(ok, bound, -1)[i].argmax(1)
+    else:
+        i, j = np.nonzero(np.triu(ok, 1))
     return rows["doc"][i], rows["doc"][j]
 
 
-def block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one group of tiles but of different components that their bitmaps let pass.
+def block_pairs(members: DataFrame, percent: int, best: bool = False) -> DataFrame:
+    """Pairs of members of one group of tiles but of different components that their bitmaps let pass; ``best``: of each member one for each block it meets.
 
     A group's members are dealt into blocks of about :data:`BLOCK`; a task compares two blocks at once.
     """
@@ -344,7 +351,7 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
             for i, j in zip(at[:-1], at[1:]):
                 if j - i > 1:
                     part = {c: column[c][i:j] for c in names}
-                    x, y = bitmap_pairs(part, matrix(bits[i:j], sizes[i:j]), percent)
+                    x, y = bitmap_pairs(part, matrix(bits[i:j], sizes[i:j]), percent, best)
                     left.append(x)
                     right.append(y)
             if left:
@@ -409,14 +416,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
         links = links.unionByName(verified(known, rest, width, percent, "links"))
         labels = components(links)
     drop(first, rest)
-    groups = components(fair)
-    more = _within_groups(groups, labels, single, percent).unionByName(_within_tiles(met, single, groups, percent))
-    more = keep(across(more.distinct().join(pairs, ["a", "b"], "left_anti"), labels), "more")
-    drop(met, pairs, fair)
-    if not more.isEmpty():
+    groups, tested = components(fair), pairs
+    # the best pair of each member connects most of what belongs together, so that few pairs are left when all that stay apart are compared
+    for best in (True, False):
+        more = _within_groups(groups, labels, single, percent, best).unionByName(_within_tiles(met, single, groups, percent, best))
+        more = keep(across(more.distinct().join(tested, ["a", "b"], "left_anti"), labels), "more")
+        if more.isEmpty():  # the best pairs may all have been tested, others not
+            continue
         links = links.unionByName(verified(known, keep(plausible(more, single, percent), "fair"), width, percent, "links"))
-        labels = components(links)
-    drop(single, more)
+        labels, tested = components(links), tested.unionByName(more)
+        if best:
+            groups = components(fair.select("a", "b").unionByName(links))
+    drop(met, pairs, fair, single)
     of_class = labels.withColumnRenamed("node", "rep")
     final = join_hot(ids, of_class, "rep", ["doc_id"], "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     final = final.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))
@@ -424,16 +435,16 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _within_groups(groups: DataFrame, labels: DataFrame, single: DataFrame, percent: int) -> DataFrame:
+def _within_groups(groups: DataFrame, labels: DataFrame, single: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs that their bitmaps let pass, between components within groups that plausible star pairs connect."""
     named = groups.select(F.col("node").alias("doc"), F.col("component").alias("tile")).join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     named = keep(named, "named")
     apart = keep(named.groupBy("tile").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("m > 2 AND c1 != c2").select("tile"), "apart")
     members = named.join(send_if_small(apart), "tile", "left_semi").join(single.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc")
-    return block_pairs(keep(members, "members"), percent)
+    return block_pairs(keep(members, "members"), percent, best)
 
 
-def _within_tiles(met: DataFrame, single: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _within_tiles(met: DataFrame, single: DataFrame, groups: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs that their bitmaps let pass, between groups within a tile.
 
     Members of a tile that are all in one group are compared there. Other tiles are put together by their member of
@@ -450,7 +461,7 @@ def _within_tiles(met: DataFrame, single: DataFrame, groups: DataFrame, percent:
     heads = keep(apart.select("tile", "head"), "tile-heads")
     clusters = named.join(send_if_small(heads), "tile").select(F.col("head").alias("tile"), "doc", "component").distinct()
     mixed = keep(clusters.join(single.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc"), "mixed")
-    return block_pairs(mixed, percent)
+    return block_pairs(mixed, percent, best)
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
