@@ -86,3 +86,4 @@ def test_posteriors_against_numpy_and_a_bad_site(spark):
     for r in got:
         by.setdefault(r["doc_id"], r)
     assert by[900]["evidence"] == pytest.approx(by[901]["evidence"]) and by[900]["score"] > by[900]["evidence"] > by[901]["score"]
+    assert by[900]["kept"] and not by[901]["kept"]

@@ -82,6 +82,25 @@ def test_op3_odd_rows_and_pruning(spark, tmp_path):
     assert with_crc32(read_token_files(spark, empty)).collect() == []
 
 
+def test_op3_files_hold_row_indexes_and_bloom_filters(spark, tmp_path):
+    """As their footers say: a row index for every column, Bloom filters on doc_id alone, ids as run-length encoded integers."""
+    path = str(tmp_path / "orc")
+    write_token_files(frame(spark, [(k, f"text number {k} " * 5) for k in range(500)]), path, public_tokenizers.path("word_bpe_49k.json"), partitions=2)
+    jvm, conf, files = spark._jvm, spark._jsc.hadoopConfiguration(), sorted((tmp_path / "orc").glob("part-*.orc"))
+    assert len(files) == 2
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        names = list(reader.getSchema().getFieldNames())
+        columns = {reader.getSchema().getChildren().get(k).getId(): n for k, n in enumerate(names)}
+        rows = reader.rows()
+        footer = rows.readStripeFooter(reader.getStripes().get(0))
+        streams = [(s.getKind().toString(), columns.get(s.getColumn())) for s in footer.getStreamsList()]
+        assert {c for k, c in streams if k == "ROW_INDEX" and c} == set(names)
+        assert {c for k, c in streams if k.startswith("BLOOM_FILTER")} == {"doc_id"}
+        assert "DIRECT_V2" in {footer.getColumns(k).getKind().toString() for k in range(footer.getColumnsCount())}
+        rows.close()
+
+
 def check_packing(rows, docs, capacity, ids):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -208,3 +227,13 @@ def test_op9_odd_rows(spark):
             assert tuple(by[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == rule_counts(t or "")
     assert not any(by[i]["kept"] for i, _ in bad) and by[201]["kept"] and by[2]["host"] == ""
     assert host_rules(df.limit(0)).collect() == [] and beta_prior(0, 0, 0.0, 0) == (1.0, 1.0)
+
+
+def test_hosts_take_down_documents_that_pass_their_own_rules(spark):
+    """Equal texts, of a host whose documents mostly fail and of one whose do not; few failures among few documents shrink to the mean of all."""
+    text = lambda k: " ".join(f"w{j * k}" for j in range(1, 31))
+    rows = [(k, "# & " * 5, "bad") for k in range(60)] + [(100 + k, text(k), "bad") for k in range(1, 6)]
+    rows += [(1000 + k, text(k), "good") for k in range(1, 300)] + [(2000, "too short", "few"), (2001, text(1), "few")]
+    got = {r["doc_id"]: r for r in host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(not got[100 + k]["base_failed"] and not got[100 + k]["kept"] and got[1000 + k]["kept"] for k in range(1, 6))
+    assert got[2001]["kept"] and got[2001]["host_failed"] * 2 >= got[2001]["host_docs"] and got[2001]["host_rate"] <= 0.5
