@@ -75,9 +75,9 @@ def tail_lines(spark: SparkSession, folder: str, pattern: str = "*", settle: flo
     return rows.select(F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"), F.regexp_replace("file", r"\.[^.]*$", "").alias("run_id")).filter("line != ''")
 
 
-def kafka_stream(spark: SparkSession, brokers: str, topic: str, schema=None) -> DataFrame:
-    """Messages from the earliest on; the position is kept by the query's checkpoint."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic).option("startingOffsets", "earliest").load()
+def kafka_stream(spark: SparkSession, brokers: str, topic: str, schema=None, fmt: str = "kafka") -> DataFrame:
+    """Messages from the earliest on; the position is kept by the query's checkpoint. ``fmt``: the connector's name."""
+    raw = spark.readStream.format(fmt).option("kafka.bootstrap.servers", brokers).option("subscribe", topic).option("startingOffsets", "earliest").load()
     return kafka_decode(raw, schema)
 
 
