@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: for Python are small, so that long rows do not add up in a worker.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
+#: Paths made and not deleted yet.
+_made: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. A local session without one gets a temporary folder; on a cluster it has to be set."""
@@ -28,11 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's Python ends at the latest."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    _made[path] = spark
     return path
 
 
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_made.items()):
+        _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    _made.pop(path, None)
     with contextlib.suppress(Exception):  # the JVM may be gone
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
