@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tests.test_queries import rows
+from tidemill.operators import runs
 from tidemill.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -33,3 +34,11 @@ def agrees(spark, folder, name):
 @pytest.mark.parametrize("name", ["r1_latest_by_pipeline", "r2_latest_by_run"])
 def test_latest_rows_of_equal_times(spark, tied, name):
     agrees(spark, tied, name)
+
+
+def test_states_of_equal_times(spark, tied):
+    agrees(spark, tied, "r17_fold_run_state")
+    rows = [("r", p, "failed", 1, e) for p, e in (("p", "a"), ("q", "b"), ("o", "b"))]
+    for order in (rows, rows[::-1]):
+        last = runs.fold_run_state(spark.createDataFrame(order, "run_id string, pipeline_name string, status string, updated_at int, error string").coalesce(1)).first()
+        assert (last["error"], last["pipeline_name"]) == ("b", "q")

@@ -123,10 +123,13 @@ def recover_orphans(queue: DataFrame, now: Column, error: str = "Interrupted by
 
 
 def fold_run_state(events: DataFrame) -> DataFrame:
-    """Current state of each run from its status events: when it was queued, started and completed, and its last error."""
+    """Current state of each run from its status events: when it was queued, started and completed, and its last error.
+
+    Of events of equal time that of the greatest status is the last, then that of the greatest error, then of the greatest pipeline name; nulls are least.
+    """
     at = lambda cond, f: f(F.when(cond, F.col("updated_at")))
     ended = ~F.col("status").isin("queued", "running")
-    last = F.struct("updated_at", "status")
+    last = F.struct("updated_at", "status", "error", "pipeline_name")
     out = events.groupBy("run_id").agg(
         F.max_by("pipeline_name", last).alias("pipeline_name"), F.max_by("status", last).alias("status"), at(F.col("status") == "queued", F.min).alias("queued_at"),
         at(F.col("status") == "running", F.max).alias("started_at"), at(ended, F.max).alias("completed_at"), F.max_by(F.when(ended, F.col("error")), F.when(ended, last)).alias("error"),
