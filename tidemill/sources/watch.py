@@ -22,7 +22,8 @@ class _Folders(InputPartition):
         self.folders, self.after, self.until = folders, after, until
 
 
-def _open(path: str):
+def file_system(path: str):
+    """Arrow's file system of a path or URI, and the path within it."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -56,7 +57,7 @@ class _Reader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list:
         from pyarrow import fs
 
-        files, root = _open(self.folder)
+        files, root = file_system(self.folder)
         folders = [(root, False)]
         if self.recursive:
             folders += [(f.path, True) for f in _listing(files, root, False) if f.type == fs.FileType.Directory and not f.base_name.startswith(("_", "."))]
@@ -68,7 +69,7 @@ class _Reader(DataSourceStreamReader):
 
         from pyarrow import fs
 
-        files, _ = _open(self.folder)
+        files, _ = file_system(self.folder)
         for path, below in part.folders:
             for f in _listing(files, path, below):
                 if f.type == fs.FileType.File and part.after < (f.mtime_ns or 0) <= part.until and fnmatch.fnmatch(f.base_name, self.pattern) and not f.base_name.startswith(("_", ".")):
@@ -128,7 +129,7 @@ def added_lines(changes: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             found = []
             for path, start, end in batch.itertuples(index=False):
-                files, _ = _open(folder)
+                files, _ = file_system(folder)
                 with files.open_input_file(path) as f:
                     found += [(line.decode("utf-8", "replace"), path.rsplit("/", 1)[-1]) for line in lines_ended(f, start, end)]
             yield pd.DataFrame(found, columns=["line", "file"])
