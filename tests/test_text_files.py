@@ -39,3 +39,8 @@ def test_a_file_per_row(spark, tmp_path):
 def test_metric_definitions_need_no_folder_each(spark, sf, made):
     got = queries.QUERIES["m1_load_metrics"](spark, sf)
     in_few_folders(made["definitions"], got.count())
+
+
+def test_whole_texts_need_no_folder_each(spark, sf, made):
+    got = queries.QUERIES["s19_read_text_files"](spark, sf)
+    in_few_folders(made["whole"], got.count())
