@@ -44,3 +44,9 @@ def test_metric_definitions_need_no_folder_each(spark, sf, made):
 def test_whole_texts_need_no_folder_each(spark, sf, made):
     got = queries.QUERIES["s19_read_text_files"](spark, sf)
     in_few_folders(made["whole"], got.count())
+
+
+def test_watched_files_change_in_place(spark, sf, made):
+    got = queries.QUERIES["st1_file_changes"](spark, sf)
+    in_few_folders(made["watched"], got.count())
+    assert {r["fired"] for r in got.collect()} == {1, 2}
