@@ -50,3 +50,8 @@ def test_watched_files_change_in_place(spark, sf, made):
     got = queries.QUERIES["st1_file_changes"](spark, sf)
     in_few_folders(made["watched"], got.count())
     assert {r["fired"] for r in got.collect()} == {1, 2}
+
+
+def test_pipeline_definitions_need_no_folder_each(spark, sf, made):
+    got = queries.QUERIES["p1_pipeline_inventory"](spark, sf)
+    in_few_folders(made["definitions"], got.count())
