@@ -55,3 +55,19 @@ def test_watched_files_change_in_place(spark, sf, made):
 def test_pipeline_definitions_need_no_folder_each(spark, sf, made):
     got = queries.QUERIES["p1_pipeline_inventory"](spark, sf)
     in_few_folders(made["definitions"], got.count())
+
+
+def test_definitions_are_decoded_once(spark, tmp_path):
+    """A sort of two partitions or more samples its input before it sorts it."""
+    for k in range(40):
+        (tmp_path / f"{k:02}.yaml").write_text(f"metric_name: m{k}\nsql: SELECT 1")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    loaded = checks.load_metrics(spark, str(tmp_path))
+    got = checks.list_metrics(loaded.mapInArrow(counted, loaded.schema)).collect()
+    assert [r["metric_name"] for r in got] == [f"m{k}" for k in range(40)] and seen.value == 40

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.sources.addresses import with_files
 from tidemill.sources.files import bind_inputs
+from tidemill.sources.scratch import stored
 
 VALIDATION = "check string, actual string, status string, error string"
 QUALITY = "run_id string, pipeline_name string, task_name string, check_name string, passed boolean, actual_value string, expected_value string, error string, checked_at timestamp"
@@ -229,8 +230,9 @@ def load_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_metrics(definitions: DataFrame) -> DataFrame:
-    """Valid definitions without their SQL, in order of their files."""
-    return definitions.filter("error IS NULL").orderBy("path").select("metric_name", "description", "owner")
+    """Valid definitions without their SQL, in order of their files. They are written first: a sort reads its input twice, and files would be decoded twice."""
+    valid = stored(definitions.filter("error IS NULL").select("path", "metric_name", "description", "owner"), "metrics")
+    return valid.orderBy("path").drop("path")
 
 
 def compute_metrics(spark: SparkSession, definitions: DataFrame | Iterable[Mapping], views: Mapping[str, DataFrame] | None = None) -> DataFrame:
