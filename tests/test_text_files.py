@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tidemill.operators import checks
+from tidemill.operators import checks, definitions
 from tidemill.plans import queries
 from tidemill.sources import files, scratch
 
@@ -71,3 +71,24 @@ def test_definitions_are_decoded_once(spark, tmp_path):
     loaded = checks.load_metrics(spark, str(tmp_path))
     got = checks.list_metrics(loaded.mapInArrow(counted, loaded.schema)).collect()
     assert [r["metric_name"] for r in got] == [f"m{k}" for k in range(40)] and seen.value == 40
+
+
+def test_small_files_share_tasks_and_are_decoded_once(spark, tmp_path):
+    """Of 640 files no more than a task a core, for pipelines as for metrics; what was found needs the files no more."""
+    for k in range(640):
+        (tmp_path / f"{k:03}.yaml").write_text(f"pipeline_name: p{k}\ntasks: [{{name: a}}]\nmetric_name: m{k}\nsql: SELECT 1")
+    tracker, cores = spark.sparkContext.statusTracker(), spark.sparkContext.defaultParallelism
+    setting = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for load, name in ((definitions.pipeline_inventory, "pipeline_name"), (checks.load_metrics, "metric_name")):
+            spark.sparkContext.setJobGroup(name, name)
+            loaded = load(spark, str(tmp_path))
+            assert {r[name] for r in loaded.collect()} == {f"{name[0]}{k}" for k in range(640)}
+            stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds]
+            assert max(s.numTasks for s in stages if s) <= cores
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == setting
+    for f in tmp_path.iterdir():
+        f.unlink()
+    assert loaded.count() == 640

@@ -207,7 +207,7 @@ _DEFINITION = "path string, metric_name string, sql string, description string,
 
 def load_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Metric definitions from YAML files, one a file; what is not valid has an error."""
-    from tidemill.sources.files import read_text_files
+    from tidemill.sources.files import decode_files
 
     def decode(batches):
         import pandas as pd
@@ -226,7 +226,7 @@ def load_metrics(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((path, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DEFINITION.split(", ")])
 
-    return read_text_files(spark, path).select("path", "content").mapInPandas(decode, _DEFINITION)
+    return decode_files(spark, path, decode, _DEFINITION)
 
 
 def list_metrics(definitions: DataFrame) -> DataFrame:

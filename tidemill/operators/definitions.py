@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.sources.files import read_text_files
+from tidemill.sources.files import decode_files
 from tidemill.sources.scratch import drop, stored
 
 #: Keys a schedule may have.
@@ -42,7 +42,7 @@ def pipeline_inventory(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((path, None, None, None, None, None, type(e).__name__, str(e)))
             yield pd.DataFrame(rows, columns=["path", "pipeline_name", "team", "tags", "schedule", "tasks", "error_type", "error"])
 
-    return read_text_files(spark, path).select("path", "content").mapInPandas(decode, _INVENTORY)
+    return decode_files(spark, path, decode, _INVENTORY)
 
 
 def template_metadata(tasks: DataFrame) -> DataFrame:
