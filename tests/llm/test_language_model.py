@@ -111,3 +111,41 @@ def test_word_sequences_count(spark, monkeypatch):
     rows = [(i, text(i, 0)) for i in range(200) if not held(i)] + [(ids[0], text(5, 0)), (ids[1], text(5, 1))]
     got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[ids[0]] > got[ids[1]] + 10
+
+
+def test_weights_come_to_the_driver_once_and_match_numpy(spark, monkeypatch):
+    """Each step sends the driver every row of the weight table once at most, in small pieces; the fit is that of one process."""
+    monkeypatch.setattr(lm, "STEPS", 3)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(1, lm.CLASSES, n).tolist() + [0] for n in rng.integers(0, 40, 1500)]
+    sent, frame = [], type(spark.range(0))
+
+    def seen(rows):
+        rows = list(rows)
+        if rows and "total" in rows[0].asDict():
+            sent.append([len(r["total"]) for r in rows])
+        return rows
+
+    for name in ("collect", "toLocalIterator"):
+        monkeypatch.setattr(frame, name, lambda self, *a, f=getattr(frame, name), **k: seen(f(self, *a, **k)))
+    train = spark.createDataFrame([(t,) for t in texts], "codes array<int>").repartition(8)
+    weights, prior = lm.train_weights(train, np.arange(lm.CLASSES))
+    assert len(sent) == 4
+    for pieces in sent:
+        assert max(pieces) < 500_000 and sum(pieces) <= lm.BUCKETS * lm.CLASSES * 4
+
+    v, at = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    context, of = np.unique(lm.contexts(v, at), return_inverse=True)
+    n = np.zeros((len(context), lm.CLASSES))
+    np.add.at(n, (of, v), 1)
+    p = np.bincount(v, minlength=lm.CLASSES) + 0.5
+    assert np.allclose(prior, np.log(p / p.sum()))
+    rows, w = lm.feature_rows(context), np.zeros((lm.BUCKETS, lm.CLASSES))
+    for _ in range(lm.STEPS):
+        seen_n, wanted = np.zeros_like(w), np.zeros_like(w)
+        expected = np.exp(lm.log_softmax(w, prior, rows)) * n.sum(1, keepdims=True)
+        for r in rows:
+            np.add.at(seen_n, r, n)
+            np.add.at(wanted, r, expected)
+        w += 2 / len(rows) * (seen_n - wanted - 0.1 * w) / (np.maximum(seen_n, wanted) + 2)
+    assert np.abs(w).max() > 0.3 and np.allclose(weights, w, atol=1e-4)

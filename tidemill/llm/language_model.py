@@ -1,7 +1,7 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
 p(word | history) = p(class | history) * p(word | class, history). The class has n-gram and skip features of the three classes before, hashed into one table whose
-weights the driver updates by gradients summed over tasks. The word has features of the words before it, kept and updated by the task that has all tokens after the same word.
+weights the driver updates by gradients; a task sums those of the rows it owns. The word has features of the words before it, kept and updated by the task that has all tokens after the same word.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ SINGLES, SEEDS, GROUPS, BAND = 30, 64, 8, 4096
 CLASSES = 1 + SINGLES + 2 * GROUPS + 1
 #: Rows of the hashed weight table, and gradient steps.
 BUCKETS, STEPS = 16_384, 25
+#: Rows of the weight table that are summed in one place, so that a step sends the driver each row once, in pieces of some 400 kB.
+OWNED = 2_048
 #: Gradient steps of the word features, their size, and the pull of each weight to zero (the inverse variance of its Gaussian prior).
 WORD_STEPS, WORD_RATE, WORD_PULL = 6, 0.6, 1.0
 #: Tokens dealt to a part, tokens after one word that are fitted together, and documents whose gains are added up in a part; tasks take several parts
@@ -181,8 +183,8 @@ def word_classes(train: DataFrame, words: int) -> np.ndarray:
     totals = {r["g"]: r["n"] for r in met.groupBy("g").agg(F.sum("n").alias("n")).collect()}
     share = F.col("n") / F.try_element_at(F.create_map(*[x for g in range(GROUPS) for x in (F.lit(g), F.lit(float(totals.get(g, 1))))]), F.col("g"))
     classes = np.full(rest + 1, 1 + SINGLES)
-    for word, g in met.groupBy("word").agg(F.max_by("g", F.struct(share, "g"))).collect():
-        classes[word] = 1 + SINGLES + g
+    of = met.groupBy("word").agg(F.max_by("g", F.struct(share, "g")).alias("g")).toArrow()
+    classes[of["word"].to_numpy()] = 1 + SINGLES + of["g"].to_numpy()
     classes[BAND + 1 :] += GROUPS
     classes[0 : 1 + SINGLES] = np.arange(min(len(classes), 1 + SINGLES))
     classes[rest] = CLASSES - 1
@@ -223,8 +225,9 @@ def train_weights(train: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np
     """Weights (buckets, classes) and log class prior, fitted to all training tokens.
 
     The features see classes only, so a (context, class) pair enters by its count: one shuffle of counts over all
-    tokens, then steps in which tasks sum gradients over their contexts. Contexts are at most CLASSES ** 3, whatever the
-    corpus.
+    tokens, then steps in which tasks sum gradients over contexts. Contexts are at most CLASSES ** 3, whatever the
+    corpus. A context is written for each part of the weight table in which it has features (at most six), so that a part is summed where
+    it is owned, and what the driver gets is the table's size however many tasks there are.
     """
     size = CLASSES**4
 
@@ -248,9 +251,21 @@ def train_weights(train: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np
 
     assert size < 2**62
     counted = train.select("codes").mapInArrow(pairs, "context long, class long, n long").groupBy("context", "class").agg(F.sum("n").alias("n"))
-    table = keep(counted.groupBy("context").agg(F.collect_list(F.struct("class", "n")).alias("cells")).select("context", F.col("cells.class").alias("class"), F.col("cells.n").alias("n")), "contexts")
+    cells = counted.groupBy("context").agg(F.collect_list(F.struct("class", "n")).alias("cells")).select("context", F.col("cells.class").alias("class"), F.col("cells.n").alias("n"))
+
+    def spread(batches):
+        """A row for each part that a context has features in; the first of them is marked."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = np.sort(np.stack(feature_rows(batch.column("context").to_numpy())) // OWNED, axis=0)
+            new = np.diff(part, axis=0, prepend=-1) > 0
+            nth, at = np.nonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(part[new].astype(np.int32)), pa.array(nth == 0), *batch.take(pa.array(at)).columns], ["part", "first", "context", "class", "n"])
+
+    table = keep(cells.mapInArrow(spread, "part int, first boolean, context long, class array<long>, n array<long>").repartition(-(-BUCKETS // OWNED), "part"), "contexts")
     prior = np.full(CLASSES, 0.5)
-    for k, n in table.select(F.explode(F.arrays_zip("class", "n")).alias("x")).groupBy("x.class").agg(F.sum("x.n")).collect():
+    for k, n in table.filter("first").select(F.explode(F.arrays_zip("class", "n")).alias("x")).groupBy("x.class").agg(F.sum("x.n")).collect():
         prior[k] += n
     prior = np.log(prior / prior.sum())
     weights = np.zeros((BUCKETS, CLASSES), np.float32)
@@ -259,10 +274,12 @@ def train_weights(train: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np
         """Sums over contexts, by table row and class: of observed counts, or of those that the weights expect."""
 
         def add(batches):
-            weights, total = weights_of() if weights_of else None, np.zeros((BUCKETS, CLASSES), np.float32)
+            weights, total, met = weights_of() if weights_of else None, np.zeros((BUCKETS, CLASSES), np.float32), set()
             for batch in batches:
                 if not batch.num_rows:
                     continue
+                part = batch.column("part").to_numpy()
+                met.update(np.unique(part).tolist())
                 rows = feature_rows(batch.column("context").to_numpy())
                 k, at = _lists(batch.column("class"))
                 x = np.zeros((batch.num_rows, CLASSES), np.float32)
@@ -270,14 +287,17 @@ def train_weights(train: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np
                 if weights is not None:
                     x = np.exp(log_softmax(weights, prior, rows)) * x.sum(1, keepdims=True)
                 for r in rows:
-                    by = np.argsort(r, kind="stable")
+                    own = np.flatnonzero(r // OWNED == part)
+                    by = own[np.argsort(r[own], kind="stable")]
                     first = np.flatnonzero(np.diff(r[by], prepend=-1))
-                    total[r[by][first]] += np.add.reduceat(x[by], first)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+                    if len(by):
+                        total[r[by][first]] += np.add.reduceat(x[by], first)
+            for i in met:
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i * OWNED : (i + 1) * OWNED].tobytes()], pa.binary())], ["part", "total"])
 
         total = np.zeros((BUCKETS, CLASSES))
-        for r in table.mapInArrow(add, "total binary").toLocalIterator():
-            total += np.frombuffer(r[0], np.float32).reshape(BUCKETS, CLASSES)
+        for i, part in table.mapInArrow(add, "part int, total binary").collect():
+            total[i * OWNED : (i + 1) * OWNED] += np.frombuffer(part, np.float32).reshape(-1, CLASSES)
         return total
 
     seen = sums(None)
@@ -483,8 +503,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = keep(word_counts(rows.filter(~held)), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     words = counts.filter(F.col("h") != int(END))
-    top = words.filter(F.col("c") >= head_count(words, HEAD)).toPandas().sort_values(["c", "h"], ascending=[False, True])
-    head, often = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    top = words.filter(F.col("c") >= head_count(words, HEAD)).toArrow().sort_by([("c", "descending"), ("h", "ascending")])
+    head, often = top["h"].to_numpy(), top["c"].to_numpy()
     n_end = total and (counts.filter(F.col("h") == int(END)).select("c").first() or [0])[0]
     documents = keep(coded(rows, head), "coded")
     train = documents.filter("NOT held_out")
@@ -501,8 +521,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rest_words = distinct - len(head) - (n_end > 0)
     within[-1] = -np.log10(rest_words + 1)
     every = np.arange(CLASSES**3)
-    table = np.concatenate([log_softmax(weights, prior, feature_rows(part)) for part in np.array_split(every, 16)]) / np.log(10)
-    table = table.astype(np.float32)
+    table = np.concatenate([(log_softmax(weights, prior, feature_rows(part)) / np.log(10)).astype(np.float32) for part in np.array_split(every, 16)])
     sent = spark.sparkContext.broadcast((table, classes, plus_one, within))
 
     def score(batches):
